@@ -110,3 +110,43 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None =
         starts, ends = runs(inside[block], first)
         found.append((hash_runs(block, starts, ends), np.searchsorted(offs, starts + lo, "right") - 1, starts + lo))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def portions(data: np.ndarray, offs: np.ndarray, limit: int = 2 * BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """A batch in portions of whole texts of about limit bytes (one longer text is its own): lo, hi, bytes, offsets."""
+    lo = 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        lo = hi
+
+
+def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted hashes of each text's runs of width words, and len + 1 offsets; of fewer words, all as one run."""
+    words, text, _ = word_hashes(data, offs)
+    ends = np.cumsum(np.bincount(text, minlength=len(offs) - 1))
+    total = np.zeros(max(len(words) - width + 1, 0), np.uint64)
+    for k in range(width):
+        total = (total + words[k : k + len(total)]) * np.uint64(0xD6E8FEB86659FD93)
+    total = mix(total)
+    found, lo = [], 0
+    for hi in ends.tolist():
+        n = hi - lo
+        if n >= width:
+            one = np.sort(total[lo : hi - width + 1])
+            keep = np.ones(len(one), bool)
+            np.not_equal(one[1:], one[:-1], out=keep[1:])
+            found.append(one[keep])
+        else:
+            few = np.full(min(n, 1), n, np.uint64)
+            for k in range(lo, hi):
+                few = mix((few + words[k : k + 1]) * np.uint64(0xD6E8FEB86659FD93))
+            found.append(few)
+        lo = hi
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64))
+
+
+def set_digests(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit digest for each set of hashes, whatever their order."""
+    sums = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64))
+    return mix(sums[ends[1:]] - sums[ends[:-1]] + np.diff(ends).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
