@@ -119,8 +119,8 @@ def pack(
         given = [(k, float(v)) for k, v in weights.items()]
         shares = counts.select("source").distinct().join(docs.sparkSession.createDataFrame(given, "given string, w double"), F.col("source").eqNullSafe(F.col("given")), "left")
         shares = shares.select("source", F.coalesce("w", F.lit(0.0)).alias("w"))
-    total = shares.agg(F.sum("w").alias("all_w"))
-    shares = shares.join(F.broadcast(total)).select(F.col("source").alias("of"), F.coalesce(F.try_divide(F.col("w"), F.col("all_w")), F.lit(0.0)).alias("share"))
+    whole = float(shares.agg(F.sum("w")).first()[0] or 1)
+    shares = shares.select(F.col("source").alias("of"), (F.col("w") / whole).alias("share"))
     own = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         counts.withColumn("own", F.coalesce(F.sum("n").over(own), F.lit(0)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ngram_jaccard, packing, token_counts
+from quern.llm import chat, licenses, mixing, mixing_sql, ngram_jaccard, packing, sql, token_counts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,8 +21,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+    first = mix.withColumn("first_at", F.get("takes", F.lit(0))["at"])
+    rows = first.select("doc_id", "size", "source_size", "target", "taken", "source", "first_at")
+    return rows.repartitionByRange(F.col("first_at")).sortWithinPartitions("first_at", "doc_id")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.formatted(table(spark, sf_dir, "conversations").select(more.columns).unionByName(more)))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=80).drop("class")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +43,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_chat_format": op6_chat_format,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_packing": op9_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mixing": mixing_sql.SQL,
+    "op6_chat_format": sql.OP6,
+    "op7_ngram_jaccard": sql.OP7,
+    "op10_license_scan": sql.OP10,
+}
