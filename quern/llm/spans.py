@@ -113,10 +113,10 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None =
 
 
 def portions(data: np.ndarray, offs: np.ndarray, limit: int = 2 * BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """A batch in portions of whole texts of about limit bytes (one longer text is its own): lo, hi, bytes, offsets."""
+    """A batch in portions of whole texts of about limit bytes and 2 ** 19 texts at most (one longer text is its own): lo, hi, bytes, offsets."""
     lo = 0
     while lo < len(offs) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1), lo + (1 << 19))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
