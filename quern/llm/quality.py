@@ -68,7 +68,8 @@ class Ranking:
 def fit(x: np.ndarray, labels: np.ndarray, *, at: float, pairs: int = 60_000, steps: int = 300, decay: float = 1e-3, seed: int = 0) -> Ranking:
     """Bradley-Terry weights from drawn pairs of a label-1 and a label-0 text, then the cut by quantile.
 
-    The cut is the quantile of all sample scores at the share of label 0: half way between the scores on both sides.
+    The cut is a quantile of the sample's scores: the one with the fewest texts on the wrong side (about the share of
+    label 0), of equals the one in the widest gap, half way between the scores on both sides.
     """
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(good) or not len(bad):
@@ -84,9 +85,11 @@ def fit(x: np.ndarray, labels: np.ndarray, *, at: float, pairs: int = 60_000, st
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w = w - 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     weights = w / width
-    scores = np.sort(x @ weights)
-    k = len(bad)
-    cut = (scores[k - 1] + scores[k]) / 2
+    order = np.argsort(x @ weights, kind="stable")
+    scores, right = (x @ weights)[order], labels[order] == 1
+    wrong = np.cumsum(right)[:-1] + len(bad) - np.cumsum(~right)[:-1]  # if the cut is above text k
+    k = max(np.flatnonzero(wrong == wrong.min()), key=lambda k: scores[k + 1] - scores[k])
+    cut = (scores[k] + scores[k + 1]) / 2
     return Ranking(weights, float(cut), float(4 / (scores.std() + 1e-6)), at)
 
 
