@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, toxicity
+from quern.llm import ann, chat, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, topk, toxicity, vectors
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(vectors.finite(F.col("embedding")))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("vector"))
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
@@ -26,6 +32,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), rows=20_000, at=0.3), threshold=0.3)
 
 
+def op4_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
     first = mix.withColumn("first_at", F.get("takes", F.lit(0))["at"])
@@ -58,8 +69,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_collision_counting": op4_collision_counting,
     "op5_source_mixing": op5_source_mixing,
     "op6_chat_format": op6_chat_format,
     "op7_ngram_jaccard": op7_ngram_jaccard,
@@ -69,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": sql.OP1,
     "op5_source_mixing": mixing_sql.SQL,
     "op6_chat_format": sql.OP6,
     "op7_ngram_jaccard": sql.OP7,
