@@ -11,8 +11,8 @@
    filter (here: sizes in fixed ranges of the order of hashes, whose differences bound the overlap), each pair of
    classes once, and what is left is verified on the sets.
 5. Where thousands of near copies share an n-gram, pairs are not listed at once. A round joins each list's members with
-   one leader only; what is now connected needs no further pair. When the pairs between different components are few
-   enough, or after ROUNDS, they are all joined, so no link between components is lost.
+   a few leaders only; what is now connected needs no further pair. When the pairs between different components are few
+   enough, or rounds find few links, they are all joined, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,21 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.shared import kept
+from quern.llm.shared import discard, kept
 from quern.llm.spans import mix, portions, set_digests, shingles, text_bytes
 
 FLUSH = 2 << 20
 """n-grams a task gathers before it deals them out."""
 IN_BUCKET = 3 << 20
 """n-grams in a bucket, about (8 bytes each; a task holds one bucket)."""
-RANGES = 16
+RANGES = 64
 """Ranges of the suffix filter."""
-ROUNDS, LINEAR = 4, 2
-"""Rounds with leaders at most; pairs for each row of the join that are few enough to list all."""
+ROUNDS, LEADERS, LINEAR = 3, 8, 2
+"""Rounds with leaders at most; leaders of a list; pairs for each row of the join that are few enough to list all."""
+YIELD = 0.05
+"""A round of which fewer pairs than this share are links is the last with leaders."""
 
 
 def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -155,7 +157,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
         n = size[first]
         keep = np.flatnonzero(n - counts < n - -(-percent * n // 100) + 1)
         out = [gram[first[k] : first[k] + counts[k]] for k in keep]
-        ranges = [np.bincount(x >> 44, minlength=RANGES).astype(np.int32) for x in out]
+        ranges = [np.bincount(x // ((1 << 48) // RANGES), minlength=RANGES).astype(np.int32) for x in out]
         lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)))
         return pa.table({"class": classes[keep], "n": n[keep], "unshared": (n - counts)[keep], "grams": lists(out, np.int64), "ranges": lists(ranges, np.int32)})
 
@@ -177,46 +179,59 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
 
+def passing(x: str, y: str, percent: int) -> Column:
+    """The length filter, and the positional filter for two rows (columns ending in x and y) that share an n-gram.
+
+    Of what stands before that n-gram only shared n-grams can be in both sets.
+    """
+    of = lambda name: (F.col(name + x), F.col(name + y))
+    (n, m), (i, j), (u, v) = of("n"), of("at"), of("unshared")
+    most = F.least(i - u, j - v) + F.least(n - i, m - j)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most >= least_overlap(n, m, percent))
+
+
 def similar(sets: DataFrame, percent: int) -> DataFrame | None:
-    """node, root for the classes that are linked, directly or not; None if there are none."""
-    place = F.col("unshared") + F.col("i")
+    """node, root for the classes that are linked, directly or not; None if no two share an n-gram of their prefixes."""
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    step = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)))  # sets of the same step pass the length filter
+    step = F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int")  # sets of the same step pass the length filter
+    own = ("class", "n", "unshared", "step", "at")
     posts = sets.select("class", "n", "unshared", step.alias("step"), F.posexplode(F.slice("grams", F.lit(1), (prefix - F.col("unshared")).cast("int"))).alias("i", "gram"))
-    posts = posts.select("gram", "class", "n", "step", place.alias("at"))
+    posts = posts.select("gram", *own[:-1], (F.col("unshared") + F.col("i")).alias("at"))
     lists = posts.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1").select("gram")
     posts = kept(posts.join(lists, "gram"))
-    labels, links, tried = None, None, None
+    labels, links, tried, last = None, None, None, False
     for turn in range(ROUNDS + 1):
         now = posts.withColumn("part", F.col("class")) if labels is None else posts.join(labels.toDF("class", "root"), "class", "left").select(*posts.columns, F.coalesce("root", "class").alias("part"))
         parts = now.groupBy("gram", "part").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("rows"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("cross")).where("cross > 0")
         parts = kept(parts)
         rows, cross = parts.agg(F.sum("rows"), F.sum("cross") / 2).first()
         if not rows:
+            discard(parts)
             break
-        now = now.join(parts.select("gram"), "gram")
-        last = turn == ROUNDS or cross <= LINEAR * rows
+        now = kept(now.join(parts.select("gram"), "gram"))
+        last = last or turn == ROUNDS or cross <= LINEAR * rows
         if last:
-            now = kept(now)
-            x, y = (now.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "n", "at", "part"))) for k in "xy")
-            pairs = x.join(y, "gram").where("class_x < class_y and part_x <> part_y").where(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-            rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + F.least("at_x", "at_y")  # positional filter
-            pairs = pairs.where(rest >= least_overlap(F.col("n_x"), F.col("n_y"), percent)).select(F.col("class_x").alias("a"), F.col("class_y").alias("b"))
+            x, y = (now.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in (*own, "part"))) for k in "xy")
+            pairs = x.join(y, "gram").where("class_x < class_y and part_x <> part_y")
         else:
-            order = F.struct(F.xxhash64("class", F.lit(turn)).alias("by"), F.col("class").alias("leader"), F.col("part").alias("leader_part"))
-            leaders = kept(now.groupBy("gram", "step").agg(F.min(order).alias("l")).select("gram", "step", "l.leader", "l.leader_part"))
-            stars = now.join(leaders, ["gram", "step"]).where("part <> leader_part")
-            pairs = stars.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
-        pairs = pairs.distinct()
+            # at first those with the least unshared n-grams lead, as an original among its edited copies has
+            by = F.col("unshared") / F.col("n") if labels is None else F.xxhash64("class", F.lit(turn)) / F.lit(2.0**63)
+            lead = F.min(F.struct(by.alias("by"), *(F.col(c).alias(f"{c}_y") for c in (*own, "part"))))
+            leaders = now.groupBy("gram", "step", "part").agg(lead.alias("l")).select("gram", "step", "l.*")
+            leaders = leaders.withColumn("place", F.row_number().over(Window.partitionBy("gram", "step").orderBy("by", "class_y"))).where(F.col("place") <= LEADERS).drop("by", "place", "step_y")
+            pairs = now.select("gram", "step", *(F.col(c).alias(f"{c}_x") for c in (*own, "part") if c != "step")).join(leaders, ["gram", "step"]).where("part_x <> part_y")
+        pairs = pairs.where(passing("_x", "_y", percent)).select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = kept(pairs)
         found = kept(verified(pairs, sets, percent))
+        discard(now, parts)
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         labels = components(links)
         if last:
             break
+        last = found.count() < YIELD * pairs.count()
     return labels
 
 

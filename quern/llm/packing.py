@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.pieces import encoder
-from quern.llm.shared import kept
+from quern.llm.shared import kept, kept_in_place
 from quern.llm.spans import text_bytes
 
 PIECES = "key {key}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -108,7 +108,7 @@ def pack(
     name = key
     kind = docs.schema[key].dataType.simpleString()
     ids = encoded(docs, tokenizer, end_id, key, text, source).withColumn("at", F.xxhash64("key"))
-    dealt = kept(ids.repartition("at").sortWithinPartitions("at", "key", "source", "ids").drop("at")).withColumn("at", F.monotonically_increasing_id())
+    dealt = kept_in_place(ids.repartition("at").sortWithinPartitions("at", "key", "source", "ids").drop("at")).withColumn("at", F.monotonically_increasing_id())
     counts = kept(dealt.groupBy(F.shiftright("at", 33).alias("part"), "source").agg(F.sum("n").alias("n")))
     parts = counts.groupBy("part").agg(F.sum("n").alias("part_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

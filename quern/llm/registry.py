@@ -41,7 +41,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
     first = mix.withColumn("first_at", F.get("takes", F.lit(0))["at"])
     rows = first.select("doc_id", "size", "source_size", "target", "taken", "source", "first_at")
-    return rows.repartitionByRange(F.col("first_at")).sortWithinPartitions("first_at", "doc_id")
+    return rows.repartitionByRange("first_at", "doc_id").sortWithinPartitions("first_at", "doc_id")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Tables between steps, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows, computed once and read from the shared folder from now on, also after the loss of an executor."""
+    """The rows, computed once and read as Parquet from the shared folder from now on, also after the loss of an executor."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    rows.kept_path = path
+    return rows
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what kept() wrote, once nothing reads it any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def kept_in_place(df: DataFrame) -> DataFrame:
+    """Like kept(), and each partition stays as it is, in its order (a checkpoint)."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
