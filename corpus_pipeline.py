@@ -1,10 +1,77 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: documents in, packed pieces out. Each stage is one operator of quern.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Null columns pass through; columns that docs has besides do not.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import mixing, ngram_jaccard, packing, quality, toxicity
+from quern.llm.shared import shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5."""
+    machine = toxicity.train(docs, _labels(spark, sf_dir))
+    return toxicity.score(docs, machine, threshold=0.5, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.3 or more."""
+    ranking = quality.train(docs, _labels(spark, sf_dir), at=0.3)
+    return quality.score(docs, ranking, threshold=0.3, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links connect, the one with the smallest id.
+
+    Equal rows with that id stay once. Ids are compared as JSON, where null is a value too; the rows that repeat are
+    found where the join has brought an id's rows together.
+    """
+    key = lambda c: F.to_json(F.struct(F.col(c).alias("doc_id"))).alias("k")
+    members = ngram_jaccard.near_duplicates(docs)
+    first = members.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id")).distinct()
+    rows = docs.select(*COLUMNS, key("doc_id"), F.xxhash64(*COLUMNS).alias("h"))
+    return rows.join(first, "k", "left_semi").dropDuplicates(["k", "h"]).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in training order; where a target ends inside one, its first words."""
+    mix = mixing.mixed(docs, keep=COLUMNS)
+    due = mixing.training_order(mix)
+    return due.select("doc_id", mixing.first_words(F.col("text"), F.col("words"), F.col("size")).alias("text"), "lang", "source", "n_chars").withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 ids."""
+    pieces = packing.pack(docs, public_tokenizers.path(TOKENIZER), window=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_windows)]
+
 ORACLE_SQL = None
-STAGES: list = []
+"""Learned scores and a tokenizer's ids can't be written in SQL."""
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again as the next one's docs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -122,3 +122,10 @@ def training_order(mix: DataFrame, key: str = "doc_id") -> DataFrame:
     due = mix.withColumn("take", F.explode("takes")).withColumn("at", F.col("take.at")).withColumn("words", F.col("take.words")).drop("takes", "take")
     spark = mix.sparkSession
     return due.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "at", key).sortWithinPartitions("at", key)
+
+
+def first_words(text: Column, words: Column, size: Column) -> Column:
+    """The text up to the end of its first so many words; the whole text if that is all."""
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # each begins with a word, but for space before the first
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    return F.when(words < size, F.array_join(F.slice(parts, F.lit(1), (words + lead).cast("int")), "")).otherwise(text)
