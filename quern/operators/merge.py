@@ -24,7 +24,8 @@ def soft_delete(target: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame
 
 def window_replace(target: DataFrame, batch: DataFrame, column: str, cutoff: Column) -> DataFrame:
     """The target up to the cutoff, and from then on only the batch; running it twice changes nothing more."""
-    return safe_union([target.where((F.col(column) <= cutoff) | F.col(column).isNull()), batch.where(F.col(column) > cutoff)])
+    late = F.coalesce(F.col(column).try_cast("timestamp_ntz") > cutoff.cast("timestamp_ntz"), F.lit(False))
+    return safe_union([target.where(~late), batch.where(late)])
 
 
 def differs(tracked: list[str], null_safe: bool = True) -> Column:

@@ -33,7 +33,7 @@ class Rule:
     repair: str = ""
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class TableSpec:
     name: str
     key: str

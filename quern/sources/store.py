@@ -17,7 +17,7 @@ class SnapshotStore:
         self.spark, self.root = spark, root
 
     def _pointer(self, table: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_CURRENT")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/CURRENT")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def version(self, table: str) -> int | None:
