@@ -36,6 +36,8 @@ RANGES = 64
 """Ranges of the suffix filter."""
 ROUNDS, LEADERS, LINEAR = 3, 8, 2
 """Rounds with leaders at most; leaders of a list; pairs for each row of the join that are few enough to list all."""
+HEAD = 64
+"""n-grams of a prefix that a row brings along, so that a pair is made once."""
 YIELD = 0.05
 """A round of which fewer pairs than this share are links is the last with leaders."""
 
@@ -211,8 +213,13 @@ def similar(sets: DataFrame, percent: int) -> DataFrame | None:
         now = kept(now.join(parts.select("gram"), "gram"))
         last = last or turn == ROUNDS or cross <= LINEAR * rows
         if last:
-            x, y = (now.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in (*own, "part"))) for k in "xy")
-            pairs = x.join(y, "gram").where("class_x < class_y and part_x <> part_y")
+            # a pair that shares an earlier n-gram among the first HEAD is left to that one
+            heads = sets.select("class", F.slice("grams", 1, HEAD).alias("head"))
+            earlier = F.slice("head", F.lit(1), F.least(F.col("at") - F.col("unshared"), F.lit(HEAD)).cast("int"))
+            now, before = kept(now.join(heads, "class").select("gram", *own, "part", earlier.alias("earlier"))), now
+            discard(before)
+            x, y = (now.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in (*own, "part", "earlier"))) for k in "xy")
+            pairs = x.join(y, "gram").where("class_x < class_y and part_x <> part_y").where(~F.arrays_overlap("earlier_x", "earlier_y"))
         else:
             # at first those with the least unshared n-grams lead, as an original among its edited copies has
             by = F.col("unshared") / F.col("n") if labels is None else F.xxhash64("class", F.lit(turn)) / F.lit(2.0**63)
