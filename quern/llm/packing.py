@@ -67,9 +67,10 @@ def fill(queues: list[Queue], room: int, least: int) -> Iterator[tuple]:
 
     A source whose credit is under least waits for a later sequence, unless that ends what it has.
     """
+    owed = sorted(queues, key=lambda q: -q.deficit)  # what is owed from before comes first
     for q in queues:
         q.deficit += q.share * room
-    for q in sorted(queues, key=lambda q: -q.deficit):
+    for q in owed:
         n = min(room, q.left, int(q.deficit))
         if n > 0 and (n >= least or n == q.left or n == room):
             yield from q.take(n)
