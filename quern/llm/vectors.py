@@ -79,7 +79,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, build: Build, scan: S
     vectors and queries have id (long) and vector (array of one type); only vectors of a query's own length are
     comparable. Vectors are dealt by a hash of the id to shards of about PER_SHARD, each built once; queries are dealt to
     blocks. First every block searches one shard. The k-th scores it finds there are the floor with which all lanes
-    (LANE shards or fewer, one after another) start, and inside a lane each shard starts from the floor that the ones
+    (LANE shards or fewer, one after another; the first shard's lane takes over what was found) start, and inside a lane each shard starts from the floor that the ones
     before it have raised. A task holds a lane's shards and one block. A block meets every shard, as in any exact search
     with a stated query set; of each shard only what reaches the floor comes back.
     """
@@ -103,29 +103,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, build: Build, scan: S
     pilots = trees.groupBy("dim").agg(F.min("shard").alias("shard"))
     every = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def found(shard_rows: pa.Table, block_rows: pa.Table) -> tuple[np.ndarray, Best] | None:
+    def found(shard_rows: pa.Table, block_rows: pa.Table) -> Best | None:
         if not len(shard_rows) or not len(block_rows):
             return None
-        block = unpacked(block_rows.column("queries")[0])
-        floor = block_rows.column("floor")[0]
+        block, done = unpacked(block_rows.column("queries")[0]), -1
+        floor, state = (block_rows.column(c)[0] for c in ("floor", "state"))
         low = np.full(len(block["ids"]), -np.inf if kind.kind == "f" else -(2**63 - 1), kind)
         best = Best(block["ids"], k, np.frombuffer(floor.as_buffer(), kind) if floor.is_valid else low)
-        for i in np.argsort(shard_rows.column("shard").to_numpy()):
-            scan(unpacked(shard_rows.column("tree")[int(i)]), block["x"], best)
-        return block["ids"], best
+        if state.is_valid:  # the first shard has been searched, and is in this lane
+            done, found_there = block_rows.column("shard")[0].as_py(), unpacked(state)
+            best.scores, best.ids = found_there["scores"], found_there["ids"]
+        shards = shard_rows.column("shard").to_numpy()
+        for i in np.argsort(shards):
+            if shards[i] != done:
+                scan(unpacked(shard_rows.column("tree")[int(i)]), block["x"], best)
+        return best
 
     def first(shard_rows: pa.Table, block_rows: pa.Table) -> pa.Table:
-        at = found(shard_rows, block_rows)
-        floors = [at[1].floor.tobytes()] if at else []
-        return pa.table({"dim": block_rows.column("dim")[: len(floors)], "block": block_rows.column("block")[: len(floors)], "floor": pa.array(floors, pa.binary())})
+        best = found(shard_rows, block_rows)
+        n = 1 if best else 0
+        state = [packed(scores=best.scores, ids=best.ids)] if best else []
+        return pa.table({"dim": block_rows.column("dim")[:n], "block": block_rows.column("block")[:n], "shard": shard_rows.column("shard")[:n], "floor": pa.array([best.floor.tobytes()] if best else [], pa.binary()), "state": pa.array(state, pa.binary())})
 
     def rest(shard_rows: pa.Table, block_rows: pa.Table) -> pa.Table:
-        at = found(shard_rows, block_rows)
-        return at[1].rows() if at else pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.from_numpy_dtype(kind))})
+        best = found(shard_rows, block_rows)
+        return best.rows() if best else pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.from_numpy_dtype(kind))})
 
-    start = sets.withColumn("floor", F.lit(None).cast("binary"))
-    pilot = every.join(F.broadcast(pilots), ["dim", "shard"]).groupBy("dim", "block").cogroup(start.groupBy("dim", "block")).applyInArrow(first, "dim int, block int, floor binary")
+    start = sets.withColumns({"floor": F.lit(None).cast("binary"), "state": F.lit(None).cast("binary"), "shard": F.lit(-1)})
+    pilot = every.join(F.broadcast(pilots), ["dim", "shard"]).groupBy("dim", "block").cogroup(start.groupBy("dim", "block")).applyInArrow(first, "dim int, block int, shard int, floor binary, state binary")
     started = sets.join(kept(pilot), ["dim", "block"], "left").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    started = started.withColumn("state", F.when(F.col("lane") == F.col("shard") % lanes, F.col("state")))
     lane = every.withColumn("lane", F.col("shard") % lanes)
     hits = lane.groupBy("dim", "block", "lane").cogroup(started.groupBy("dim", "block", "lane")).applyInArrow(rest, f"query long, id long, score {score}")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")
