@@ -58,6 +58,13 @@ def write_watermark(lake: Lake) -> DataFrame:
     return monitor.watermarks(lake.audit)
 
 
+@query("read_watermark", "select table_name, max(logged_at) as logged_at from audit where status = 'OK' and last_watermark is not null group by 1")
+def read_watermark(lake: Lake) -> DataFrame:
+    store = SnapshotStore(lake.spark, new_folder(lake.spark, "audit"))
+    store.append("audit", lake.audit.where("status = 'OK'"))
+    return store.read("audit").where("last_watermark is not null").groupBy("table_name").agg(F.max("logged_at").alias("logged_at"))
+
+
 @query("check_dq_rate", f"with {LATEST} {ALERTS['dq_rate']}")
 def check_dq_rate(lake: Lake) -> DataFrame:
     return monitor.check_dq_rate(lake.audit)

@@ -1,5 +1,8 @@
 """Every query of the reference's operators against its SQL."""
 
+import subprocess
+import sys
+
 import pytest
 
 from quern.queries import QUERIES, SQL
@@ -20,6 +23,10 @@ def test_query(spark, con, name):
     assert_same(QUERIES[name](spark, SMALL), con, SQL[name])
 
 
+def test_entry_point_needs_no_session():
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, timeout=120)
+
+
 def test_entry(spark):
     import __spark_entry__
 
