@@ -1,10 +1,16 @@
-"""Bounded samples of labelled rows, and the fold that is held out."""
+"""Bounded samples of labelled rows, the fold that is held out, and scoring of whole texts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.spans import lean, portions, text_bytes
+
 FOLDS = 5
 """Rows whose crc32(key as text) mod FOLDS is 0 are held out."""
 
@@ -22,3 +28,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str,
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("key"), "key").limit(limit)
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(own), "key").select("key", "text", "label")
+
+
+def scored(docs: DataFrame, scores: Callable[[np.ndarray, np.ndarray], np.ndarray], key: str, text: str, threshold: float, keep: tuple[str, ...]) -> DataFrame:
+    """key, held_out, score, predicted and the columns in keep; scores: of the texts with these bytes and offsets.
+
+    The text goes to the function once, also if it is kept.
+    """
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0), *(scores(data, offs) for _, _, data, offs in portions(*text_bytes(batch.column(0))))]
+            first = 0 if text in keep else 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(np.concatenate(found))], [*batch.schema.names[first:], "score"])
+
+    others = [c for c in keep if c not in (key, text)]
+    rows = docs.select(F.col(text).cast("string").alias("input"), F.col(key).alias("key"), *(F.col(c).alias(f"keep_{c}") for c in others))
+    fields = rows.schema.fields[0 if text in keep else 1 :]
+    out = rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", score double")
+    kept = [F.col("input" if c == text else f"keep_{c}").alias(c) for c in keep if c != key]
+    return out.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)

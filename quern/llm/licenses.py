@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.spans import SPACE, hash_runs, portions, text_bytes, word_hashes
+from quern.llm.spans import SPACE, hash_runs, lean, portions, text_bytes, word_hashes
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -155,6 +155,7 @@ def licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templa
     """
     phrases = PHRASES if phrases is None else phrases
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(templates, phrases)
         anchors = np.unique(automaton.anchors)

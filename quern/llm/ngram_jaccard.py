@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.shared import discard, kept
-from quern.llm.spans import mix, portions, set_digests, shingles, text_bytes
+from quern.llm.spans import lean, mix, portions, set_digests, shingles, text_bytes
 
 FLUSH = 2 << 20
 """n-grams a task gathers before it deals them out."""
@@ -45,6 +45,7 @@ YIELD = 0.05
 def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, n (size of the set), class (digest of the set, null if it is empty) for each row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
@@ -72,6 +73,7 @@ def dealt(docs: DataFrame, text: str, width: int, bits: int) -> DataFrame:
     """n-grams (48 bits of their hash) by bucket, packed: low and high part, and the classes they are of."""
     names = ["bucket", "low", "high", "of", "classes", "sizes"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, np.ndarray] = {}
         count = 0

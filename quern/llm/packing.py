@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.pieces import encoder
 from quern.llm.shared import kept, kept_in_place
-from quern.llm.spans import text_bytes
+from quern.llm.spans import lean, text_bytes
 
 PIECES = "key {key}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 SMALL = 200_000
@@ -23,6 +23,7 @@ SMALL = 200_000
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, source: str) -> DataFrame:
     """key, source, ids (packed little-endian, 2 or 4 bytes each), n: the ids of each text and end_id."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
@@ -137,6 +138,7 @@ def pack(
         rows = dealt.join(carried, "at", "left").withColumn("part", F.shiftright("at", 33)).repartition("part").sortWithinPartitions("at")
     schema = PIECES.format(key=kind)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = encoder(tokenizer).dtype
         fields = ["key", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]

@@ -31,7 +31,9 @@ _CUT[_OTHER, [_LETTER, _DIGIT]] = True
 _CUT[_APOSTROPHE, _DIGIT] = True
 _CUT = _CUT.ravel()
 
-KNOWN = 1 << 20
+BLOCK = 1 << 20
+"""Bytes whose pieces are looked up at once."""
+KNOWN = 3 << 18
 """Distinct pieces a worker keeps; beyond that it starts anew, which costs time only."""
 BATCH = 1 << 20
 """Bytes of pieces in one call of the library."""
@@ -138,7 +140,7 @@ class Encoder:
 
     def _parts(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each block: the text of each piece, and the piece's entry."""
-        for lo, hi in blocks(data, offs):
+        for lo, hi in blocks(data, offs, BLOCK):
             first = offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo
             starts, entries = self.look_up(data[lo:hi], first)
             yield np.searchsorted(offs, starts + lo, "right") - 1, entries

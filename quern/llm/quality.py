@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.labelled import held_out, sample
-from quern.llm.spans import SPACE, blocks, hash_runs, mix, portions, runs, text_bytes
+from quern.llm.labelled import sample, scored
+from quern.llm.spans import SPACE, blocks, hash_runs, lean, mix, portions, runs, text_bytes
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _BAR = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = True
@@ -96,6 +96,7 @@ def fit(x: np.ndarray, labels: np.ndarray, *, at: float, pairs: int = 60_000, st
 def _featured(rows: DataFrame, schema: str) -> DataFrame:
     """The input column as features (packed doubles); other columns stay."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(data, offs).astype("<f8") for _, _, data, offs in portions(*text_bytes(batch.column(0)))]
@@ -120,12 +121,4 @@ def score(docs: DataFrame, ranking: Ranking, *, key: str = "doc_id", text: str =
     every score is the share of label 1.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [ranking.scores(features(data, offs)) for _, _, data, offs in portions(*text_bytes(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate([np.zeros(0), *found]))], [*batch.schema.names[1:], "score"])
-
-    rows = docs.select(F.col(text).cast("string").alias("input"), F.col(key).alias("key"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", score double"
-    scored = rows.mapInArrow(run, schema)
-    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"keep_{c}").alias(c) for c in keep if c != key))
+    return scored(docs, lambda data, offs: ranking.scores(features(data, offs)), key, text, threshold, keep)

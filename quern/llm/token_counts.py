@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.pieces import encoder
-from quern.llm.spans import text_bytes
+from quern.llm.spans import lean, text_bytes
 
 
 def token_counts(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
@@ -25,6 +25,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
     Other columns of docs, whatever their names, are neither read nor returned.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:

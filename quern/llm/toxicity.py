@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.labelled import held_out, sample
+from quern.llm.labelled import sample, scored
 from quern.llm.shared import kept
-from quern.llm.spans import SPACE, blocks, hash_runs, portions, runs, text_bytes
+from quern.llm.spans import SPACE, blocks, hash_runs, lean, portions, runs, text_bytes
 
 BITS = 22
 """Terms are hashed into 2 ** BITS bins."""
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     terms of the sample come to the driver: at most rows x features numbers, a few dozen a text in practice.
     """
 
+    @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("label").to_numpy()
@@ -138,14 +139,4 @@ def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str =
     score is that label's share. The machine has at most 2 ** BITS bins, in practice `features` of train().
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros(0)]
-            for lo, hi, data, offs in portions(*text_bytes(batch.column(0))):
-                found.append(machine.scores(*terms(data, offs), hi - lo))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(found))], [*batch.schema.names[1:], "score"])
-
-    rows = docs.select(F.col(text).cast("string").alias("input"), F.col(key).alias("key"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", score double"
-    scored = rows.mapInArrow(run, schema)
-    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"keep_{c}").alias(c) for c in keep if c != key))
+    return scored(docs, lambda data, offs: machine.scores(*terms(data, offs), len(offs) - 1), key, text, threshold, keep)
