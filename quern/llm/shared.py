@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own where that is unset, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from quern.sources.scratch import new_folder, shared_folder
 
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows, computed once and read as Parquet from the shared folder from now on, also after the loss of an executor."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "kept")
     df.write.parquet(path)
     rows = df.sparkSession.read.schema(df.schema).parquet(path)
     rows.kept_path = path
