@@ -14,7 +14,7 @@ from quern.llm.labelled import sample, scored
 from quern.llm.shared import kept
 from quern.llm.spans import SPACE, blocks, hash_runs, lean, portions, runs, text_bytes
 
-BITS = 22
+BITS = 28
 """Terms are hashed into 2 ** BITS bins."""
 PREFIXES = (4, 5)
 """Besides whole words, the first so many bytes of longer words are terms, for inflected forms."""
@@ -74,7 +74,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(bins: np.ndarray, columns: np.ndarray, texts: np.ndarray, labels: np.ndarray, *, factors: int = 4, steps: int = 150, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> Machine:
+def fit(bins: np.ndarray, columns: np.ndarray, texts: np.ndarray, labels: np.ndarray, *, factors: int = 4, steps: int = 400, rate: float = 0.1, decay: float = 1e-5, seed: int = 0) -> Machine:
     """Logistic loss, positives and negatives of equal weight, by Adam over the whole sample."""
     rng, n, positives = np.random.default_rng(seed), len(labels), int(labels.sum())
     prior = np.clip(positives / (n + 1), 1e-6, 1 - 1e-6)
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     positives, n = used.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     if not 0 < positives < n:
         return fit(np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 2, np.concatenate([np.ones(positives), np.zeros(n - positives)]))
-    by_bin = used.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("label").alias("p"), F.count("*").alias("c")).where("c >= 3")
+    by_bin = used.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("label").alias("p"), F.count("*").alias("c")).where("c >= 5")
     p, q = (F.col("p") + 0.5) / (positives + 1), (F.col("c") - F.col("p") + 0.5) / (n - positives + 1)
     z = F.abs(p - q) / F.sqrt(p * (1 - p) / positives + q * (1 - q) / (n - positives))
     best = by_bin.withColumn("z", z).where(F.greatest(p / q, q / p) >= lift).orderBy(F.desc("z"), "bin").limit(features)
