@@ -225,8 +225,10 @@ def similar(sets: DataFrame, percent: int) -> DataFrame | None:
         else:
             # at first those with the least unshared n-grams lead, as an original among its edited copies has
             by = F.col("unshared") / F.col("n") if labels is None else F.xxhash64("class", F.lit(turn)) / F.lit(2.0**63)
-            lead = F.min(F.struct(by.alias("by"), *(F.col(c).alias(f"{c}_y") for c in (*own, "part"))))
-            leaders = now.groupBy("gram", "step", "part").agg(lead.alias("l")).select("gram", "step", "l.*")
+            leaders = now.select("gram", "step", by.alias("by"), *(F.col(c).alias(f"{c}_y") for c in (*own, "part")))
+            if labels is not None:  # one of each component; at first each class is one
+                leaders = leaders.groupBy("gram", "step", "part_y").agg(F.min(F.struct("by", *(f"{c}_y" for c in (*own, "part")))).alias("l")).select("gram", "step", "l.*")
+            # each task sends LEADERS rows of a list at most
             leaders = leaders.withColumn("place", F.row_number().over(Window.partitionBy("gram", "step").orderBy("by", "class_y"))).where(F.col("place") <= LEADERS).drop("by", "place", "step_y")
             pairs = now.select("gram", "step", *(F.col(c).alias(f"{c}_x") for c in (*own, "part") if c != "step")).join(leaders, ["gram", "step"]).where("part_x <> part_y")
         pairs = pairs.where(passing("_x", "_y", percent)).select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct()
