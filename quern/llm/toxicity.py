@@ -95,13 +95,67 @@ def fit(bins: np.ndarray, columns: np.ndarray, texts: np.ndarray, labels: np.nda
     return m
 
 
+def entropy(x: np.ndarray) -> np.ndarray:
+    """x ln x."""
+    return x * np.log(np.maximum(x, 1))
+
+
+def association(hits: np.ndarray, n: np.ndarray, every_hit: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """The root of the likelihood ratio statistic: do `hits` of n and the rest of every_hit of every differ in share?"""
+    cells = entropy(hits) + entropy(n - hits) + entropy(every_hit - hits) + entropy(every - n - every_hit + hits)
+    sides = entropy(n) + entropy(every - n) + entropy(every_hit) + entropy(every - every_hit)
+    return np.sqrt(np.maximum(2 * (cells - sides + entropy(every)), 0))
+
+
+def bar(bins: int) -> float:
+    """What the strongest association of so many bins' pairs is expected to reach by chance."""
+    return float(np.sqrt(2 * np.log(max(bins * (bins - 1) / 2, 2))))
+
+
+def telling(columns: np.ndarray, ends: np.ndarray, labels: np.ndarray, width: int, least: int, high: float, first: int, step: int) -> np.ndarray:
+    """Columns of pairs (a, b), a in first, first + step, ..., a < b, where each tells the label apart where the other stands.
+
+    Text i has the columns [ends[i], ends[i + 1]), in order. All pairs that at least `least` texts have are counted
+    exactly; both associations must reach `high`.
+    """
+    labels, sizes = labels.astype(bool), np.diff(ends)
+    texts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    places, offs = np.argsort(columns, kind="stable"), np.append(0, np.cumsum(np.bincount(columns, minlength=width)))
+    c, p = np.diff(offs).astype(float), np.bincount(columns, labels[texts], width)
+    found = np.zeros(width, bool)
+    for a in range(first, width, step):
+        own = places[offs[a] : offs[a + 1]]
+        sides = []
+        for kind in (True, False):
+            side, counts = own[labels[texts[own]] == kind], np.zeros(width, np.int64)
+            after = ends[texts[side] + 1] - side - 1
+            for part, n in zip(*(np.array_split(x, int(after.sum()) // 500_000 + 1) for x in (side, after)), strict=True):
+                counts += np.bincount(columns[np.repeat(part + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=width)
+            sides.append(counts)
+        b = np.flatnonzero(sides[0] + sides[1] >= least)
+        hits = sides[0][b].astype(float)
+        n = hits + sides[1][b]
+        b = b[np.minimum(association(hits, n, p[a], c[a]), association(hits, n, p[b], c[b])) >= high]
+        found[b] = True
+        found[a] |= len(b) > 0
+    return np.flatnonzero(found)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 20_000, features: int = 1024, lift: float = 1.5, key: str = "doc_id", text: str = "text") -> Machine:
     """A machine from at most `rows` labelled rows outside the held-out fold.
 
-    Counts of terms by label are summed on the cluster; the `features` bins kept are those with the largest |z| for the
-    difference of the two labels' shares, among those whose shares differ by a factor of `lift` at least. Only these
-    terms of the sample come to the driver: at most rows x features numbers, a few dozen a text in practice.
+    Its bins are those that tell labels apart alone, and those that do so in pairs. Alone: the `features` bins with the
+    largest |z| for the difference of the two labels' shares, among those whose shares differ by a factor of `lift` at
+    least. In pairs: all bins of telling(), however common each is among either label, without a limit to their number.
+    Bins, and pairs, that fewer than 5 texts have take no part; nor do pairs of a bin that stands in so few texts (or
+    texts so much of one label) that no other bin could lift its association to the bar.
+
+    Counts by bin are summed on the cluster; those of bins in 5 texts or more come to the driver, with the terms of the
+    sample that are among the bins that stand alone or might pair: 4 bytes for each distinct one of a text. These are
+    broadcast, and all their pairs counted in Spark tasks, a share of the bins in each; time grows with the sum of the
+    squares of texts' distinct terms.
     """
+    least = 5
 
     @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,21 +168,55 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
 
     used = kept(sample(docs, labels, label, rows, key, text).mapInArrow(spread, "label int, bins array<int>"))
     positives, n = used.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    none = np.zeros(0, np.int32)
+    alike = np.concatenate([np.ones(positives), np.zeros(n - positives)])
     if not 0 < positives < n:
-        return fit(np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 2, np.concatenate([np.ones(positives), np.zeros(n - positives)]))
-    by_bin = used.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("label").alias("p"), F.count("*").alias("c")).where("c >= 5")
-    p, q = (F.col("p") + 0.5) / (positives + 1), (F.col("c") - F.col("p") + 0.5) / (n - positives + 1)
-    z = F.abs(p - q) / F.sqrt(p * (1 - p) / positives + q * (1 - q) / (n - positives))
-    best = by_bin.withColumn("z", z).where(F.greatest(p / q, q / p) >= lift).orderBy(F.desc("z"), "bin").limit(features)
-    bins = np.sort(np.array([r.bin for r in best.select("bin").collect()], np.int32))
+        return fit(none, none, none, alike)
+    counts = used.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("label").alias("p"), F.count("*").alias("c")).where(f"c >= {least}").orderBy("bin").toArrow()
+    bins, toxic, c = (counts.column(x).to_numpy() for x in ("bin", "p", "c"))
+    p, q = (toxic + 0.5) / (positives + 1), (c - toxic + 0.5) / (n - positives + 1)
+    z = np.abs(p - q) / np.sqrt(p * (1 - p) / positives + q * (1 - q) / (n - positives))
+    apart = np.flatnonzero(np.maximum(p / q, q / p) >= lift)
+    alone = np.zeros(len(bins), bool)
+    alone[apart[np.lexsort((apart, -z[apart]))[:features]]] = True
+    high = bar(len(bins))
+    able = association(toxic.astype(float), toxic.astype(float), toxic.astype(float), c.astype(float)) >= high
+    bins, alone, able = (x[alone | able] for x in (bins, alone, able))
     if not len(bins):
-        return fit(bins, *[np.zeros(0, np.int64)] * 2, np.concatenate([np.ones(positives), np.zeros(n - positives)]))
-    chosen = F.array(*(F.lit(int(b)) for b in bins)) if len(bins) < 16 else F.from_json(F.lit(str(bins.tolist())), "array<int>")
-    few = used.select("label", F.sort_array(F.array_intersect("bins", chosen)).alias("bins")).toArrow()
-    lists = few.column("bins").combine_chunks()
-    texts = np.repeat(np.arange(len(few)), np.diff(lists.offsets.to_numpy()))
-    order = few.column("label").to_numpy().astype(float)
-    return fit(bins, np.searchsorted(bins, lists.flatten().to_numpy()), texts, order)
+        return fit(none, none, none, alike)
+
+    @lean
+    def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bins")
+            every, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            at = np.minimum(np.searchsorted(bins, every), len(bins) - 1)
+            hit = bins[at] == every
+            ends = np.append(0, np.cumsum(hit))[ends - ends[0]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], ["label", "columns"])
+
+    table = used.mapInArrow(fewer, "label int, columns array<int>").toArrow()
+    order, lists = table.column("label").to_numpy().astype(float), table.column("columns").combine_chunks()
+    columns, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    texts = np.repeat(np.arange(len(order)), sizes)
+    place, width = np.cumsum(able) - 1, int(able.sum())
+    hit = able[columns]
+    spark, tasks = docs.sparkSession, min(width, 16)
+    shared = spark.sparkContext.broadcast((place[columns[hit]].astype(np.int32), np.append(0, np.cumsum(np.bincount(texts[hit], minlength=len(order)))), order))
+
+    @lean
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                found = telling(*shared.value, width, least, high, first, tasks)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], ["at"])
+
+    if tasks:
+        paired = [r.at for r in spark.range(0, tasks, 1, tasks).mapInArrow(pairs, "at int").distinct().collect()]
+        alone[np.flatnonzero(able)[paired]] = True
+    shared.destroy()
+    place, hit = np.cumsum(alone) - 1, alone[columns]
+    return fit(bins[alone], place[columns[hit]], texts[hit], order)
 
 
 def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -136,7 +224,7 @@ def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str =
 
     Only the text is an input. Every text is read whole, in portions. Null or empty text has no terms; its score is that
     of the bias. Repeated rows and null keys: a row each. Empty table: no rows. No labels, or labels of one kind: every
-    score is that label's share. The machine has at most 2 ** BITS bins, in practice `features` of train().
+    score is that label's share. The machine has at most 2 ** BITS bins: those of train().
     """
 
     return scored(docs, lambda data, offs: machine.scores(*terms(data, offs), len(offs) - 1), key, text, threshold, keep)

@@ -220,6 +220,49 @@ def test_machine_learns_pairs_that_weights_cannot():
     assert right > 0.99 and additive < 0.8
 
 
+def pair_texts(rng, rule, n=3000):
+    """Texts with "grumbal" and "zorvian" (each in half of them), 30 of 3,000 other words, and labels by a rule of the two."""
+    has = rng.random((n, 2)) < 0.5
+    texts = [" ".join([*(w for w, h in zip(("grumbal", "zorvian"), row, strict=True) if h), *(f"q{i}x" for i in rng.integers(0, 3000, 30))]) for row in has]
+    return texts, rule(has[:, 0], has[:, 1])
+
+
+@pytest.mark.parametrize("rule", [np.logical_xor, np.logical_and], ids=["xor", "and"])
+def test_training_admits_words_that_tell_only_in_pairs(spark, rule):
+    """Through train() and score(), on texts that training did not see; in xor each word is as common among either label."""
+    texts, toxic = pair_texts(np.random.default_rng(3), rule)
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    got, _ = accuracy(toxicity.score(d, toxicity.train(d, labels)), labels, "toxic")
+    assert got > 0.95
+
+
+def test_pairs_are_counted_exactly():
+    """Shares of the columns give the same columns as brute force over all pairs."""
+    rng = np.random.default_rng(5)
+    has = rng.random((400, 30)) < 0.3
+    labels = (has[:, 4] ^ has[:, 9]).astype(float)
+    texts, columns = np.nonzero(has)
+    ends = np.append(0, np.cumsum(has.sum(1)))
+    want, high = set(), toxicity.bar(30)
+
+    def tells(a, b):
+        inside, g = has[:, a], 0.0
+        for x in (True, False):
+            for y in (0.0, 1.0):
+                o = np.sum(inside & (has[:, b] == x) & (labels == y))
+                e = np.sum(inside & (has[:, b] == x)) * np.sum(inside & (labels == y)) / max(np.sum(inside), 1)
+                g += 2 * o * np.log(o / e) if o else 0
+        return np.sqrt(max(g, 0)) >= high
+
+    for a in range(30):
+        for b in range(a + 1, 30):
+            if np.sum(has[:, a] & has[:, b]) >= 5 and tells(a, b) and tells(b, a):
+                want |= {a, b}
+    found = {int(x) for first in range(7) for x in toxicity.telling(columns, ends, labels, 30, 5, high, first, 7)}
+    assert {4, 9} <= found == want
+
+
 def test_ranking_orders_and_cuts():
     rng = np.random.default_rng(0)
     x = np.abs(rng.normal(size=(500, len(quality.FEATURES))))
