@@ -10,6 +10,7 @@ from quern.functions.scalars import total
 from quern.operators import dq, merge, rows
 from quern.queries.base import dsum, pct, query
 from quern.sources import files
+from quern.sources.scratch import new_folder
 
 DIRTY = """select cast(c_custkey as varchar) as customer_id, case when c_custkey % 7 = 0 then 'TEXT' else cast(c_nationkey as varchar) || '.7' end as nation, case when c_custkey % 5 = 0 then '  ' || c_name || ' ' else c_name end as name,
   case when c_custkey % 11 = 0 then 'None' else lower(c_mktsegment) end as segment from customer"""
@@ -38,8 +39,12 @@ def safe_union(lake: Lake) -> DataFrame:
 
 @query("scan_multi_source", "select s_suppkey as key, s_name as name, 'clean' as _source from supplier union all select c_custkey, c_name, 'dirty' from customer where c_custkey % 10 = 0")
 def scan_multi_source(lake: Lake) -> DataFrame:
-    clean = lake.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.lit("clean").alias("_source"))
-    return rows.safe_union([clean, lake.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit("dirty").alias("_source"))])
+    """The whole of both tables from folders of CSV and of Parquet; a third folder is missing."""
+    folder = new_folder(lake.spark, "multi")
+    lake.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")).write.options(header=True, escape='"').csv(f"{folder}/clean")
+    lake.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).write.parquet(f"{folder}/dirty")
+    found = files.scan_multi_source(lake.spark, {source: f"{folder}/{source}" for source in ("clean", "none", "dirty")})
+    return found.select(F.col("key").cast("long").alias("key"), "name", "_source")
 
 
 @query("row_hash", "select c_custkey, md5(coalesce(c_name, '') || '|' || coalesce(c_mktsegment, '')) as compat, md5(cast(length(c_name) as varchar) || ':' || c_name || '|' || cast(length(c_mktsegment) as varchar) || ':' || c_mktsegment) as safe from customer")
