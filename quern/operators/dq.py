@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import NULL_TOKENS
@@ -42,9 +44,13 @@ def not_ascii(c: Column) -> Column:
 
 
 def near_duplicates(df: DataFrame, key: str, content: list[str]) -> DataFrame:
-    """Rows whose content another row with a smaller key has: grouped by content, so no row meets every other."""
-    n = F.row_number().over(Window.partitionBy(*content).orderBy(key))
-    return df.withColumn("_n", n).withColumn("original", F.min(key).over(Window.partitionBy(*content))).where("_n > 1").drop("_n")
+    """Rows whose content (null is one too) another row with a smaller key has.
+
+    The least key of each repeated content is aggregated and joined back, a join that can be broadcast or split where skewed.
+    """
+    first = df.groupBy(*(F.col(c).alias(f"_{c}") for c in content)).agg(F.min(key).alias("original"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in content))
+    return df.join(first, same & (F.col(key) > F.col("original"))).select(*df.columns, "original")
 
 
 def truncated(df: DataFrame, key: str, column: str, least: int, often: int) -> DataFrame:

@@ -178,3 +178,11 @@ def test_pipeline_incremental(spark):
     assert p.run_layers({spec: df}, [], dry_run=True) == [{"layer": "bronze", "table": "e", "mode": "FULL"}, {"layer": "silver", "table": "e", "mode": "FULL"}]
     with pytest.raises(ValueError, match="unknown modes"):
         p.run_layers({spec: df}, [], "NIGHTLY")
+
+
+def test_near_duplicates_group_without_a_window(spark):
+    """A group of copies is aggregated, not sorted whole in one task; equal keys are no copies of each other."""
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (3, "x"), (2, None), (5, None), (4, ""), (6, "y"), (None, "x")], "k long, v string")
+    found = dq.near_duplicates(df, "k", ["v"])
+    assert sorted((r.k, r.v, r.original) for r in found.collect()) == [(3, "x", 1), (5, None, 2)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
