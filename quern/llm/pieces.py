@@ -9,13 +9,14 @@ are found as in the whole text. Nothing is cut beside a character outside ASCII.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 
-from quern.llm.spans import EXACT, LOWER, SPACE, blocks, hash_runs, runs
+from quern.llm.spans import LONG, SPACE, blocks, chain, lowered, parts, runs
 
 _LETTER, _DIGIT, _OTHER, _APOSTROPHE, _WIDE = range(1, 6)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -56,7 +57,7 @@ def cuts_by_character_kind(path: str) -> bool:
 
 
 def cut(block: np.ndarray, first: np.ndarray, guards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of a block's pieces; guards: first bytes of added tokens."""
+    """Starts and ends of a block's pieces, and which of them may hold an added token (guards: first bytes of these)."""
     kind = _KIND[block]
     inside = kind > 0
     starts, ends = runs(inside, first)
@@ -73,11 +74,21 @@ def cut(block: np.ndarray, first: np.ndarray, guards: np.ndarray) -> tuple[np.nd
     at[:-1] |= inner[:-1] & inside
     starts = np.flatnonzero(at)
     ends = np.minimum(np.append(starts[1:], len(block)), ends[np.searchsorted(ends, starts, "right")]) if len(starts) else starts
-    hashes = hash_runs(block, starts, ends, LOWER)
-    if guarded.size:  # upper case counts beside an added token, which is matched before lower-casing
-        k = np.searchsorted(starts, guarded)
-        hashes[k] = hash_runs(block, starts[k], ends[k], EXACT) ^ np.uint64(0x5BD1E995A5A5A5A5)
-    return starts, ends, hashes
+    return starts, ends, np.isin(starts, guarded)
+
+
+def alike(one: np.ndarray, at: np.ndarray, other: np.ndarray, where: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the first sizes bytes (LONG at most) are the same from at on in one and from where on in other."""
+    same, one, other = np.ones(len(at), bool), parts(one), parts(other)
+    rows = np.arange(len(at))
+    for k in range(0, LONG, 8):
+        rows = rows[sizes[rows] > k]
+        if not len(rows):
+            break
+        odd = one[at[rows] + k] ^ other[where[rows] + k]
+        left = np.minimum(sizes[rows] - k, 8).astype(np.uint64) * np.uint64(8)
+        same[rows] &= (odd << (np.uint64(64) - left)) == 0
+    return same
 
 
 class Encoder:
@@ -105,61 +116,90 @@ class Encoder:
     def _clear(self) -> None:
         self.hashes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.lengths, self.ends, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.raw, self.raw_at, self.sizes = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, block: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        new: list[np.ndarray] = []
-        raw = block.tobytes()
-        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    def _encode(self, block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The library's ids of some pieces, in batches balanced by bytes, not by number."""
+        found: list[np.ndarray] = []
         size = np.cumsum(ends - starts)
         lo = 0
-        while lo < len(texts):  # batches balanced by bytes, not by number
+        while lo < len(starts):
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BATCH, "right")))
-            new += [np.array(x.ids, self.dtype) for x in self.library.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+            texts = [block[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
+            found += [np.array(x.ids, self.dtype) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             lo = hi
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        return found
+
+    def _learn(self, block: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        new, sizes = self._encode(block, starts, ends), ends - starts
         entries = np.arange(len(self.lengths), len(self.lengths) + len(new))
-        self.lengths = np.concatenate([self.lengths, lengths])
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int64, len(new))])
         self.ids = np.concatenate([self.ids, *new])
         self.ends = np.cumsum(self.lengths)
+        own = np.cumsum(sizes) - sizes  # the pieces themselves, to compare with
+        self.raw_at, self.sizes = np.concatenate([self.raw_at, len(self.raw) - 8 + own]), np.concatenate([self.sizes, sizes])
+        self.raw = np.concatenate([self.raw[:-8], low[np.repeat(starts - own, sizes) + np.arange(sizes.sum())], np.zeros(8, np.uint8)])
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, at, hashes[order])
         self.entries = np.insert(self.entries, at, entries[order])
 
-    def look_up(self, block: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each piece of a block starts, and its entry."""
-        starts, ends, hashes = cut(block, first, self.guards)
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def look_up(self, block: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where each piece of a block starts, its entry, and of all entries: lengths, ends, ids.
+
+        Pieces are found by hash, and then compared byte for byte with the one that is known; what differs, and long
+        pieces and those that may hold an added token, are encoded for this block alone.
+        """
+        starts, ends, odd = cut(block, first, self.guards)
+        entries, sizes = np.zeros(len(starts), np.int64), ends - starts
+        odd |= sizes > LONG
         if len(self.hashes) > KNOWN:
             self._clear()
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
-        if new.any():
-            self._learn(block, starts[where[new]], ends[where[new]], distinct[new])
-        return starts, self.entries[np.searchsorted(self.hashes, distinct)][back] if len(distinct) else np.zeros(0, np.int64)
-
-    def _parts(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each block: the text of each piece, and the piece's entry."""
+        if len(plain := np.flatnonzero(~odd)):
+            low = lowered(block)
+            hashes = chain(parts(low), starts[plain], sizes[plain])
+            distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+            new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+            if new.any():
+                self._learn(block, low, starts[plain[where[new]]], ends[plain[where[new]]], distinct[new])
+            own = self.entries[np.searchsorted(self.hashes, distinct)][back]
+            same = (self.sizes[own] == sizes[plain]) & alike(low, starts[plain], self.raw, self.raw_at[own], np.minimum(sizes[plain], self.sizes[own]))
+            entries[plain] = own
+            odd[plain[~same]] = True
+        if not odd.any():
+            return starts, entries, self.lengths, self.ends, self.ids
+        others = np.flatnonzero(odd)
+        texts: dict[bytes, int] = {}
+        number = [texts.setdefault(hashlib.blake2b(block[starts[k] : ends[k]], digest_size=16).digest(), len(texts)) for k in others.tolist()]
+        once = others[np.unique(number, return_index=True)[1]]
+        ids = self._encode(block, starts[once], ends[once])
+        entries[others] = len(self.lengths) + np.array(number)
+        lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
+        return starts, entries, lengths, np.cumsum(lengths), np.concatenate([self.ids, *ids])
+
+    def _parts(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each block: the text of each piece, the piece's entry, and the entries."""
         for lo, hi in blocks(data, offs, BLOCK):
             first = offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo
-            starts, entries = self.look_up(data[lo:hi], first)
-            yield np.searchsorted(offs, starts + lo, "right") - 1, entries
+            starts, *found = self.look_up(data[lo:hi], first)
+            yield np.searchsorted(offs, starts + lo, "right") - 1, *found
 
     def counts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Number of ids of each text."""
         n = np.zeros(len(offs) - 1, np.int64)
-        for texts, entries in self._parts(data, offs):
-            n += np.bincount(texts, self.lengths[entries], len(n)).astype(np.int64)
+        for texts, entries, known, _, _ in self._parts(data, offs):
+            n += np.bincount(texts, known[entries], len(n)).astype(np.int64)
         return n
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and len + 1 offsets into them."""
         n, ids = np.zeros(len(offs) - 1, np.int64), [np.zeros(0, self.dtype)]
-        for texts, entries in self._parts(data, offs):
-            lengths = self.lengths[entries]
+        for texts, entries, known, stops, every in self._parts(data, offs):
+            lengths = known[entries]
             ends = np.cumsum(lengths)
             n += np.bincount(texts, lengths, len(n)).astype(np.int64)
-            ids.append(self.ids[np.repeat(self.ends[entries] - ends, lengths) + np.arange(ends[-1] if len(ends) else 0)])
+            ids.append(every[np.repeat(stops[entries] - ends, lengths) + np.arange(ends[-1] if len(ends) else 0)])
         return np.concatenate(ids), np.append(0, np.cumsum(n))
 
 

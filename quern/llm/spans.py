@@ -1,12 +1,14 @@
 """Words of many texts at once: numpy over the byte buffer of an Arrow column.
 
-A word is a run of bytes that are not ASCII white space. Its hash is a polynomial over a fixed random
-value for each byte, taken from one running sum over the block, so no word becomes a Python object.
+A word is a run of bytes that are not ASCII white space. Its hash is a chain over its 8-byte parts, each step a
+bijection of 64 bits, for all words of a block together; a run of more than LONG bytes is hashed by itself with BLAKE2.
+No short word becomes a Python object, and what a block needs is a few bytes for each of its own.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,18 +16,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 19
-"""Bytes that are hashed at once; a block ends with a text, or at white space inside a longer text."""
+"""Bytes that are hashed at once; a block ends with a text, or between words of a longer text."""
+LONG = 64
+"""Bytes of a run that the chain takes; 8 steps."""
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-_RANDOM = np.random.default_rng(20240229)
-EXACT = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LOWER = EXACT.copy()
-"""Byte values with A-Z as a-z."""
-LOWER[65:91] = EXACT[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+LOWER = np.arange(256, dtype=np.uint8)
+"""Bytes with A-Z as a-z."""
+LOWER[65:91] = np.arange(97, 123)
+_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, LONG + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+"""One for each length."""
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -46,13 +48,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n + 1:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n, BLOCK) + 1, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
+def parts(low: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of low on, little-endian; low has 8 bytes more than the block."""
+    return np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+
+
+def lowered(block: np.ndarray) -> np.ndarray:
+    """The block with A-Z as a-z, and 8 bytes more."""
+    low = np.zeros(len(block) + 8, np.uint8)
+    np.take(LOWER, block, out=low[: len(block)])
+    return low
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,31 +73,73 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, offs - offs[0]
 
 
-def blocks(data: np.ndarray, offs: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about limit bytes: whole texts, or parts of a longer text cut after white space."""
+def blocks(data: np.ndarray, offs: np.ndarray, limit: int = BLOCK, inside: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about limit bytes: whole texts, or parts of a longer text cut after a byte that no word has.
+
+    A range of more than limit bytes is one word, all of it (inside: which byte values words have).
+    """
+    gap = SPACE if inside is None else ~inside
     lo, end = 0, int(offs[-1])
     while lo < end:
-        k = int(np.searchsorted(offs, lo + limit, "right")) - 1
-        hi = int(offs[k])
+        hi = int(offs[np.searchsorted(offs, lo + limit, "right") - 1])
         if hi <= lo:  # one text is longer than the limit
             stop = int(offs[np.searchsorted(offs, lo, "right")])
-            hi = min(lo + limit, stop)
-            while hi < stop:
-                gap = np.flatnonzero(SPACE[data[hi : hi + 65536]])
-                if len(gap):
-                    hi += int(gap[0]) + 1
-                    break
-                hi = min(hi + 65536, stop)
+            hi = _cut(data, gap, lo, min(lo + limit, stop), stop)
         yield lo, hi
         lo = hi
 
 
-def hash_runs(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash for each run [start, end) of a block."""
-    up, down = _powers(len(block))
-    sums = np.zeros(len(block) + 1, np.uint64)
-    np.cumsum(values[block] * up[: len(block)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def _cut(data: np.ndarray, gap: np.ndarray, lo: int, hi: int, stop: int) -> int:
+    """After the last gap before hi; if there is none, at the first one from hi on."""
+    if hi == stop:
+        return hi
+    for at in range(hi, lo, -65536):
+        if len(found := np.flatnonzero(gap[data[max(at - 65536, lo) : at]])):
+            return max(at - 65536, lo) + int(found[-1]) + 1
+    for at in range(hi, stop, 65536):
+        if len(found := np.flatnonzero(gap[data[at : at + 65536]])):
+            return min(at + int(found[0]), stop)
+    return stop
+
+
+def digest(run: np.ndarray) -> int:
+    """64 bits of BLAKE2 of a run, with A-Z as a-z."""
+    state = hashlib.blake2b(digest_size=8)
+    for at in range(0, len(run), BLOCK):
+        state.update(LOWER[run[at : at + BLOCK]])
+    return int.from_bytes(state.digest(), "little")
+
+
+def chain(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash for each run of up to LONG bytes; words: parts() of the block."""
+    hashes = _SEEDS[sizes]
+    rows = np.arange(len(starts))
+    for k in range(0, LONG, 8):
+        rows = rows[sizes[rows] > k]
+        if not len(rows):
+            break
+        hashes[rows] = mix(hashes[rows] ^ (words[starts[rows] + k] & _MASKS[np.minimum(sizes[rows] - k, 8)]))
+    return hashes
+
+
+def hash_runs(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each run [start, end) of a block, with A-Z as a-z."""
+    sizes = ends - starts
+    long = np.flatnonzero(sizes > LONG)
+    if len(long) < len(sizes):
+        hashes = chain(parts(lowered(block)), starts, np.where(sizes > LONG, 0, sizes))
+    else:
+        hashes = np.zeros(len(sizes), np.uint64)
+    for k in long.tolist():
+        hashes[k] = digest(block[starts[k] : ends[k]])
+    return hashes
+
+
+def words_of(block: np.ndarray, first: np.ndarray, inside: np.ndarray, limit: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a block's words; a block from blocks() that is longer than the limit is one."""
+    if len(block) > limit and not len(first[(first > 0) & (first < len(block))]):
+        return np.zeros(1, np.int64), np.full(1, len(block))
+    return runs(inside[block], first)
 
 
 def runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +159,13 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None =
     """Of all texts, in order: word hashes with A-Z as a-z, the text each word is in, and where it starts.
 
     inside[b] says which byte values belong to words; by default all but ASCII white space.
-    A cut inside a long text falls after white space, so inside must exclude that.
     """
     inside = ~SPACE if inside is None else inside
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for lo, hi in blocks(data, offs):
+    for lo, hi in blocks(data, offs, inside=inside):
         block = data[lo:hi]
         first = offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo
-        starts, ends = runs(inside[block], first)
+        starts, ends = words_of(block, first, inside)
         found.append((hash_runs(block, starts, ends), np.searchsorted(offs, starts + lo, "right") - 1, starts + lo))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -159,6 +205,9 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 def set_digests(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit digest for each set of hashes, whatever their order."""
-    sums = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64))
-    return mix(sums[ends[1:]] - sums[ends[:-1]] + np.diff(ends).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
+    """Two independent 64-bit digests (a row each) for each set of hashes, whatever their order."""
+    lanes = []
+    for salt, step in ((0xA0761D6478BD642F, 0xE7037ED1A0B428DB), (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
+        sums = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(salt)), dtype=np.uint64))
+        lanes.append(mix(sums[ends[1:]] - sums[ends[:-1]] + np.diff(ends).astype(np.uint64) * np.uint64(step)).view(np.int64))
+    return np.stack(lanes)
