@@ -23,7 +23,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str,
     """text, label for at most `limit` labelled rows outside the held-out fold: the first by a hash of the key.
 
     At most `limit` keys are broadcast, so documents are not shuffled. Null labels and keys take no part; a key with
-    several labels has the largest.
+    several labels has the largest. A key that stands on several documents brings all of them; callers keep one row of
+    each key, so that what they gather is bounded by `limit` rows.
     """
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("key"), "key").limit(limit)

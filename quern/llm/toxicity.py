@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.fitting import Batch, batches, evidence, sigmoid
 from quern.llm.labelled import sample, scored
-from quern.llm.shared import kept
-from quern.llm.spans import SPACE, blocks, hash_runs, lean, portions, runs, text_bytes
+from quern.llm.spans import SPACE, blocks, hash_runs, lean, mix, portions, text_bytes, words_of
 
 BITS = 28
 """Terms are hashed into 2 ** BITS bins."""
@@ -26,15 +26,14 @@ assert not (_INSIDE & SPACE).any()
 def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each term and the text it is in, with repeats; words are runs of letters, digits and non-ASCII, A-Z as a-z."""
     bins, texts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for lo, hi in blocks(data, offs):
+    for lo, hi in blocks(data, offs, inside=_INSIDE):
         block = data[lo:hi]
-        starts, ends = runs(_INSIDE[block], offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo)
+        starts, ends = words_of(block, offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo, _INSIDE)
         text = np.searchsorted(offs, starts + lo, "right") - 1
         for n in (0, *PREFIXES):
             keep = slice(None) if not n else np.flatnonzero(ends - starts > n)
             s, e = starts[keep], ends[keep]
-            hashes = hash_runs(block, s, s + n if n else e) + np.uint64(n << 40)
-            bins.append((hashes >> np.uint64(64 - BITS)).astype(np.int32))
+            bins.append((mix(hash_runs(block, s, s + n if n else e) + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32))
             texts.append(text[keep])
     return np.concatenate(bins), np.concatenate(texts)
 
@@ -54,12 +53,6 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def raw(self, columns: np.ndarray, texts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sum before the sigmoid, and each text's sum of factors; columns (places in bins) by text."""
-        sums = np.stack([np.bincount(texts, self.factors[columns, f], n) for f in range(self.factors.shape[1])], 1)
-        squares = np.bincount(texts, (self.factors**2).sum(1)[columns], n)
-        return self.bias + np.bincount(texts, self.weights[columns], n) + ((sums**2).sum(1) - squares) / 2, sums
-
     def scores(self, bins: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
         """For n texts, from all their terms with repeats."""
         if not len(self.bins):
@@ -67,156 +60,131 @@ class Machine:
         at = np.minimum(np.searchsorted(self.bins, bins), len(self.bins) - 1)
         hit = self.bins[at] == bins
         columns, texts = distinct(at[hit].astype(np.int32), texts[hit])
-        return sigmoid(self.raw(columns, texts, n)[0])
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def fit(bins: np.ndarray, columns: np.ndarray, texts: np.ndarray, labels: np.ndarray, *, factors: int = 4, steps: int = 400, rate: float = 0.1, decay: float = 1e-5, seed: int = 0) -> Machine:
-    """Logistic loss, positives and negatives of equal weight, by Adam over the whole sample."""
-    rng, n, positives = np.random.default_rng(seed), len(labels), int(labels.sum())
-    prior = np.clip(positives / (n + 1), 1e-6, 1 - 1e-6)
-    m = Machine(bins, float(np.log(prior / (1 - prior))), np.zeros(len(bins)), rng.normal(0, 0.05, (len(bins), factors)))
-    if not len(bins) or positives in (0, n):
-        return Machine(bins[:0], m.bias, m.weights[:0], m.factors[:0])
-    m.bias = -1.0
-    weight = np.where(labels == 1, 0.5 / positives, 0.5 / (n - positives))
-    grads = lambda: (lambda raw, sums: (lambda g: (g.sum(), np.bincount(columns, g[texts], len(bins)), np.stack([np.bincount(columns, g[texts] * (sums[texts, f] - m.factors[columns, f]), len(bins)) for f in range(factors)], 1)))(weight * (sigmoid(raw) - labels)))(*m.raw(columns, texts, n))
-    moments = [[np.zeros(1), np.zeros(1)], [np.zeros(len(bins))] * 2, [np.zeros((len(bins), factors))] * 2]
-    for t in range(1, steps + 1):
-        bias, weights, pairs = grads()
-        moved = []
-        for i, (g, x) in enumerate(((np.array([bias]), np.array([m.bias])), (weights + decay * m.weights, m.weights), (pairs + decay * m.factors, m.factors))):
-            first, second = moments[i] = [0.9 * moments[i][0] + 0.1 * g, 0.999 * moments[i][1] + 0.001 * g * g]
-            moved.append(x - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8))
-        m = Machine(bins, float(moved[0][0]), moved[1], moved[2])
-    return m
-
-
-def entropy(x: np.ndarray) -> np.ndarray:
-    """x ln x."""
-    return x * np.log(np.maximum(x, 1))
-
-
-def association(hits: np.ndarray, n: np.ndarray, every_hit: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """The root of the likelihood ratio statistic: do `hits` of n and the rest of every_hit of every differ in share?"""
-    cells = entropy(hits) + entropy(n - hits) + entropy(every_hit - hits) + entropy(every - n - every_hit + hits)
-    sides = entropy(n) + entropy(every - n) + entropy(every_hit) + entropy(every - every_hit)
-    return np.sqrt(np.maximum(2 * (cells - sides + entropy(every)), 0))
-
+        raw = self.bias + np.bincount(texts, self.weights[columns], n)
+        for f in range(self.factors.shape[1] if self.factors.any() else 0):
+            v = self.factors[columns, f].astype(float)
+            raw += (np.bincount(texts, v, n) ** 2 - np.bincount(texts, v * v, n)) / 2
+        return sigmoid(raw)
 
-def bar(bins: int) -> float:
-    """What the strongest association of so many bins' pairs is expected to reach by chance."""
-    return float(np.sqrt(2 * np.log(max(bins * (bins - 1) / 2, 2))))
 
+def directions(parts: list[Batch], residual: np.ndarray, width: int, k: int, rng: np.random.Generator, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues, and their vectors, of how pairs of columns go with the residuals of their rows.
 
-def telling(columns: np.ndarray, ends: np.ndarray, labels: np.ndarray, width: int, least: int, high: float, first: int, step: int) -> np.ndarray:
-    """Columns of pairs (a, b), a in first, first + step, ..., a < b, where each tells the label apart where the other stands.
-
-    Text i has the columns [ends[i], ends[i + 1]), in order. All pairs that at least `least` texts have are counted
-    exactly; both associations must reach `high`.
+    The matrix has, for two columns, the sum of the residuals of the rows that have both, each for the square of its size
+    so that long rows don't rule; its diagonal is 0. It is never built: by power iteration, shifted so that negative
+    eigenvalues don't win.
+    """
+    gains = [residual[p.rows] / np.maximum(np.bincount(p.at, minlength=len(p.rows)), 1) for p in parts]
+
+    def times(u: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(u)
+        for p, g in zip(parts, gains, strict=True):
+            own, diagonal = u[p.columns], p.by_column(g)
+            for f in range(k):
+                out[p.columns, f] += p.by_column(g * p.by_row(own[:, f])) - diagonal * own[:, f]
+        return out
+
+    u, shift = np.linalg.qr(rng.normal(size=(width, k)))[0], 0.0
+    for step in range(steps):
+        y = times(u)
+        if step == 2:
+            shift = max(0.0, -float(np.linalg.eigvalsh(u.T @ y + y.T @ u).min() / 2))
+        u = np.linalg.qr(y + shift * u)[0]
+    y = times(u)
+    values, turn = np.linalg.eigh((u.T @ y + y.T @ u) / 2)
+    return values, u @ turn
+
+
+def fit(
+    bins: np.ndarray, columns: np.ndarray, ends: np.ndarray, labels: np.ndarray, *, factors: int = 4, alone: int = 20, joint: int = 15, rate: float = 4.0, pair_rate: float = 0.5, size: int = 256, pair_rows: int = 4096, seed: int = 0
+) -> Machine:
+    """Logistic loss, both labels of equal weight, by gradient steps over batches of texts; each step moves only the columns of its batch.
+
+    Text i has the distinct columns [ends[i], ends[i + 1]), places in bins. All columns are trained. First the weights
+    alone, each at the speed of its evidence. Then factors start in the directions in which what is left over goes with
+    pairs of columns (directions(), of up to pair_rows texts), as far as these are stronger than where the residuals are
+    dealt to the texts at random, and weights and factors are trained together. A column with less than a fiftieth of the
+    largest part in every direction keeps factors of 0.
     """
-    labels, sizes = labels.astype(bool), np.diff(ends)
-    texts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    places, offs = np.argsort(columns, kind="stable"), np.append(0, np.cumsum(np.bincount(columns, minlength=width)))
-    c, p = np.diff(offs).astype(float), np.bincount(columns, labels[texts], width)
-    found = np.zeros(width, bool)
-    for a in range(first, width, step):
-        own = places[offs[a] : offs[a + 1]]
-        sides = []
-        for kind in (True, False):
-            side, counts = own[labels[texts[own]] == kind], np.zeros(width, np.int64)
-            after = ends[texts[side] + 1] - side - 1
-            for part, n in zip(*(np.array_split(x, int(after.sum()) // 500_000 + 1) for x in (side, after)), strict=True):
-                counts += np.bincount(columns[np.repeat(part + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=width)
-            sides.append(counts)
-        b = np.flatnonzero(sides[0] + sides[1] >= least)
-        hits = sides[0][b].astype(float)
-        n = hits + sides[1][b]
-        b = b[np.minimum(association(hits, n, p[a], c[a]), association(hits, n, p[b], c[b])) >= high]
-        found[b] = True
-        found[a] |= len(b) > 0
-    return np.flatnonzero(found)
-
-
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 20_000, features: int = 1024, lift: float = 1.5, key: str = "doc_id", text: str = "text") -> Machine:
+    rng, n, positives, width = np.random.default_rng(seed), len(labels), int(labels.sum()), len(bins)
+    prior = np.clip(positives / (n + 1), 1e-6, 1 - 1e-6)
+    if not width or positives in (0, n):
+        return Machine(bins[:0], float(np.log(prior / (1 - prior))), np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
+    order = rng.permutation(n)
+    parts = batches(columns, ends, order, size)
+    weight = np.where(labels == 1, 0.5 / positives, 0.5 / (n - positives)) * n
+    one = labels[np.repeat(np.arange(n), np.diff(ends))] == 1
+    p, q = ((np.bincount(columns[side], minlength=width) + 0.5) / (m + 1) for side, m in ((one, positives), (~one, n - positives)))
+    speed = evidence(np.abs(p - q) / np.sqrt(p * (1 - p) / positives + q * (1 - q) / (n - positives)))
+    bias, w, v, pair_speed = -1.0, np.zeros(width), np.zeros((width, factors)), np.zeros(width)
+    pairs: list[Batch] = []  # like parts, of the columns that have factors
+
+    def raw(b: Batch, own: Batch | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The sum before the sigmoid, and each text's sum of each factor."""
+        total, sums = bias + b.by_row(w[b.columns]), []
+        for f in range(factors if own else 0):
+            x = v[own.columns, f]
+            sums.append(own.by_row(x))
+            total = total + (sums[-1] ** 2 - own.by_row(x * x)) / 2
+        return total, sums
+
+    def epoch(step: float, pair_step: float) -> None:
+        nonlocal bias
+        for i in rng.permutation(len(parts)):
+            b, own = parts[i], pairs[i] if pairs else None
+            total, sums = raw(b, own)
+            g = weight[b.rows] * (sigmoid(total) - labels[b.rows]) / len(b.rows)
+            every = own.by_column(g) if own else None
+            for f, s in enumerate(sums):
+                pull = own.by_column(g * s) - every * v[own.columns, f]
+                v[own.columns, f] -= pair_step * pair_speed[own.columns] * np.clip(pull, -1, 1)
+            w[b.columns] -= step * speed[b.columns] * b.by_column(g)
+            bias -= step / 10 * g.sum()
+
+    for t in range(alone):
+        epoch(rate / (1 + t / 5), 0.0)
+    some = batches(columns, ends, order[:pair_rows], size)
+    residual = np.zeros(n)
+    for b in some:
+        residual[b.rows] = weight[b.rows] * (labels[b.rows] - sigmoid(raw(b, None)[0]))
+    dealt = residual.copy()
+    dealt[order[:pair_rows]] = rng.permutation(residual[order[:pair_rows]])
+    values, u = directions(some, residual, width, factors, rng)
+    u = u * (values > max(directions(some, dealt, width, factors, rng)[0].max(), 0))
+    u = np.where(np.abs(u) < np.abs(u).max(0) / 50, 0.0, u)
+    if u.any():
+        pairs = [b.only(u.any(1)) for b in parts]
+        pair_speed = (np.abs(u) / np.maximum(np.abs(u).max(0), 1e-12)).max(1) ** 2
+        spread = np.concatenate([np.stack([b.by_row(u[b.columns, f]) ** 2 - b.by_row(u[b.columns, f] ** 2) for f in range(factors)], 1) for b in some]).std(0) / 2
+        v = u * np.sqrt(0.25 / (spread + 1e-12))
+    for t in range(joint):
+        epoch(rate / (1 + t / 5), pair_rate / (1 + t / 5))
+    return Machine(bins, float(bias), w.astype(np.float32), v.astype(np.float32))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 20_000, key: str = "doc_id", text: str = "text") -> Machine:
     """A machine from at most `rows` labelled rows outside the held-out fold.
 
-    Its bins are those that tell labels apart alone, and those that do so in pairs. Alone: the `features` bins with the
-    largest |z| for the difference of the two labels' shares, among those whose shares differ by a factor of `lift` at
-    least. In pairs: all bins of telling(), however common each is among either label, without a limit to their number.
-    Bins, and pairs, that fewer than 5 texts have take no part; nor do pairs of a bin that stands in so few texts (or
-    texts so much of one label) that no other bin could lift its association to the bar.
-
-    Counts by bin are summed on the cluster; those of bins in 5 texts or more come to the driver, with the terms of the
-    sample that are among the bins that stand alone or might pair: 4 bytes for each distinct one of a text. These are
-    broadcast, and all their pairs counted in Spark tasks, a share of the bins in each; time grows with the sum of the
-    squares of texts' distinct terms.
+    All bins that these texts have are trained, none is chosen beforehand. What comes to the driver is the sample's
+    labels and distinct bins (4 bytes for each distinct term of a text), sorted, so that reruns agree.
     """
-    least = 5
 
     @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("label").to_numpy()
             for lo, hi, data, offs in portions(*text_bytes(batch.column("text"))):
                 bins, texts = distinct(*terms(data, offs))
                 ends = np.searchsorted(texts, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(own[lo:hi]), pa.ListArray.from_arrays(pa.array(ends), pa.array(bins))], ["label", "bins"])
-
-    used = kept(sample(docs, labels, label, rows, key, text).mapInArrow(spread, "label int, bins array<int>"))
-    positives, n = used.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    none = np.zeros(0, np.int32)
-    alike = np.concatenate([np.ones(positives), np.zeros(n - positives)])
-    if not 0 < positives < n:
-        return fit(none, none, none, alike)
-    counts = used.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("label").alias("p"), F.count("*").alias("c")).where(f"c >= {least}").orderBy("bin").toArrow()
-    bins, toxic, c = (counts.column(x).to_numpy() for x in ("bin", "p", "c"))
-    p, q = (toxic + 0.5) / (positives + 1), (c - toxic + 0.5) / (n - positives + 1)
-    z = np.abs(p - q) / np.sqrt(p * (1 - p) / positives + q * (1 - q) / (n - positives))
-    apart = np.flatnonzero(np.maximum(p / q, q / p) >= lift)
-    alone = np.zeros(len(bins), bool)
-    alone[apart[np.lexsort((apart, -z[apart]))[:features]]] = True
-    high = bar(len(bins))
-    able = association(toxic.astype(float), toxic.astype(float), toxic.astype(float), c.astype(float)) >= high
-    bins, alone, able = (x[alone | able] for x in (bins, alone, able))
-    if not len(bins):
-        return fit(none, none, none, alike)
-
-    @lean
-    def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("bins")
-            every, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            at = np.minimum(np.searchsorted(bins, every), len(bins) - 1)
-            hit = bins[at] == every
-            ends = np.append(0, np.cumsum(hit))[ends - ends[0]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], ["label", "columns"])
-
-    table = used.mapInArrow(fewer, "label int, columns array<int>").toArrow()
-    order, lists = table.column("label").to_numpy().astype(float), table.column("columns").combine_chunks()
-    columns, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    texts = np.repeat(np.arange(len(order)), sizes)
-    place, width = np.cumsum(able) - 1, int(able.sum())
-    hit = able[columns]
-    spark, tasks = docs.sparkSession, min(width, 16)
-    shared = spark.sparkContext.broadcast((place[columns[hit]].astype(np.int32), np.append(0, np.cumsum(np.bincount(texts[hit], minlength=len(order)))), order))
-
-    @lean
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in batch.column(0).to_pylist():
-                found = telling(*shared.value, width, least, high, first, tasks)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], ["at"])
+                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi], batch.column("label")[lo:hi], pa.ListArray.from_arrays(pa.array(ends), pa.array(bins))], ["key", "label", "bins"])
 
-    if tasks:
-        paired = [r.at for r in spark.range(0, tasks, 1, tasks).mapInArrow(pairs, "at int").distinct().collect()]
-        alone[np.flatnonzero(able)[paired]] = True
-    shared.destroy()
-    place, hit = np.cumsum(alone) - 1, alone[columns]
-    return fit(bins[alone], place[columns[hit]], texts[hit], order)
+    chosen = sample(docs, labels, label, rows, key, text)
+    used = chosen.mapInArrow(spread, f"key {chosen.schema['key'].dataType.simpleString()}, label int, bins array<int>")
+    found = used.groupBy("key").agg(F.max("label").alias("label"), F.min("bins").alias("bins")).select(F.xxhash64("key").alias("k"), "label", "bins").toArrow().combine_chunks()
+    found = found.take(pa.array(np.lexsort((found.column("label").to_numpy(), found.column("k").to_numpy()))))
+    lists = found.column("bins").combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
+    bins, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return fit(bins, columns, ends - ends[0] if len(ends) else np.zeros(1, np.int64), found.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -224,7 +192,7 @@ def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str =
 
     Only the text is an input. Every text is read whole, in portions. Null or empty text has no terms; its score is that
     of the bias. Repeated rows and null keys: a row each. Empty table: no rows. No labels, or labels of one kind: every
-    score is that label's share. The machine has at most 2 ** BITS bins: those of train().
+    score is that label's share. The machine has a weight and factors for each bin of the sample that it was trained on.
     """
 
     return scored(docs, lambda data, offs: machine.scores(*terms(data, offs), len(offs) - 1), key, text, threshold, keep)
