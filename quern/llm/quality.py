@@ -10,8 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.fitting import batches, evidence, sigmoid
 from quern.llm.labelled import sample, scored
-from quern.llm.spans import SPACE, blocks, hash_runs, lean, mix, portions, runs, text_bytes
+from quern.llm.spans import LOWER, SPACE, blocks, hash_runs, lean, mix, portions, text_bytes, words_of
+
+BITS = 16
+"""Words, and runs of three characters, are hashed into 2 ** BITS bins each."""
+SHAPES = ("all capitals", "two symbols", "a bar", "two exclamation marks", "same as the word before", "in a pair of words seen before")
+"""Shares of the words; square roots, so that small shares count."""
+RARE = 2 << BITS
+"""The column of the share of runs of three characters whose bin hardly any other text of the sample has."""
+COLUMNS = RARE + 1 + len(SHAPES)
+FEW = 3
+"""A bin of fewer texts of the sample, besides the text itself, is one that hardly any other text has."""
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _BAR = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = True
@@ -20,19 +31,28 @@ _DIGIT[48:58] = True
 _BANG[33] = True
 _BAR[124] = True
 _SYMBOL[list(b"#$%&*^~")] = True
+_FOLD = np.where(SPACE, 32, LOWER).astype(np.uint32)
+_PAIR = np.uint64((1 << 20) - 1)
 
-FEATURES = ("all capitals", "two symbols", "a bar", "two exclamation marks", "same as the word before", "in a pair of words seen before")
-"""Shares of the words; square roots, so that small shares count. None tells languages, lengths or personal data apart."""
 
+def grams(block: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte that is not white space, where it is and the bin of it with its neighbours (white space at a text's ends)."""
+    low = _FOLD[block]
+    before, after = np.append(np.uint32(32), low[:-1]), np.append(low[1:], np.uint32(32))
+    first = first[(first > 0) & (first < len(block))]
+    before[first], after[first - 1] = 32, 32
+    at = np.flatnonzero(low != 32)
+    code = (before[at] | low[at] << np.uint32(8) | after[at] << np.uint32(16)) * np.uint32(0x9E3779B1)
+    return at, (code >> np.uint32(32 - BITS)).astype(np.int32)
 
-def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each text; zeros if it has no words."""
-    n = len(offs) - 1
-    words, counts, pairs = np.zeros(n), np.zeros((n, len(FEATURES))), [np.zeros(0, np.uint64)]
+
+def read(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each block: the text and bin of each word, the text and bin of each run of three, and shapes by word (pairs apart)."""
     last, last_text = np.uint64(0), -1
     for lo, hi in blocks(data, offs):
         block = data[lo:hi]
-        starts, ends = runs(~SPACE[block], offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo)
+        first = offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo
+        starts, ends = words_of(block, first, ~SPACE)
         if not len(starts):
             continue
         text = np.searchsorted(offs, starts + lo, "right") - 1
@@ -41,76 +61,145 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         before = np.append(last, hashes[:-1])
         inner = text == np.append(last_text, text[:-1])
         flags = ((upper >= 2) & (lower == 0) & (digit == 0), symbol >= 2, bar > 0, bang >= 2, inner & (hashes == before))
-        words += np.bincount(text, minlength=n)
-        for k, flag in enumerate(flags):
-            counts[:, k] += np.bincount(text, flag, n)
-        pairs.append(mix((hashes ^ (before * np.uint64(0x9E3779B97F4A7C15)))[inner] & ~np.uint64((1 << 20) - 1)) & ~np.uint64((1 << 20) - 1) | text[inner].astype(np.uint64) & np.uint64((1 << 20) - 1))
+        pairs = mix((hashes ^ (before * np.uint64(0x9E3779B97F4A7C15)))[inner]) & ~_PAIR | text[inner].astype(np.uint64) & _PAIR
+        at, bins = grams(block, first)
+        # runs of three go on from word to word, so their text is that of the word they are in
+        yield text, (hashes >> np.uint64(64 - BITS)).astype(np.int32), text[np.searchsorted(starts, at, "right") - 1], bins, flags, pairs
         last, last_text = hashes[-1], text[-1]
-    every = np.concatenate(pairs)
-    seen = (np.unique(every) & np.uint64((1 << 20) - 1)).astype(np.int64)
-    counts[:, 5] = np.bincount((every & np.uint64((1 << 20) - 1)).astype(np.int64), minlength=n) - np.bincount(seen, minlength=n)
-    return np.sqrt(counts / np.maximum(words, 1)[:, None])
+
+
+def shapes(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """A row of SHAPES for each text, from its words, the counts of the first five shapes, and all pairs of words with their text."""
+    n = len(words)
+    seen = (np.unique(pairs) & _PAIR).astype(np.int64)
+    again = np.bincount((pairs & _PAIR).astype(np.int64), minlength=n) - np.bincount(seen, minlength=n)
+    return np.sqrt(np.column_stack([counts, again]) / np.maximum(words, 1)[:, None])
 
 
 @dataclass
 class Ranking:
-    """score = sigmoid(scale * (weights . features - cut)), shifted so that the cut gets `at`."""
+    """score = sigmoid(scale * (weights . features - cut)), shifted so that the cut gets `at`.
+
+    weights: 2 ** BITS of words, as many of runs of three characters, one of rare runs, and one for each of SHAPES.
+    """
 
     weights: np.ndarray
+    known: np.ndarray
     cut: float
     scale: float
     at: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * (x @ self.weights - self.cut) + np.log(self.at / (1 - self.at)), -30, 30)))
+    def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        n = len(offs) - 1
+        words, runs, of_words, of_runs, counts, pairs = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, len(SHAPES) - 1)), [np.zeros(0, np.uint64)]
+        by_run = self.weights[1 << BITS : RARE] + self.weights[RARE] * ~self.known
+        for text, bins, run_text, run_bins, flags, both in read(data, offs):
+            words += np.bincount(text, minlength=n)
+            runs += np.bincount(run_text, minlength=n)
+            of_words += np.bincount(text, self.weights[bins], n)
+            of_runs += np.bincount(run_text, by_run[run_bins], n)
+            for k, flag in enumerate(flags):
+                counts[:, k] += np.bincount(text, flag, n)
+            pairs.append(both)
+        total = of_words / np.maximum(words, 1) + of_runs / np.maximum(runs, 1) + shapes(words, counts, np.concatenate(pairs)) @ self.weights[RARE + 1 :]
+        return sigmoid(self.scale * (total - self.cut) + np.log(self.at / (1 - self.at)))
+
+
+def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: columns, values (shares) and len + 1 offsets into them. Rare runs are left to fit(), which knows the sample."""
+    n = len(offs) - 1
+    words, runs, counts, pairs, keys = np.zeros(n), np.zeros(n), np.zeros((n, len(SHAPES) - 1)), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for text, bins, run_text, run_bins, flags, both in read(data, offs):
+        words += np.bincount(text, minlength=n)
+        runs += np.bincount(run_text, minlength=n)
+        for k, flag in enumerate(flags):
+            counts[:, k] += np.bincount(text, flag, n)
+        pairs.append(both)
+        keys += [text.astype(np.int64) << 20 | bins, run_text.astype(np.int64) << 20 | run_bins + (1 << BITS)]
+    key, times = np.unique(np.concatenate(keys), return_counts=True)
+    text, column = key >> 20, key & ((1 << 20) - 1)
+    value = times / np.where(column < 1 << BITS, words[text], runs[text])
+    shape = shapes(words, counts, np.concatenate(pairs))
+    own, k = np.nonzero(shape)
+    text, column, value = np.append(text, own), np.append(column, RARE + 1 + k), np.append(value, shape[own, k])
+    order = np.argsort(text, kind="stable")
+    return column[order].astype(np.int32), value[order], np.append(0, np.cumsum(np.bincount(text, minlength=n)))
+
+
+def fit(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: np.ndarray, *, at: float, seed: int = 0) -> Ranking:
+    """Bradley-Terry weights of the sample, and the cut: the quantile of its scores at the share of label 0.
+
+    So as many texts of the sample are cut as are marked.
+    """
+    n, bad = len(labels), int((labels == 0).sum())
+    texts = np.repeat(np.arange(n), np.diff(ends))
+    run = (columns >= 1 << BITS) & (columns < RARE)
+    known = np.bincount(columns[run] - (1 << BITS), minlength=1 << BITS) > FEW
+    if bad in (0, n):
+        share = np.clip((n - bad) / (n + 1), 1e-6, 1 - 1e-6)
+        return Ranking(np.zeros(COLUMNS), known, 0.0, 1.0, float(share))
+    rare = np.bincount(texts[run], np.where(known[columns[run] - (1 << BITS)], 0.0, values[run]), n)
+    order = np.argsort(np.append(texts, np.arange(n)), kind="stable")
+    columns, values, ends = np.append(columns, np.full(n, RARE, np.int32))[order], np.append(values, rare)[order], ends + np.arange(n + 1)
+    rng = np.random.default_rng(seed)
+    w, scores = weights(columns, values, ends, labels, rng.permutation(n), rng), np.zeros(n)
+    for b in batches(columns, ends, np.arange(n), 512, values):
+        scores[b.rows] = b.by_row(w[b.columns])
+    return Ranking(w, known, float(np.quantile(scores, bad / n)), float(4 / (scores.std() + 1e-6)), at)
 
 
-def fit(x: np.ndarray, labels: np.ndarray, *, at: float, pairs: int = 60_000, steps: int = 300, decay: float = 1e-3, seed: int = 0) -> Ranking:
-    """Bradley-Terry weights from drawn pairs of a label-1 and a label-0 text, then the cut by quantile.
+def weights(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray, rng: np.random.Generator, *, epochs: int = 15, pairs: int = 8, size: int = 512, rate: float = 2.0) -> np.ndarray:
+    """From batches of rows, in each of which drawn pairs of a text of either label, `pairs` for each text, are compared.
 
-    The cut is a quantile of the sample's scores: the one with the fewest texts on the wrong side (about the share of
-    label 0), of equals the one in the widest gap, half way between the scores on both sides.
+    A pair's loss is -log sigmoid(weights . (features of the better - features of the worse)). A column moves at the
+    square of the speed of its evidence, so few columns do much, and the others what these leave.
     """
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
-        share = np.clip(len(good) / (len(labels) + 1), 1e-6, 1 - 1e-6)
-        return Ranking(np.zeros(len(FEATURES)), 0.0, 1.0, float(share))
-    rng = np.random.default_rng(seed)
-    center, width = x.mean(0), x.std(0) + 1e-6
-    z = (x - center) / width
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w, first, second = np.zeros(len(FEATURES)), 0.0, 0.0
-    for t in range(1, steps + 1):
-        g = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(0) + decay * w
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w = w - 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    weights = w / width
-    order = np.argsort(x @ weights, kind="stable")
-    scores, right = (x @ weights)[order], labels[order] == 1
-    wrong = np.cumsum(right)[:-1] + len(bad) - np.cumsum(~right)[:-1]  # if the cut is above text k
-    k = max(np.flatnonzero(wrong == wrong.min()), key=lambda k: scores[k + 1] - scores[k])
-    cut = (scores[k] + scores[k + 1]) / 2
-    return Ranking(weights, float(cut), float(4 / (scores.std() + 1e-6)), at)
-
-
-def _featured(rows: DataFrame, schema: str) -> DataFrame:
-    """The input column as features (packed doubles); other columns stay."""
+    parts, w = batches(columns, ends, rows, size, values), np.zeros(COLUMNS)
+    moments = np.zeros((2, 2, COLUMNS))  # sums of values and of their squares, by label
+    for b in parts:
+        for label in (0, 1):
+            own = (labels[b.rows] == label)[b.at] * b.values
+            moments[label, 0, b.columns] += np.bincount(b.of, own, len(b.columns))
+            moments[label, 1, b.columns] += np.bincount(b.of, own * b.values, len(b.columns))
+    counts = np.array([np.sum(labels[rows] == 0), np.sum(labels[rows] == 1)])[:, None]
+    means = moments[:, 0] / np.maximum(counts, 1)
+    spread = np.maximum(moments[:, 1] / np.maximum(counts, 1) - means**2, 0)
+    width = np.maximum(moments[:, 1].sum(0) / len(rows) - (moments[:, 0].sum(0) / len(rows)) ** 2, 1e-12)
+    z = np.abs(means[1] - means[0]) / np.sqrt(np.maximum((spread / np.maximum(counts, 1)).sum(0), 1e-12))
+    speed = evidence(z) ** 2 / width
+    for t in range(epochs):
+        for i in rng.permutation(len(parts)):
+            b = parts[i]
+            up, down = np.flatnonzero(labels[b.rows] == 1), np.flatnonzero(labels[b.rows] == 0)
+            if not len(up) or not len(down):
+                continue
+            s = b.by_row(w[b.columns])
+            i, j = (rng.choice(x, pairs * len(b.rows)) for x in (up, down))
+            g = sigmoid(s[j] - s[i]) / len(i)
+            w[b.columns] += rate / (1 + t / 5) * speed[b.columns] * b.by_column(np.bincount(i, g, len(s)) - np.bincount(j, g, len(s)))
+    return w
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = 8_000, at: float = 0.3, key: str = "doc_id", text: str = "text") -> Ranking:
+    """A ranking from at most `rows` labelled rows outside the held-out fold; only their features come to the driver, sorted."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(data, offs).astype("<f8") for _, _, data, offs in portions(*text_bytes(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for part in found for x in part], pa.binary()), *batch.columns[1:]], batch.schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = 20_000, at: float = 0.3, key: str = "doc_id", text: str = "text") -> Ranking:
-    """A ranking from at most `rows` labelled rows outside the held-out fold; only their features come to the driver."""
-    used = _featured(sample(docs, labels, label, rows, key, text).select("text", "key", "label"), f"text binary, key {docs.schema[key].dataType.simpleString()}, label int")
-    found = used.select(F.xxhash64("key").alias("k"), "text", "label").toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
-    x = np.frombuffer(b"".join(x.as_py() for x in found.column("text")), "<f8").reshape(-1, len(FEATURES))
-    return fit(x, found.column("label").to_numpy(), at=at)
+            for lo, hi, data, offs in portions(*text_bytes(batch.column("text"))):
+                columns, values, ends = features(data, offs)
+                bounds = pa.array(ends.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi], batch.column("label")[lo:hi], pa.ListArray.from_arrays(bounds, pa.array(columns)), pa.ListArray.from_arrays(bounds, pa.array(values.astype(np.float32)))], ["key", "label", "columns", "values"])
+
+    chosen = sample(docs, labels, label, rows, key, text)
+    used = chosen.mapInArrow(run, f"key {chosen.schema['key'].dataType.simpleString()}, label int, columns array<int>, values array<float>")
+    found = used.groupBy("key").agg(F.max("label").alias("label"), F.min(F.struct("columns", "values")).alias("x")).select(F.xxhash64("key").alias("k"), "label", "x.columns", "x.values").toArrow().combine_chunks()
+    found = found.take(pa.array(np.lexsort((found.column("label").to_numpy(), found.column("k").to_numpy()))))
+    if not len(found):
+        return fit(np.zeros(0, np.int32), np.zeros(0), np.zeros(1, np.int64), np.zeros(0), at=at)
+    columns, values = (found.column(c).combine_chunks() for c in ("columns", "values"))
+    ends = columns.offsets.to_numpy().astype(np.int64)
+    return fit(columns.flatten().to_numpy(), values.flatten().to_numpy().astype(float), ends - ends[0], found.column("label").to_numpy(), at=at)
 
 
 def score(docs: DataFrame, ranking: Ranking, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -121,4 +210,4 @@ def score(docs: DataFrame, ranking: Ranking, *, key: str = "doc_id", text: str =
     every score is the share of label 1.
     """
 
-    return scored(docs, lambda data, offs: ranking.scores(features(data, offs)), key, text, threshold, keep)
+    return scored(docs, ranking.scores, key, text, threshold, keep)
