@@ -10,36 +10,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.license_templates import NOTICES, PHRASES, TEMPLATES
 from quern.llm.spans import SPACE, hash_runs, lean, portions, text_bytes, word_hashes
 
-# Phrases and their labels.
-PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-# Templates and their labels. Words outside << >> are mandatory. <<beginOptional>> ... <<endOptional>>
-# may be left out; <<var;any=a|b>> stands for one of these words, <<var;words=a-b>> for any a to b words.
-TEMPLATES = (
-    ("mit", "<<var;any=licensed|released|distributed>> under <<beginOptional>>the terms of<<endOptional>> the MIT License"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction"),
-    ("apache-2.0", "<<var;any=licensed|released|distributed>> under <<beginOptional>>the terms of<<endOptional>> the Apache License version 2 0"),
-    ("gpl-2.0", "<<var;any=licensed|released|distributed>> under <<beginOptional>>the terms of<<endOptional>> the GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> version 2"),
-    ("gpl-3.0", "<<var;any=licensed|released|distributed>> under <<beginOptional>>the terms of<<endOptional>> the GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> version 3"),
-    ("lgpl", "under <<beginOptional>>the terms of<<endOptional>> the GNU <<var;any=lesser|library>> General Public License"),
-    ("agpl", "under <<beginOptional>>the terms of<<endOptional>> the GNU Affero General Public License"),
-    ("cc-by", "<<var;any=licensed|released|distributed>> under <<beginOptional>><<var;any=a|the>><<endOptional>> CC BY <<var;words=1-1>> 0"),
-    ("cc-by-nc", "<<var;any=licensed|released|distributed>> under <<beginOptional>><<var;any=a|the>><<endOptional>> CC BY NC <<var;words=1-1>> 0"),
-    ("cc-by-sa", "<<var;any=licensed|released|distributed>> under <<beginOptional>><<var;any=a|the>><<endOptional>> CC BY SA <<var;words=1-1>> 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
-    ("all-rights-reserved", "<<beginOptional>>copyright <<var;words=1-8>><<endOptional>> all rights reserved"),
-)
-
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 assert not (_INSIDE & SPACE).any()
+KNOWN = 1 << 17
+"""Moves of the deterministic automaton that are remembered; beyond that they are found anew."""
 OTHER = 0
 """The class of every word that no template or phrase has."""
 
 
+def words_in(text: str) -> list[str]:
+    return [w.decode() for w in WORD.findall(text.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))]
+
+
+def parsed(markup: str) -> Iterator[tuple[str, object]]:
+    """A template's parts: ("word", w), ("begin", None), ("end", None), ("any", lists of words), ("words", (least, most))."""
+    for part in re.split(r"(<<.*?>>)", markup, flags=re.S):
+        if not part.startswith("<<"):
+            yield from (("word", w) for w in words_in(part))
+        elif part.startswith("<<beginOptional"):
+            yield "begin", None
+        elif part.startswith("<<endOptional"):
+            yield "end", None
+        elif m := re.fullmatch(r"<<var;.*?match=(.*)>>", part, flags=re.S):
+            n = re.fullmatch(r"\.\{(\d+),(\d+)\}", m[1])
+            yield ("words", (int(n[1]), int(n[2]))) if n else ("any", [words_in(x) for x in m[1].split("|")])
+        else:
+            raise ValueError(f"unknown markup {part}")
+
+
 class Automaton:
     """All templates as one automaton over word classes, made deterministic state by state as texts need it."""
 
@@ -48,7 +51,7 @@ class Automaton:
         self.free: list[list[int]] = [[]]  # moves that take no word
         self.words: list[dict[int | None, list[int]]] = [{}]  # moves by word class; None: any word
         self.accepts: dict[int, str] = {}
-        self.reach, self.anchors = 0, []
+        self.reach: dict[int, int] = {}  # for a word that every match of some template has: how far such a match can reach
         for label, markup in templates:
             self._add(label, markup)
         self.phrases = [([self._word(w) for w in phrase.split()], label) for phrase, label in phrases.items()]
@@ -60,6 +63,9 @@ class Automaton:
         self.hashes, self.of = hashes[order], self.vocabulary[order]
         self.start = self._closed({0})
         self.moves: dict[tuple[frozenset, int], frozenset] = {}
+        classes = np.arange(len(self.classes) + 1)
+        self.first = np.array([bool(self.move(self.start, int(c))) for c in classes])
+        self.reach_of = np.array([self.reach.get(int(c), 0) for c in classes])
 
     def _word(self, word: str) -> int:
         return self.classes.setdefault(word.lower(), len(self.classes) + 1)
@@ -79,32 +85,37 @@ class Automaton:
             self.words[at].setdefault(word, []).append(to)
             at, longest = to, longest + 1
 
-        for part in re.findall(r"<<.*?>>|[^\s<]+", markup):
-            if part == "<<beginOptional>>":
+        for kind, value in parsed(markup):
+            if kind == "begin":
                 opened.append(at)
-            elif part == "<<endOptional>>":
+            elif kind == "end":
                 to = self._node()
                 self.free[at].append(to)
                 self.free[opened.pop()].append(to)
                 at = to
-            elif m := re.fullmatch(r"<<var;any=(.*)>>", part):
+            elif kind == "any":
+                to, start, before = self._node(), at, longest
+                for words in value:
+                    at, longest = start, before
+                    for word in words:
+                        move(self._word(word))
+                    self.free[at].append(to)
+                at, longest = to, before + max(map(len, value))
+            elif kind == "words":
                 to = self._node()
-                for word in m[1].split("|"):
-                    self.words[at].setdefault(self._word(word), []).append(to)
-                at, longest = to, longest + 1
-            elif m := re.fullmatch(r"<<var;words=(\d+)-(\d+)>>", part):
-                for k in range(int(m[2])):
-                    before = at
+                for k in range(value[1]):
+                    if k >= value[0]:
+                        self.free[at].append(to)
                     move(None)
-                    if k >= int(m[1]):
-                        self.free[before].append(at)
+                self.free[at].append(to)
+                at = to
             else:
-                move(self._word(part))
+                move(self._word(value))
                 if not opened:
-                    mandatory.append(part.lower())
+                    mandatory.append(value)
         self.accepts[at] = label
-        self.reach = max(self.reach, longest)
-        self.anchors.append(self.classes[max(mandatory, key=len)])
+        anchor = self.classes[max(mandatory, key=len)]
+        self.reach[anchor] = max(self.reach.get(anchor, 0), longest)
 
     def _closed(self, nodes: set[int]) -> frozenset[int]:
         todo, seen = [*nodes], {*nodes}
@@ -118,13 +129,26 @@ class Automaton:
     def move(self, state: frozenset[int], word: int) -> frozenset[int]:
         found = self.moves.get((state, word))
         if found is None:
+            if len(self.moves) >= KNOWN:
+                self.moves.clear()
             to = {t for s in state for w in (word, None) for t in self.words[s].get(w, ())}
             found = self.moves[state, word] = self._closed(to)
         return found
 
-    def accepted(self, words: list[int]) -> Iterator[tuple[str, int, int]]:
+    def windows(self, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of words that any match lies in; word i's text is [low[i], high[i])."""
+        at = np.flatnonzero(self.reach_of[words])
+        reach = self.reach_of[words[at]]
+        lo, hi = np.maximum(at - reach, low[at]), np.minimum(at + reach, high[at])
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+        new = np.flatnonzero(np.append(True, lo[1:] >= hi[:-1])[: len(lo)])
+        yield from zip(lo[new].tolist(), np.append(hi[new[1:] - 1], hi[-1:]).tolist(), strict=True)
+
+    def accepted(self, classes: np.ndarray) -> Iterator[tuple[str, int, int]]:
         """Label, first and last word of each template found (for one start and label, the longest)."""
-        for i in range(len(words)):
+        words = classes.tolist()
+        for i in np.flatnonzero(self.first[classes]).tolist():
             state, found = self.move(self.start, words[i]), {}
             j = i
             while state:
@@ -140,14 +164,16 @@ class Automaton:
         return np.where(self.hashes[at] == hashes, self.of[at], OTHER)
 
 
-def licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] | None = None) -> DataFrame:
+def licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, notices: tuple[tuple[str, str], ...] = NOTICES, phrases: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     Words are runs of ASCII letters and digits (A-Z as a-z) and of characters outside ASCII. n_base counts the places
     where a phrase stands, first_word and last_word are the least and greatest place, from 0. A template matches where
     its mandatory words stand in order with nothing between but its optional and replaceable regions. labels: those of
-    phrases and templates, distinct, sorted, joined by commas; matches: label, first and last word of each template.
-    score: 1 if a template matches, 0.5 if only a phrase does, else 0.
+    phrases, templates and notices, distinct, sorted, joined by commas; matches: label, first and last word of each
+    template and notice. score: 1 if a template (a whole licence) matches, 0.75 if a notice (a sentence that names one)
+    does, 0.5 if only a phrase, else 0. Altered wording is no match: a licence with a word more, less or other outside
+    its optional and replaceable regions gets no template's label.
 
     Every text is read whole, in portions; automata run only where a word all matches of some template need is near.
     Null or empty text: 0 words, null places, empty labels. Repeated rows and null keys: a row each. Empty table: no
@@ -157,8 +183,7 @@ def licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templa
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(templates, phrases)
-        anchors = np.unique(automaton.anchors)
+        automaton, whole = Automaton((*templates, *notices), phrases), {label for label, _ in templates}
         for batch in batches:
             found: list[list] = []
             for _, _, data, offs in portions(*text_bytes(batch.column(1))):
@@ -174,23 +199,14 @@ def licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templa
                     for i in np.flatnonzero(at):
                         if text_of[i] == text_of[i + len(phrase) - 1]:
                             base[text_of[i]].append((int(i - first[text_of[i]]), label))
-                near: dict[int, set[tuple[str, int, int]]] = {}
-                done = 0
-                for i in np.flatnonzero(np.isin(words, anchors)).tolist():
-                    if i < done:
-                        continue
-                    t = int(text_of[i])
-                    lo, hi = max(int(first[t]), i - automaton.reach), min(int(first[t] + n[t]), i + automaton.reach)
-                    while (more := np.flatnonzero(np.isin(words[i + 1 : hi], anchors))).size:  # one run over anchors that are near
-                        i += 1 + int(more[-1])
-                        hi = min(int(first[t] + n[t]), i + automaton.reach)
-                    done = i + 1
-                    shift = lo - int(first[t])
-                    near.setdefault(t, set()).update((label, a + shift, b + shift) for label, a, b in automaton.accepted(words[lo:hi].tolist()))
+                near: dict[int, list[tuple[str, int, int]]] = {}
+                for lo, hi in automaton.windows(words, first[text_of], (first + n)[text_of]):
+                    t = int(text_of[lo])
+                    near.setdefault(t, []).extend((label, a + lo - int(first[t]), b + lo - int(first[t])) for label, a, b in automaton.accepted(words[lo:hi]))
                 for t in range(len(n)):
                     places, matches = [p for p, _ in base[t]], sorted(near.get(t, ()), key=lambda m: (m[1], m[2], m[0]))
                     own = {label for _, label in base[t]}
-                    found.append([int(n[t]), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(own | {m[0] for m in matches})), 1.0 if matches else 0.5 if places else 0.0, [dict(zip(("label", "first", "last"), m, strict=True)) for m in matches]])
+                    found.append([int(n[t]), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(own | {m[0] for m in matches})), 1.0 if any(m[0] in whole for m in matches) else 0.75 if matches else 0.5 if places else 0.0, [dict(zip(("label", "first", "last"), m, strict=True)) for m in matches]])
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())])))
             columns = zip(*found, strict=True) if found else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", *NAMES])

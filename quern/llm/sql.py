@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from quern.llm.licenses import PHRASES, TEMPLATES
+from quern.llm.license_templates import NOTICES, PHRASES, TEMPLATES
+from quern.llm.licenses import parsed
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,15 +56,15 @@ from s left join (select doc_id, min(other) as low from reach group by doc_id) x
 def pattern(markup: str) -> str:
     """A template as a regular expression over words that each end with a space."""
     parts = []
-    for part in re.findall(r"<<.*?>>|[^\s<]+", markup):
-        if part in ("<<beginOptional>>", "<<endOptional>>"):
-            parts.append("(?:" if "begin" in part else ")?")
-        elif m := re.fullmatch(r"<<var;any=(.*)>>", part):
-            parts.append(f"(?:{m[1].lower()}) ")
-        elif m := re.fullmatch(r"<<var;words=(\d+)-(\d+)>>", part):
-            parts.append(f"(?:[^ ]+ ){{{m[1]},{m[2]}}}")
+    for kind, value in parsed(markup):
+        if kind == "word":
+            parts.append(value + " ")
+        elif kind == "words":
+            parts.append(f"(?:[^ ]+ ){{{value[0]},{value[1]}}}")
+        elif kind == "any":
+            parts.append("(?:" + "|".join("".join(w + " " for w in words) for words in value) + ")")
         else:
-            parts.append(part.lower() + " ")
+            parts.append("(?:" if kind == "begin" else ")?")
     return " " + "".join(parts)
 
 
@@ -74,6 +73,10 @@ def _places(phrase: str) -> str:
     return f"list_filter(range(0, len(w) - {len(words) - 1}), lambda i: " + " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words)) + ")"
 
 
+def _case(label: str, markup: str) -> str:
+    return f"case when regexp_matches(joined, '{pattern(markup)}') then '{label}' end"
+
+
 OP10 = rf"""
 with w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
@@ -82,11 +85,11 @@ with w as (
 ), l as (
   select *, {" || ".join(f"p{i}" for i in range(len(PHRASES)))} as places,
     list_filter([{", ".join(f"case when len(p{i}) > 0 then '{x}' end" for i, x in enumerate(PHRASES.values()))}], lambda x: x is not null) as base,
-    list_filter([{", ".join(f"case when regexp_matches(joined, '{pattern(m)}') then '{x}' end" for x, m in TEMPLATES)}], lambda x: x is not null) as found
+    {", ".join(f"list_filter([{', '.join(_case(x, m) for x, m in some)}], lambda x: x is not null) as {name}" for name, some in (("whole", TEMPLATES), ("noted", NOTICES)))}
   from p
 )
 select doc_id, len(w)::bigint as n_words, len(places)::bigint as n_base, list_min(places)::bigint as first_word, list_max(places)::bigint as last_word,
-  array_to_string(list_sort(list_distinct(base)), ',') as base_labels, array_to_string(list_sort(list_distinct(base || found)), ',') as labels,
-  case when len(found) > 0 then 1.0::double when len(places) > 0 then 0.5::double else 0.0::double end as score
+  array_to_string(list_sort(list_distinct(base)), ',') as base_labels, array_to_string(list_sort(list_distinct(base || whole || noted)), ',') as labels,
+  case when len(whole) > 0 then 1.0::double when len(noted) > 0 then 0.75::double when len(places) > 0 then 0.5::double else 0.0::double end as score
 from l
 """

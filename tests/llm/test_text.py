@@ -142,20 +142,11 @@ def test_licenses(spark):
         r = found[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(t)
     labels = [found[len(ODD) + i].labels for i in range(8)]
-    assert labels == ["apache,apache-2.0,mit", "all-rights-reserved", "mit", "", "gpl,lgpl", "all-rights-reserved", "cc-by-nc", "mit"]
-    assert [found[len(ODD) + i].score for i in (0, 3, 7)] == [1.0, 0.0, 0.5]
+    assert labels == ["apache,apache-2.0-notice,mit", "all-rights-reserved", "mit,mit-notice", "", "gpl,lgpl-notice", "all-rights-reserved", "cc-by-nc-notice", "mit"]
+    assert [found[len(ODD) + i].score for i in (0, 3, 7)] == [0.75, 0.0, 0.5]
     assert licenses.licenses(docs(spark, [])).count() == 0
 
 
-def test_automaton_regions():
-    a = licenses.Automaton((("t", "one <<beginOptional>>two <<beginOptional>>three<<endOptional>><<endOptional>> <<var;any=x|y>> <<var;words=1-2>> end"),), {})
-    for text, match in (("one x w end", True), ("one two x w w end", True), ("one two three y w end", True), ("one three x w end", False), ("one x end", False), ("one x w w w end", False), ("one z w end", False)):
-        words = text.split()
-        data = np.frombuffer(" ".join(words).encode(), np.uint8)
-        hashes, _, _ = word_hashes(data, np.array([0, len(data)]))
-        assert bool(list(a.accepted(a.classify(hashes).tolist()))) == match, text
-
-
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     assert_same(QUERIES[name](spark, SMALL), duck(SMALL), ORACLE_SQL[name])
