@@ -100,6 +100,8 @@ def near_copies(rng, words, n):
 def test_near_duplicates_by_brute_force(spark, seed, rounds, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_jaccard, "LINEAR", 0)
+    monkeypatch.setattr(ngram_jaccard, "OFTEN", 2 + seed)
+    monkeypatch.setattr(ngram_jaccard, "SPREAD", 5)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = ["", None, "  \n", "one two", "One\ttwo", "one two three four five", "x", "X"]
