@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.vectors import Best, finite, search
+from quern.llm.vectors import Best, finite, scaled, search
 
 PROJECTIONS = 48
+MOST = 2.0
+"""The distance of opposite vectors of length 1."""
 WIDTH = 1.3
 """Half a window's width, for radius 1."""
 GROWTH = 1.15
@@ -33,18 +35,21 @@ def projections(dim: int, m: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(20120521).normal(size=(dim + 1, m))
 
 
-def lifted(x: np.ndarray, longest: float) -> np.ndarray:
-    """One more component makes all vectors equally long, so the largest inner product is the least distance."""
-    y = x / longest
+def lifted(x: np.ndarray, top: float, longest: float) -> np.ndarray:
+    """One more component makes all vectors equally long, so the largest inner product is the least distance.
+
+    top: the largest absolute component of all vectors; longest: the largest length of vectors divided by it.
+    """
+    y = x / top / longest
     return np.column_stack([y, np.sqrt(np.maximum(0, 1 - (y**2).sum(1)))])
 
 
-def make(longest: float):
-    """build and scan for vectors of which the longest has that length."""
+def make(top: float, longest: float):
+    """build and scan for vectors with that largest component, of which the longest has that length times it."""
 
     def build(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
         """m arrays of the shard's vectors sorted by one projection each."""
-        places = lifted(x, longest) @ projections(x.shape[1])
+        places = lifted(x, top, longest) @ projections(x.shape[1])
         order = np.argsort(places, axis=0, kind="stable").T
         return {"ids": ids, "x": x, "order": np.ascontiguousarray(order.astype(np.int32)), "places": np.ascontiguousarray(np.take_along_axis(places.T, order, 1))}
 
@@ -55,19 +60,23 @@ def make(longest: float):
         ends the search early.
         """
         n, m = len(shard["ids"]), len(shard["order"])
-        norms = np.sqrt((q**2).sum(1))
-        own = np.column_stack([q / norms[:, None], np.zeros(len(q))]) @ projections(q.shape[1])
+        qs, size = scaled(q)
+        norms = np.sqrt((qs**2).sum(1))  # 1 at least
+        own = np.column_stack([qs / norms[:, None], np.zeros(len(q))]) @ projections(q.shape[1])
         least = threshold(m, WIDTH, SLACK)
 
         def distance(rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(0, 2 - 2 * np.clip(best.floor[rows], -norms[rows] * longest, None) / (norms[rows] * longest)))
+            """From a query to its k-th best, both as lifted vectors of length 1."""
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                cosine = best.floor[rows] / size[rows] / top / norms[rows] / longest
+            return np.sqrt(np.maximum(0, 2 - 2 * np.clip(np.nan_to_num(cosine, nan=-1.0), -1, 1)))
 
         counts = np.zeros((len(q), n), np.uint8 if m < 256 else np.uint16)
         lo = np.stack([np.searchsorted(shard["places"][j], own[:, j]) for j in range(m)], 1)
         hi, active = lo.copy(), np.arange(len(q))
         radius = np.where(np.isfinite(best.floor), distance(active) / GROWTH, 0.5)
         while len(active):
-            reach = WIDTH * radius[active]
+            reach = np.where(radius[active] < MOST, WIDTH * radius[active], np.inf)  # nothing is further away than MOST
             left = np.stack([np.searchsorted(shard["places"][j], own[active, j] - reach) for j in range(m)], 1)
             right = np.stack([np.searchsorted(shard["places"][j], own[active, j] + reach, "right") for j in range(m)], 1)
             for i, a, b in zip(active.tolist(), left, right, strict=True):
@@ -94,11 +103,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
     query whose vectors are all equally near verifies them all. On the vectors of the given tables the recall against
     brute force is in the README. Ties go to the smaller id; a query's own id is not its candidate; all candidates, if
     there are fewer than k. Null ids, null or zero vectors and vectors with a null or non-finite component take no part,
-    nor do vectors of another length than the query's. An id that stands several times counts once, with its least
-    vector. Empty table: no rows.
+    nor do vectors of another length than the query's. Components of any finite size take part; a score that overflows
+    is infinite, and one that is no number (infinities of both signs) is no find. Rows that are equal in id and vector
+    count once; an id with several vectors has each of them as a candidate of other ids. Empty table: no rows.
     """
     usable = lambda df: df.where(F.col(key).isNotNull() & finite(F.col(vector)) & F.exists(vector, lambda x: x != 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     points = usable(vectors)
-    longest = points.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    build, scan = make(float(np.sqrt(longest or 1.0)) * (1 + 1e-12))
+    top = float(points.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 1.0)
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.lit(top)) * (x / F.lit(top)))
+    build, scan = make(top, float(np.sqrt(points.agg(F.max(squares)).first()[0] or 1.0)) * (1 + 1e-12))
     return search(points, usable(queries), k, build, scan, "double")

@@ -21,7 +21,7 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def build(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
-    """A ball tree: rows in leaf order; for each node its center, radius, rows [lo, hi), and parent (a node before it)."""
+    """A ball tree: rows in leaf order; for each node its center, radius, rows [lo, hi), and children."""
     order, nodes, todo = np.arange(len(ids)), [], [(0, len(ids), -1)]
     y = x.astype(float)
     while todo:
@@ -38,37 +38,44 @@ def build(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
             order[lo:hi] = order[lo:hi][np.argsort(along, kind="stable")]
             todo += [(lo, mid, len(nodes) - 1), (mid, hi, len(nodes) - 1)]
     centers, radii, los, his, parents, leaves = (np.array(c) for c in zip(*nodes, strict=True))
-    return {"ids": ids[order], "x": x[order], "centers": centers, "radii": radii, "lo": los, "hi": his, "parent": parents, "leaf": leaves}
+    children = np.zeros((len(nodes), 2), np.int64)
+    for node in range(len(nodes) - 1, 0, -1):  # a parent stands before its children
+        children[parents[node]] = node, children[parents[node], 0]
+    return {"ids": ids[order], "x": x[order], "centers": centers, "radii": radii, "lo": los, "hi": his, "children": children, "leaf": leaves}
 
 
 def scan(tree: dict[str, np.ndarray], q: np.ndarray, best: Best) -> None:
-    """Each query visits leaves by upper bound, greatest first, while the bound reaches its k-th score so far.
+    """Best first: each query takes, of the nodes it knows, the one with the greatest bound, until none reaches its k-th score.
 
-    A node's bound is q . center + |q| radius, and no more than its parent's; what is below a node whose bound is too low
-    is never visited. Queries that visit the same leaf in the same round are scored together.
+    A node's bound is q . center + |q| radius, and no more than its parent's. Of an inner node its two children become
+    known, with bounds that are only then computed; a leaf's vectors are scored, which raises the k-th score. Queries that
+    take the same node in the same round are handled together.
     """
     q0 = q.astype(float)
     length = np.sqrt((q0**2).sum(1))
-    bounds = q0 @ tree["centers"].T + length[:, None] * tree["radii"]
-    bounds = bounds + np.abs(bounds) * 1e-9 + 1e-6  # rounding never hides a node
-    for i, parent in enumerate(tree["parent"]):
-        if parent >= 0:
-            np.minimum(bounds[:, i], bounds[:, parent], out=bounds[:, i])
-    leaves = np.flatnonzero(tree["leaf"])
-    bounds = bounds[:, leaves]
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    bounds = np.take_along_axis(bounds, order, 1)
+
+    def bound(rows: np.ndarray, node: int) -> np.ndarray:
+        x = q0[rows] @ tree["centers"][node] + length[rows] * tree["radii"][node]
+        return x + np.abs(x) * 1e-9 + 1e-6  # rounding never hides a node
+
+    known = np.full((len(q), len(tree["leaf"])), -np.inf)
     active = np.arange(len(q))
-    for r in range(len(leaves)):
-        active = active[bounds[active, r] >= best.floor[active]]
-        if not len(active):
-            break
-        at = leaves[order[active, r]]
-        by_leaf = np.argsort(at, kind="stable")
-        for rows in np.split(active[by_leaf], np.flatnonzero(np.diff(at[by_leaf])) + 1):
-            node = leaves[order[rows[0], r]]
-            lo, hi = tree["lo"][node], tree["hi"][node]
-            best.offer(rows, exact(q[rows], tree["x"][lo:hi]), tree["ids"][lo:hi])
+    known[:, 0] = bound(active, 0)
+    while len(active):
+        node = known[active].argmax(1)
+        top = known[active, node]
+        reach = (top > -np.inf) & (np.maximum(top, best.low) >= best.floor[active])
+        active, node, top = active[reach], node[reach], top[reach]
+        known[active, node] = -np.inf
+        by_node = np.argsort(node, kind="stable")
+        for at in np.split(by_node, np.flatnonzero(np.diff(node[by_node])) + 1) if len(node) else ():
+            rows, here = active[at], node[at[0]]
+            if tree["leaf"][here]:
+                lo, hi = tree["lo"][here], tree["hi"][here]
+                best.offer(rows, exact(q[rows], tree["x"][lo:hi]), tree["ids"][lo:hi])
+            else:
+                for child in tree["children"][here]:
+                    known[rows, child] = np.minimum(bound(rows, child), top[at])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "vector") -> DataFrame:
@@ -76,8 +83,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "ve
 
     vector: an array of long (sums beyond a long are the nearest long). Ties go to the smaller id; a vector with a query's own id is not its candidate; all
     candidates, if there are fewer than k. Null ids, null vectors and vectors with a null component take no part, nor do
-    vectors of another length than the query's. An id that stands several times counts once, with its least vector.
-    Empty table: no rows.
+    vectors of another length than the query's. Rows that are equal in id and vector count once; an id with several
+    vectors has each of them as a candidate of other ids, and its queries' finds are ranked together. Vectors of any
+    length are whole in one row. Empty table: no rows.
     """
     sides = (df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()) & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<bigint>").alias("vector")) for df in (vectors, queries))
     return search(*sides, k, build, scan, "long")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import ann, chat, components, mixing, ngram_jaccard, quality, topk, toxicity
+from quern.llm import ann, chat, components, mixing, ngram_jaccard, quality, topk, toxicity, vectors
 from quern.llm.registry import QUERIES
 from tests.compare import SMALL
 from tests.llm.test_text import docs, library_ids
@@ -131,17 +131,22 @@ def test_components_of_a_long_chain(spark):
 VECTORS = "vec_id long, {} array<{}>, id string, dim int, score string"
 
 
-def test_top_k_by_brute_force(spark):
+@pytest.mark.parametrize("shard,block", [(4096, 2048), (40, 4)])
+def test_top_k_by_brute_force(spark, shard, block, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_SHARD", shard)
+    monkeypatch.setattr(vectors, "PER_BLOCK", block)
     rng = np.random.default_rng(0)
     x = rng.integers(-3, 4, (300, 6))  # many ties
     big = np.full((2, 6), 2**61)
     rows = [(i, v.tolist(), "x", 1, "y") for i, v in enumerate([*x, *big])]
+    rows += [(7, x[8].tolist(), "", 0, ""), (7, x[8].tolist(), "", 0, ""), (20, x[9].tolist(), "", 0, "")]  # ids with several vectors
     rows += [(400, None, "", 0, ""), (401, [1, None, 0, 0, 0, 0], "", 0, ""), (402, [1, 2], "", 0, ""), (None, [1] * 6, "", 0, ""), (5, x[5].tolist(), "", 0, ""), (403, [], "", 0, "")]
     df = spark.createDataFrame(rows, VECTORS.format("vector", "long"))
     found = topk.top_k(df, df.where("vec_id % 20 = 0"), 7).collect()
-    every = {i: v.astype(object) for i, v in enumerate([*x, *big])}
+    every = [(i, v.astype(object)) for i, v in enumerate([*x, *big])] + [(7, x[8].astype(object)), (20, x[9].astype(object))]
     for q in range(0, 302, 20):
-        scores = sorted(((-max(-(2**63 - 2), min(2**63 - 1, int((every[q] * v).sum()))), i) for i, v in every.items() if i != q))[:7]
+        own = [v for i, v in every if i == q]
+        scores = sorted(((-max(-(2**63 - 2), min(2**63 - 1, int((w * v).sum()))), i) for w in own for i, v in every if i != q))[:7]
         assert [(r.rank, r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     assert not [r for r in found if r.query_id in (400, 401)] and topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
@@ -180,6 +185,42 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-200, 1e-160, 1.0, 1e150, 1e200])
+def test_nearest_ends_for_vectors_of_any_size(size):
+    """Tiny, huge, equal and opposite vectors, beside one that is far longer than all others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    x[:40] = x[0]
+    x[40:60] = -x[0]
+    x[60] *= 1e3
+    x *= size
+    top = np.abs(x).max()
+    build, scan = ann.make(float(top), float(np.sqrt(((x / top) ** 2).sum(1).max())) * (1 + 1e-12))
+    q = np.concatenate([x[:3], x[45:46], np.full((1, 8), 1e-200), np.full((1, 8), 1e200), np.full((1, 8), -3.0)])
+    best = vectors.Best(np.arange(1000, 1000 + len(q)), 20, np.full(len(q), -np.inf))
+    with np.errstate(all="ignore"):
+        scan(build(np.arange(300), x), q, best)
+        want = -np.sort(-(q @ x.T), 1)[:, :20]
+    for i in range(len(q)):
+        if np.isfinite(want[i]).all() and want[i].any():
+            assert np.mean(np.isclose(best.scores[i], want[i], rtol=1e-9, atol=0)) >= 0.8
+
+
+def test_balls_that_cannot_reach_the_floor_are_skipped():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6)) * 0.05 + np.repeat(np.eye(6)[:4] * 10, 100, 0)
+    centers = vectors.centers_of(x, 4)
+    ball = np.argmax(vectors.directed(x) @ centers.T, 1)
+    assert sorted(np.bincount(ball, minlength=4).tolist()) == [100] * 4
+    top = np.abs(x).max()
+    own = [x[ball == b] / top for b in range(4)]
+    bounds = {6: (np.arange(4), np.array([y.mean(0) for y in own]), np.array([np.sqrt(((y - y.mean(0)) ** 2).sum(1).max()) for y in own]), np.full(4, top))}
+    q = x[:2]
+    floor = np.sort(q @ x.T, 1)[:, -5]
+    assert vectors.reachable(bounds, 6, q, floor) == [int(ball[0])]
+    assert vectors.reachable(bounds, 6, q, np.full(2, -np.inf)) == [0, 1, 2, 3]
+
+
 def table(spark, name):
     return spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
 
