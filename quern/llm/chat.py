@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -37,33 +37,26 @@ def formatted(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", ro
 
     Rows of a conversation stand by turn, then role and text; null turns first. Null texts and roles are empty. A null
     conversation id is a conversation. Repeated rows are turns of their own. Empty table: no rows. Other columns are not
-    read.
+    read. Lengths are running sums over the turns. A conversation's whole text is one value, as the last example of it is,
+    so it can have at most 2 GB.
     """
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("conv_id", F.struct("turn", "role", "text").alias("row"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    marked = F.transform("rows", lambda x: F.struct((x["role"] == target).alias("trains"), F.concat(F.lit(BEGIN), escaped_role(x["role"]), F.lit("\n")).alias("head"), escaped(x["text"]).alias("body")))
-    whole = whole.select("conv_id", marked.alias("marked"))
-    parts = F.transform("marked", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,chars:int,end:int>>").alias("spans"))
-    tail = len(END) + 1
-
-    def step(s: Column, x: Column) -> Column:
-        head, body = F.length(x["head"]), F.length(x["body"])
-        end = s["at"] + head + body + tail
-        span = F.struct((s["at"] + head).alias("start"), body.alias("chars"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
-
-    spans = F.aggregate("marked", start, step, lambda s: s["spans"])
-    examples = F.transform(F.sequence(F.lit(0), F.size("marked") - 1), lambda i: F.struct(i.alias("i"), F.get("marked", i)["trains"].alias("trains"), F.get(F.col("spans"), i).alias("span")))
-    kept = F.filter("examples", lambda x: x["trains"] | (x["i"] == F.size("marked") - 1))
-    whole = whole.select("conv_id", "marked", F.array_join(parts, "").alias("full"), spans.alias("spans")).withColumn("examples", examples)
-    return whole.select("conv_id", "full", F.explode(kept).alias("x")).select(
+    head, body = F.concat(F.lit(BEGIN), escaped_role(F.col("role")), F.lit("\n")), escaped(F.col("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", "turn", "role", "text", (F.col("role") == target).alias("trains"), F.length(head).alias("head"), F.length(body).alias("chars"), F.concat(head, body, F.lit(END + "\n")).alias("piece"))
+    end = F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.select("conv_id", "trains", "head", "chars", "piece", (F.row_number().over(order) - 1).alias("i"), end.alias("end"))
+    spans = F.struct("i", "trains", (F.col("end") - F.length("piece") + F.col("head")).alias("start"), "chars", "end")
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("pieces"), F.collect_list(F.when(F.col("trains"), spans)).alias("examples"), F.max(F.when(~F.col("trains"), spans)).alias("other"), F.max("i").alias("last"))
+    # the last turn of a conversation that ends otherwise
+    rest = F.filter(F.array("other"), lambda x: x["i"] == F.col("last"))
+    whole = whole.select("conv_id", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("full"), F.concat("examples", rest).alias("examples"))
+    return whole.select("conv_id", "full", F.explode("examples").alias("x")).select(
         "conv_id",
         F.when(F.col("x.trains"), F.col("x.i")).alias("target_turn"),
-        F.substring("full", F.lit(1), F.col("x.span.end")).alias("text"),
-        F.col("x.span.start").alias("loss_start"),
-        F.when(F.col("x.trains"), F.col("x.span.chars")).otherwise(0).alias("loss_chars"),
+        F.substring("full", F.lit(1), F.col("x.end")).alias("text"),
+        F.col("x.start").alias("loss_start"),
+        F.when(F.col("x.trains"), F.col("x.chars")).otherwise(0).alias("loss_chars"),
     )
 
 
