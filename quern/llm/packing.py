@@ -16,12 +16,17 @@ from quern.llm.shared import kept, kept_in_place
 from quern.llm.spans import lean, text_bytes
 
 PIECES = "key {key}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
+PART, FINE = 64 << 20, 1 << 20
+"""Bytes of text in a partition, at most about; and at least, where there would be fewer partitions than two for each core."""
 SMALL = 200_000
 """Rows (partition, source) up to which the carried deficits are broadcast (under 10 MB)."""
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, source: str) -> DataFrame:
-    """key, source, ids (packed little-endian, 2 or 4 bytes each), n: the ids of each text and end_id."""
+    """key, source, ids (packed little-endian, 2 or 4 bytes each), n, at: the ids of each text and end_id, and where to deal it.
+
+    at is a hash of the key and the row's place in docs, so that rows of one key, and equal rows, are spread.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,10 +37,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, s
             rows = np.append(np.insert(ids, ends[1:], own.dtype(end_id)), own.dtype(0))[: len(ids) + len(batch)]
             ends = ends + np.arange(len(ends))
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends * rows.itemsize), pa.py_buffer(rows)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed.cast(pa.binary()), pa.array(np.diff(ends))], ["key", "source", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed.cast(pa.binary()), pa.array(np.diff(ends)), batch.column(3)], ["key", "source", "ids", "n", "at"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, source string, ids binary, n long")
+    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"), F.xxhash64(key, F.monotonically_increasing_id()).alias("at"))
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, source string, ids binary, n long, at long")
 
 
 class Queue:
@@ -98,19 +103,22 @@ def pack(
     sequence_tokens. A document's ids are the tokenizer's, without special tokens, and end_id. Each id is in exactly one
     piece; a sequence is full, or its length is a power of two, so there is no padding at all.
 
-    Documents are dealt to partitions by a hash of the key, so that each partition has about the mix of the whole; the
-    partition packs its own documents. Target proportions are weights, or else each source's share of all ids. What a
+    Documents are dealt to partitions by a hash of the key and their place, so that each partition has about the mix of
+    the whole, whatever the keys; the partition packs its own documents. Target proportions are weights, or else each source's share of all ids. What a
     source is owed or owes goes from window to window, and, from counts by partition and source, into the next
     partition. least: the shortest piece that a share alone may cause. A partition's ids are held in memory by its task
-    (two bytes each); adaptive coalescing or spark.sql.shuffle.partitions sets how many these are.
+    (two bytes each); the number of partitions follows from the bytes of all texts (PART), so these are few, but for a
+    very long text, which is whole in one.
 
     Null text: only end_id. Null source: a source of its own. Null keys are kept. Repeated rows: packed each. Empty
     table: no rows. Other columns of docs are not read.
     """
     name = key
     kind = docs.schema[key].dataType.simpleString()
-    ids = encoded(docs, tokenizer, end_id, key, text, source).withColumn("at", F.xxhash64("key"))
-    dealt = kept_in_place(ids.repartition("at").sortWithinPartitions("at", "key", "source", "ids").drop("at")).withColumn("at", F.monotonically_increasing_id())
+    ids = encoded(docs, tokenizer, end_id, key, text, source)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    number = max(1, -(-size // PART), min(2 * docs.sparkSession.sparkContext.defaultParallelism, size // FINE))
+    dealt = kept_in_place(ids.repartition(number, "at").sortWithinPartitions("at", "key", "source", "ids").drop("at")).withColumn("at", F.monotonically_increasing_id())
     counts = kept(dealt.groupBy(F.shiftright("at", 33).alias("part"), "source").agg(F.sum("n").alias("n")))
     parts = counts.groupBy("part").agg(F.sum("n").alias("part_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
