@@ -77,7 +77,7 @@ def mixed(
     Running sums within a source use two levels (blocks of hashes, then rows of a block), about the square root of the
     number of rows each, so no task gets a whole source.
 
-    Null text and texts without words: size 0, never taken. Null source: a source of its own, last. Null keys: like any
+    Null text and texts without words: size 0, never taken. Very long texts: their words are counted whole. Null source: a source of its own, last. Null keys: like any
     other. Repeated rows: each has its place. Empty table: no rows.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size_of(F.col(text).cast("string")).alias("size"), *(F.col(c).alias(f"keep_{c}") for c in keep))
@@ -120,8 +120,7 @@ def _taken(placed: DataFrame, sources: DataFrame, rows: DataFrame, most: int, sc
 def training_order(mix: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each time a document is taken, range-sorted by its time in training, then key."""
     due = mix.withColumn("take", F.explode("takes")).withColumn("at", F.col("take.at")).withColumn("words", F.col("take.words")).drop("takes", "take")
-    spark = mix.sparkSession
-    return due.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "at", key).sortWithinPartitions("at", key)
+    return due.repartitionByRange("at", key).sortWithinPartitions("at", key)
 
 
 def first_words(text: Column, words: Column, size: Column) -> Column:
