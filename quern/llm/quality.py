@@ -152,7 +152,8 @@ def weights(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: n
     """From batches of rows, in each of which drawn pairs of a text of either label, `pairs` for each text, are compared.
 
     A pair's loss is -log sigmoid(weights . (features of the better - features of the worse)). A column moves at the
-    square of the speed of its evidence, so few columns do much, and the others what these leave.
+    square of the speed of its evidence, so few columns do much, and the others what these leave. The evidence of hashed
+    columns, and that of the others, is measured by what the best of as many would reach by chance.
     """
     parts, w = batches(columns, ends, rows, size, values), np.zeros(COLUMNS)
     moments = np.zeros((2, 2, COLUMNS))  # sums of values and of their squares, by label
@@ -166,7 +167,10 @@ def weights(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: n
     spread = np.maximum(moments[:, 1] / np.maximum(counts, 1) - means**2, 0)
     width = np.maximum(moments[:, 1].sum(0) / len(rows) - (moments[:, 0].sum(0) / len(rows)) ** 2, 1e-12)
     z = np.abs(means[1] - means[0]) / np.sqrt(np.maximum((spread / np.maximum(counts, 1)).sum(0), 1e-12))
-    speed = evidence(z) ** 2 / width
+    few = np.arange(COLUMNS) >= RARE
+    for group in (few, ~few):  # what the best of so many columns is expected to reach by chance
+        z[group] /= np.sqrt(2 * np.log(max(np.count_nonzero(moments[:, 0, group].any(0)), 2)))
+    speed = evidence(z, 1.0) ** 2 / width
     for t in range(epochs):
         for i in rng.permutation(len(parts)):
             b = parts[i]

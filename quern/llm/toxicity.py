@@ -96,7 +96,7 @@ def directions(parts: list[Batch], residual: np.ndarray, width: int, k: int, rng
 
 
 def fit(
-    bins: np.ndarray, columns: np.ndarray, ends: np.ndarray, labels: np.ndarray, *, factors: int = 4, alone: int = 20, joint: int = 15, rate: float = 4.0, pair_rate: float = 0.5, size: int = 256, pair_rows: int = 4096, seed: int = 0
+    bins: np.ndarray, columns: np.ndarray, ends: np.ndarray, labels: np.ndarray, *, factors: int = 4, alone: int = 20, joint: int = 20, rate: float = 4.0, pair_rate: float = 1.0, size: int = 256, pair_rows: int = 4096, seed: int = 0
 ) -> Machine:
     """Logistic loss, both labels of equal weight, by gradient steps over batches of texts; each step moves only the columns of its batch.
 
@@ -110,7 +110,7 @@ def fit(
     prior = np.clip(positives / (n + 1), 1e-6, 1 - 1e-6)
     if not width or positives in (0, n):
         return Machine(bins[:0], float(np.log(prior / (1 - prior))), np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
-    order = rng.permutation(n)
+    order, factors = rng.permutation(n), min(factors, width)
     parts = batches(columns, ends, order, size)
     weight = np.where(labels == 1, 0.5 / positives, 0.5 / (n - positives)) * n
     one = labels[np.repeat(np.arange(n), np.diff(ends))] == 1
@@ -155,6 +155,7 @@ def fit(
     if u.any():
         pairs = [b.only(u.any(1)) for b in parts]
         pair_speed = (np.abs(u) / np.maximum(np.abs(u).max(0), 1e-12)).max(1) ** 2
+        speed = np.maximum(speed, pair_speed / 4)  # what tells in pairs needs a weight beside them
         spread = np.concatenate([np.stack([b.by_row(u[b.columns, f]) ** 2 - b.by_row(u[b.columns, f] ** 2) for f in range(factors)], 1) for b in some]).std(0) / 2
         v = u * np.sqrt(0.25 / (spread + 1e-12))
     for t in range(joint):

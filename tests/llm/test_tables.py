@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import ann, chat, components, mixing, ngram_jaccard, quality, topk, toxicity, vectors
+from quern.llm import ann, chat, components, fitting, mixing, ngram_jaccard, quality, spans, topk, toxicity, vectors
 from quern.llm.registry import QUERIES
 from tests.compare import SMALL
 from tests.llm.test_text import docs, library_ids
@@ -255,8 +257,7 @@ def test_machine_learns_pairs_that_weights_cannot():
     has = rng.random((4000, 6)) < 0.5
     labels = (has[:, 0] ^ has[:, 1]).astype(float)
     texts, columns = np.nonzero(has)
-    bins = np.arange(6, dtype=np.int32)
-    machine = toxicity.fit(bins, columns, texts, labels, steps=400)
+    machine = toxicity.fit(np.arange(6, dtype=np.int32), columns, np.append(0, np.cumsum(has.sum(1))), labels)
     right = np.mean((machine.scores(columns.astype(np.int32), texts, 4000) >= 0.5) == labels)
     machine.factors[:] = 0
     additive = np.mean((machine.scores(columns.astype(np.int32), texts, 4000) >= 0.5) == labels)
@@ -280,38 +281,111 @@ def test_training_admits_words_that_tell_only_in_pairs(spark, rule):
     assert got > 0.95
 
 
-def test_pairs_are_counted_exactly():
-    """Shares of the columns give the same columns as brute force over all pairs."""
-    rng = np.random.default_rng(5)
-    has = rng.random((400, 30)) < 0.3
-    labels = (has[:, 4] ^ has[:, 9]).astype(float)
+def test_directions_by_brute_force():
+    """Eigenvectors of the matrix that is never built, against the matrix itself."""
+    rng = np.random.default_rng(6)
+    has = rng.random((200, 12)) < 0.4
+    residual = rng.normal(size=200) + 2 * (has[:, 3] & has[:, 7])
+    m = (has * (residual / np.maximum(has.sum(1), 1))[:, None]).T @ has
+    np.fill_diagonal(m, 0)
     texts, columns = np.nonzero(has)
-    ends = np.append(0, np.cumsum(has.sum(1)))
-    want, high = set(), toxicity.bar(30)
-
-    def tells(a, b):
-        inside, g = has[:, a], 0.0
-        for x in (True, False):
-            for y in (0.0, 1.0):
-                o = np.sum(inside & (has[:, b] == x) & (labels == y))
-                e = np.sum(inside & (has[:, b] == x)) * np.sum(inside & (labels == y)) / max(np.sum(inside), 1)
-                g += 2 * o * np.log(o / e) if o else 0
-        return np.sqrt(max(g, 0)) >= high
-
-    for a in range(30):
-        for b in range(a + 1, 30):
-            if np.sum(has[:, a] & has[:, b]) >= 5 and tells(a, b) and tells(b, a):
-                want |= {a, b}
-    found = {int(x) for first in range(7) for x in toxicity.telling(columns, ends, labels, 30, 5, high, first, 7)}
-    assert {4, 9} <= found == want
-
-
-def test_ranking_orders_and_cuts():
+    parts = fitting.batches(columns, np.append(0, np.cumsum(has.sum(1))), rng.permutation(200), 32)
+    values, u = toxicity.directions(parts, residual, 12, 2, rng, steps=60)
+    want, vectors_ = np.linalg.eigh(m)
+    assert np.allclose(values[-1], want[-1], rtol=1e-3) and abs(u[:, -1] @ vectors_[:, -1]) > 0.99
+
+
+def plain_hash(word):
+    """The chain over 8-byte parts, in plain Python."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in word)
+    h = int(spans._SEEDS[len(low)])
+    for k in range(0, len(low), 8):
+        h ^= int.from_bytes(low[k : k + 8], "little")
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor % 2**64
+        h ^= h >> 31
+    return h
+
+
+def plain_features(text):
+    """quality.features for one text, in plain Python."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    folded = b" " + b" ".join(bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words) + b" "
+    runs = [folded[i - 1 : i + 2] for i in range(1, len(folded) - 1) if folded[i] != 32]
+    out = {}
+    for w in words:
+        c = plain_hash(w) >> 48
+        out[c] = out.get(c, 0) + 1 / len(words)
+    for r in runs:
+        c = (1 << 16) + (int.from_bytes(r, "little") * 0x9E3779B1 % 2**32 >> 16)
+        out[c] = out.get(c, 0) + 1 / len(runs)
+    lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    pairs = list(zip(lower, lower[1:], strict=False))
+    kinds = [
+        [len(re.findall(rb"[A-Z]", w)) >= 2 and not re.search(rb"[a-z\x80-\xff0-9]", w) for w in words], [len(re.findall(rb"[#$%&*^~]", w)) >= 2 for w in words], [b"|" in w for w in words],
+        [w.count(b"!") >= 2 for w in words], [a == b for a, b in pairs], [True] * (len(pairs) - len({*pairs})),
+    ]
+    out |= {quality.RARE + 1 + k: (sum(x) / len(words)) ** 0.5 for k, x in enumerate(kinds) if any(x)}
+    return out
+
+
+def test_features_by_plain_python():
+    texts = ["", None, "Two Words", "### ABC $$$ a|b wow!! wow!! the the cat the cat 12 ÉÀ AB1", "漢字 かな  x\ty\n", "one", "long" * 15 + " a b a b a b"]
+    data, offs = spans.text_bytes(pa.array(texts))
+    columns, values, ends = quality.features(data, offs)
+    for i, t in enumerate(texts):
+        got = dict(zip(columns[ends[i] : ends[i + 1]].tolist(), values[ends[i] : ends[i + 1]].tolist(), strict=True))
+        want = plain_features(t)
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want), t
+
+
+def test_terms_and_scores_by_plain_python():
+    texts = ["", None, "Insulting words, INSULTING word's É12 abcdef", "a b a", "x" * 70]
+    data, offs = spans.text_bytes(pa.array(texts))
+    bins, of = toxicity.terms(data, offs)
+
+    def finish(h, n):
+        h = (h + n) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor % 2**64
+        return (h ^ h >> 31) >> (64 - toxicity.BITS)
+
+    sets = []
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())
+        want = sorted(finish(plain_hash(w[: n or None]) if len(w[: n or None]) <= 64 else spans.digest(np.frombuffer(w, np.uint8)), n) for w in words for n in (0, *toxicity.PREFIXES) if not n or len(w) > n)
+        assert sorted(bins[of == i].tolist()) == want
+        sets.append(sorted({*want}))
+    rng = np.random.default_rng(0)
+    known = np.array(sorted({b for s in sets for b in s})[::2], np.int32)
+    machine = toxicity.Machine(known, -0.3, rng.normal(size=len(known)).astype(np.float32), rng.normal(size=(len(known), 3)).astype(np.float32))
+    found = machine.scores(bins, of, len(texts))
+    for i, own in enumerate(sets):
+        at = [k for k, b in enumerate(known.tolist()) if b in own]
+        raw = -0.3 + sum(float(machine.weights[k]) for k in at) + sum(float(machine.factors[a].astype(float) @ machine.factors[b].astype(float)) for a in at for b in at if a < b)
+        assert abs(found[i] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_prose_and_gibberish_score_apart(spark):
+    d, labels = table(spark, "documents"), table(spark, "labels")
+    prose = " ".join(d.where("lang = 'en'").join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").first().text.split()[:30])
+    own = quality.train(d, labels)
+    good, bad, empty = own.scores(*spans.text_bytes(pa.array([prose, "fhqw zxcv lkjh qpwo mnbv", ""])))
+    assert good > bad and len({good, bad, empty}) == 3
+
+
+def test_ranking_orders_and_cuts_at_the_quantile():
+    """One telling column among many: the score orders by it, and as many are cut as are marked."""
     rng = np.random.default_rng(0)
-    x = np.abs(rng.normal(size=(500, len(quality.FEATURES))))
-    labels = (x[:, 0] < 0.8).astype(int)
-    ranking = quality.fit(x, labels, at=0.3)
-    assert np.mean((ranking.scores(x) >= 0.3) == labels) > 0.97
+    n, telling = 500, quality.RARE + 1
+    x = np.abs(rng.normal(size=n))
+    labels = (x < 0.8).astype(int)
+    columns = np.sort(np.column_stack([rng.integers(0, 1 << 16, (n, 20)), np.full(n, telling)]), 1)
+    values = np.where(columns == telling, x[:, None], 0.05)
+    ranking = quality.fit(columns.ravel().astype(np.int32), values.ravel(), np.arange(n + 1) * 21, labels, at=0.3)
+    scores = np.array([ranking.weights[c] @ v for c, v in zip(columns, values, strict=True)])
+    assert np.mean((scores >= ranking.cut) == labels) > 0.97 and abs(np.sum(scores < ranking.cut) - np.sum(labels == 0)) <= 1
 
 
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import licenses, packing, token_counts
+from pyspark.sql import functions as F
+
+from quern.llm import licenses, ngram_jaccard, packing, pieces, token_counts
 from quern.llm.pieces import Encoder, WholeEncoder, cuts_by_character_kind
 from quern.llm.registry import ORACLE_SQL, QUERIES
 from quern.llm.spans import blocks, shingles, text_bytes, word_hashes
@@ -99,7 +102,11 @@ def check_pieces(rows, texts, window, end_id=2):
     return sequences
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("small", [200_000, -1])
+def test_packing(spark, small, monkeypatch):
+    """Also where the carried deficits are joined instead of broadcast."""
+    monkeypatch.setattr(packing, "SMALL", small)
+    monkeypatch.setattr(packing, "FINE", 1 << 12)
     texts = [*ODD, ODD[4]]
     rows = packing.pack(docs(spark, texts, [None if i == 3 else f"s{i % 3}" for i in range(len(texts))]), PATH, window=256, least=8).collect()
     check_pieces(rows, dict(enumerate(texts)), 256)
@@ -120,6 +127,54 @@ def test_packing_keeps_proportions(spark):
     assert abs(np.mean(inside) - share) < 0.05 and np.quantile(np.abs(np.array(inside) - share), 0.8) < 0.15
 
 
+def test_rows_of_one_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 1000)
+    rows = packing.pack(docs(spark, ["red green blue tree"] * 400, ids=[None] * 400), PATH, window=64).select((F.shiftright("sequence_id", 32)).alias("part"), "length").collect()
+    parts = {}
+    for r in rows:
+        parts[r.part] = parts.get(r.part, 0) + r.length
+    assert sum(parts.values()) == 400 * 5 and len(parts) >= 6 and max(parts.values()) < 2 * 2000 / len(parts)
+
+
+def thue_morse(n, a, b):
+    x = [0]
+    while len(x) < n:
+        x += [1 - v for v in x]
+    return "".join((a, b)[v] for v in x), "".join((b, a)[v] for v in x)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 8192])
+def test_words_made_to_collide_stay_apart(spark, n):
+    """Thue-Morse words and their complements, which polynomials modulo a power of two can't tell apart."""
+    texts = [w for a, b in (("t", "h"), ("s", "x"), ("a", "b")) for w in thue_morse(n, a, b)]
+    data, offs = text_bytes(pa.array(texts))
+    assert len({*word_hashes(data, offs)[0].tolist()}) == len(texts)
+    ids, ends = Encoder.of(PATH).encode(data, offs)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [library_ids(t) for t in texts]
+    if n == 1024:
+        assert [r.n_tokens for r in token_counts.token_counts(docs(spark, texts), PATH).orderBy("doc_id").collect()] == [len(library_ids(t)) for t in texts]
+        check_pieces(packing.pack(docs(spark, texts), PATH, window=256).collect(), dict(enumerate(texts)), 256)
+        assert len({r.component_id for r in ngram_jaccard.near_duplicates(docs(spark, texts)).collect()}) == len(texts)
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    """The known pieces are compared byte for byte, so even a hash that is always the same gives the library's ids."""
+    monkeypatch.setattr(pieces, "chain", lambda words, starts, sizes: np.zeros(len(starts), np.uint64))
+    own = Encoder(PATH)
+    texts = ["red green blue", "Red tree 12 blue-green", "abcdefgh abcdefghi ABCDEFGHij", "blue"]
+    data, offs = text_bytes(pa.array(texts))
+    assert own.counts(data, offs).tolist() == [len(library_ids(t)) for t in texts]
+
+
+def test_a_huge_word_needs_little_memory():
+    data = np.full(200_000_000, 97, np.uint8)
+    tracemalloc.start()
+    hashes, ends = shingles(data, np.array([0, len(data)]), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hashes) == 1 and peak < 8 << 20
+
+
 def test_deficits_are_carried():
     a, b = packing.Queue(0.75, -40.0), packing.Queue(0.25, 40.0)  # an earlier partition gave a 40 too many
     a.add("a", "a", np.arange(1000))
