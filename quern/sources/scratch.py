@@ -9,9 +9,17 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own where that is unset, as in local tests."""
+    """spark.checkpoint.dir of the session, or the context's; a folder of its own where both are unset on one machine.
+
+    On a cluster an unset folder is an error, since a machine's own folder is not shared.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = found.get() if found.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
