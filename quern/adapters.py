@@ -57,12 +57,13 @@ def claims(lake: Lake) -> DataFrame:
 @view("claim_lines", """select l_orderkey as claim_id, l_linenumber as line_number, l_partkey as cpt_code, l_quantity as units, l_suppkey as facility_id, l_returnflag as remark, l_linestatus as line_status,
   cast(l_extendedprice as decimal(12,2)) as billed_amount, cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) as allowed_amount,
   cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) * (1 - cast(l_tax as decimal(4,2))) as paid_amount,
-  cast(l_extendedprice as decimal(12,2)) * cast(l_discount as decimal(4,2)) as adjustment_amount, cast(l_shipdate as date) as service_date from lineitem""")
+  cast(l_extendedprice as decimal(12,2)) * cast(l_discount as decimal(4,2)) as adjustment_amount,
+  cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) - cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) * (1 - cast(l_tax as decimal(4,2))) as patient_responsibility, cast(l_shipdate as date) as service_date from lineitem""")
 def claim_lines(lake: Lake) -> DataFrame:
     billed, kept_, after = money("l_extendedprice"), 1 - F.col("l_discount").cast("decimal(4,2)"), 1 - F.col("l_tax").cast("decimal(4,2)")
     return lake.lineitem.select(
         F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("cpt_code"), F.col("l_quantity").alias("units"), F.col("l_suppkey").alias("facility_id"), F.col("l_returnflag").alias("remark"), F.col("l_linestatus").alias("line_status"),
-        billed.alias("billed_amount"), (billed * kept_).alias("allowed_amount"), (billed * kept_ * after).alias("paid_amount"), (billed * F.col("l_discount").cast("decimal(4,2)")).alias("adjustment_amount"), F.to_date("l_shipdate").alias("service_date"),
+        billed.alias("billed_amount"), (billed * kept_).alias("allowed_amount"), (billed * kept_ * after).alias("paid_amount"), (billed * F.col("l_discount").cast("decimal(4,2)")).alias("adjustment_amount"), (billed * kept_ - billed * kept_ * after).alias("patient_responsibility"), F.to_date("l_shipdate").alias("service_date"),
     )
 
 
@@ -71,6 +72,11 @@ def payments(lake: Lake) -> DataFrame:
     return lake.claim_lines.where("line_status = 'F'").select("claim_id", "paid_amount", F.col("service_date").alias("payment_date"))
 
 
+@view("encounters", "select o_orderkey as encounter_id, cast(o_orderdate as date) as encounter_date, cast(o_orderkey % 9 as varchar) as place_of_service_code, o_orderpriority as encounter_type from orders")
+def encounters(lake: Lake) -> DataFrame:
+    return lake.orders.select(F.col("o_orderkey").alias("encounter_id"), F.to_date("o_orderdate").alias("encounter_date"), (F.col("o_orderkey") % 9).cast("string").alias("place_of_service_code"), F.col("o_orderpriority").alias("encounter_type"))
+
+
 @view("denials", """select claim_id, 'co-' || cast(line_number as varchar) as denial_code, line_status as denial_category, case when line_number % 2 = 0 then 'coding' else 'coverage' end as denial_reason,
   service_date as denial_date, case cast(units as int) % 3 when 0 then 'APPROVED' when 1 then 'NOT APPEALED' else 'IN REVIEW' end as appeal_status from claim_lines where remark = 'R'""")
 def denials(lake: Lake) -> DataFrame:
@@ -81,10 +87,12 @@ def denials(lake: Lake) -> DataFrame:
     )
 
 
-@view("patients", "select c_custkey as patient_id, c_name as name, c_nationkey as clinic_id, c_acctbal as balance, c_mktsegment as segment, cast(c_custkey % 97 as int) as age, case when c_custkey % 2 = 0 then 'F' else 'M' end as gender from customer")
+@view("patients", """select c_custkey as patient_id, c_name as name, c_nationkey as clinic_id, c_acctbal as balance, c_mktsegment as segment, cast(c_custkey % 97 as int) as age, case when c_custkey % 2 = 0 then 'F' else 'M' end as gender,
+  case c_custkey % 3 when 0 then 'normal' when 1 then 'overweight' else 'obese' end as bmi_category, case when c_custkey % 5 = 0 then 'current' else 'never' end as smoking_status from customer""")
 def patients(lake: Lake) -> DataFrame:
     k = F.col("c_custkey")
-    return lake.customer.select(k.alias("patient_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("clinic_id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), (k % 97).cast("int").alias("age"), F.when(k % 2 == 0, "F").otherwise("M").alias("gender"))
+    return lake.customer.select(k.alias("patient_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("clinic_id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), (k % 97).cast("int").alias("age"), F.when(k % 2 == 0, "F").otherwise("M").alias("gender"),
+        F.when(k % 3 == 0, "normal").when(k % 3 == 1, "overweight").otherwise("obese").alias("bmi_category"), F.when(k % 5 == 0, "current").otherwise("never").alias("smoking_status"))
 
 
 @view("patient_insurance", """select c_custkey as patient_id, cast(c_custkey % 5 as int) as payer_id, c_mktsegment as plan_name, p.priority as insurance_priority, date '2000-01-01' + cast(c_custkey % 30 as int) as effective_date
@@ -95,9 +103,9 @@ def patient_insurance(lake: Lake) -> DataFrame:
     return rows.select(k.alias("patient_id"), (k % 5).cast("int").alias("payer_id"), F.col("c_mktsegment").alias("plan_name"), "insurance_priority", F.date_add(F.lit("2000-01-01").cast("date"), (k % 30).cast("int")).alias("effective_date"))
 
 
-@view("providers", "select s_suppkey as provider_id, s_name as provider_name, s_nationkey as clinic_id, s_acctbal as balance from supplier")
+@view("providers", "select s_suppkey as provider_id, s_name as provider_name, s_nationkey as clinic_id, s_acctbal as balance, 'specialty ' || cast(s_nationkey % 7 as varchar) as specialty, case when s_suppkey % 2 = 0 then 'MD' else 'NP' end as credential from supplier")
 def providers(lake: Lake) -> DataFrame:
-    return lake.supplier.select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("provider_name"), F.col("s_nationkey").alias("clinic_id"), F.col("s_acctbal").alias("balance"))
+    return lake.supplier.select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("provider_name"), F.col("s_nationkey").alias("clinic_id"), F.col("s_acctbal").alias("balance"), F.concat(F.lit("specialty "), (F.col("s_nationkey") % 7).cast("string")).alias("specialty"), F.when(F.col("s_suppkey") % 2 == 0, "MD").otherwise("NP").alias("credential"))
 
 
 @view("clinics", "select n_nationkey as clinic_id, n_name as clinic_name, n_regionkey as payer_id, case when n_nationkey % 3 = 0 then 'hospital' else 'office' end as clinic_type, case when n_nationkey % 4 = 0 then 'out' else 'in' end as network_status, n_nationkey * 10 as bed_count from nation")
@@ -106,9 +114,9 @@ def clinics(lake: Lake) -> DataFrame:
     return lake.nation.select(k.alias("clinic_id"), F.col("n_name").alias("clinic_name"), F.col("n_regionkey").alias("payer_id"), F.when(k % 3 == 0, "hospital").otherwise("office").alias("clinic_type"), F.when(k % 4 == 0, "out").otherwise("in").alias("network_status"), (k * 10).alias("bed_count"))
 
 
-@view("payers", "select r_regionkey as payer_id, r_name as payer_name from region")
+@view("payers", "select r_regionkey as payer_id, r_name as payer_name, case when r_regionkey % 2 = 0 then 'commercial' else 'public' end as payer_type from region")
 def payers(lake: Lake) -> DataFrame:
-    return lake.region.select(F.col("r_regionkey").alias("payer_id"), F.col("r_name").alias("payer_name"))
+    return lake.region.select(F.col("r_regionkey").alias("payer_id"), F.col("r_name").alias("payer_name"), F.when(F.col("r_regionkey") % 2 == 0, "commercial").otherwise("public").alias("payer_type"))
 
 
 @view("procedures", "select p_partkey as cpt_code, p_name as description, p_type as category, cast(p_retailprice as decimal(12,2)) as charge from part")

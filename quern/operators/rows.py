@@ -74,10 +74,7 @@ def top_k(df: DataFrame, by: str, k: int, ties: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, column: str, name: str, within: list[str] | None = None) -> DataFrame:
-    """column as a percentage of its total; the global total is one row joined back, not a window over one partition."""
+    """column as a percentage of its total. For an aggregate: without within, all rows of df meet in one task."""
     from quern.functions.scalars import safe_pct
 
-    if within:
-        return df.withColumn(name, safe_pct(F.col(column), F.sum(column).over(Window.partitionBy(*within))))
-    whole = df.agg(F.sum(column).alias("_whole")).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").withColumn(name, safe_pct(F.col(column), F.col("_whole"))).drop("_one", "_whole")
+    return df.withColumn(name, safe_pct(F.col(column), F.sum(column).over(Window.partitionBy(*(within or [F.lit(0)])))))

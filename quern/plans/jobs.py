@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quern.operators.clean import clean_table
@@ -15,14 +16,15 @@ from quern.sources.files import as_strings
 from quern.sources.store import SnapshotStore, dispatch_write
 
 LAYERS = ("bronze", "silver", "gold")
-KPIS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {}
-"""Gold builders by name, and the silver or gold tables they take."""
+UNKNOWN = "max(cast(null as string))"
+KPIS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], bool]] = {}
+"""Gold builders by name, the silver or gold tables they take, and whether they take the day to count to."""
 
 
-def register_kpi(name: str, build: Callable[..., DataFrame], inputs: tuple[str, ...]) -> None:
+def register_kpi(name: str, build: Callable[..., DataFrame], inputs: tuple[str, ...], dated: bool = False) -> None:
     if name in KPIS:
         raise ValueError(f"{name} is registered already")
-    KPIS[name] = (build, inputs)
+    KPIS[name] = (build, inputs, dated)
 
 
 class Pipeline:
@@ -32,16 +34,27 @@ class Pipeline:
         self.spark, self.as_of = spark, as_of
         self.stores = {layer: SnapshotStore(spark, f"{root}/{layer}") for layer in LAYERS}
         self.audits = SnapshotStore(spark, root)
+        self._rows: list[tuple] = []
+        self._running = False
 
     def audit(self) -> DataFrame:
+        self._write_audit()
         found = self.audits.read("audit")
         return self.spark.createDataFrame([], AUDIT) if found is None else found
 
     def _log(self, layer: str, table: str, mode: str, rows_in: int, rows_out: int, flagged: int = 0, watermark: str | None = None, status: str = "OK") -> dict:
         row = (layer, table, mode, status, rows_in, rows_out, flagged, watermark)
-        self.audits.append("audit", self.spark.createDataFrame([row], AUDIT.rsplit(",", 1)[0]).withColumn("logged_at", F.current_timestamp().cast("timestamp_ntz")))
+        self._rows.append((*row, datetime.now(UTC).replace(tzinfo=None)))
+        if not self._running:
+            self._write_audit()
         return dict(zip(("layer", "table", "mode", "status", "input_rows", "output_rows"), row, strict=False))
 
+    def _write_audit(self) -> None:
+        """The rows that wait, in one append: a run of layers writes its audit once."""
+        if self._rows:
+            rows, self._rows = self._rows, []
+            self.audits.append("audit", self.spark.createDataFrame(rows, AUDIT).coalesce(1))
+
     def watermark(self, layer: str, table: str) -> str | None:
         found = watermarks(self.audit()).where((F.col("layer") == layer) & (F.col("table_name") == table)).first()
         return found.last_watermark if found else None
@@ -58,10 +71,10 @@ class Pipeline:
         """Bronze: everything as text, filtered by mode, stamped, written."""
         store, text = self.stores["bronze"], as_strings(source)
         mode = "FULL" if store.version(spec.name) is None else mode
-        batch = self._since("bronze", spec, text, mode)
-        rows = dispatch_write(store, spec, stamp(batch, "bronze", spec.name), mode, as_of=self.as_of)
-        high = batch.agg(F.max(F.col(spec.watermark).try_cast("timestamp_ntz")).cast("string")).first()[0] if spec.watermark in batch.columns else None
-        return self._log("bronze", spec.name, mode, rows, rows, watermark=high)
+        batch, seen = self._since("bronze", spec, text, mode), Observation()
+        high = F.max(F.col(spec.watermark).try_cast("timestamp_ntz")).cast("string") if spec.watermark in batch.columns else F.expr(UNKNOWN)
+        rows = dispatch_write(store, spec, stamp(batch.observe(seen, high.alias("high")), "bronze", spec.name), mode, as_of=self.as_of)
+        return self._log("bronze", spec.name, mode, rows, rows, watermark=seen.get["high"])
 
     def process_table(self, spec: TableSpec, mode: str | None = None) -> dict:
         """Silver: bronze cleaned, stamped and hashed."""
@@ -70,20 +83,20 @@ class Pipeline:
         if bronze is None:
             return self._log("silver", spec.name, mode, 0, 0, status="SKIP")
         mode = "FULL" if store.version(spec.name) is None and mode not in ("SCD2", "FDC") else mode
-        raw = self._since("silver", spec, bronze.drop("_bronze_table", "_ingested_at", "_ingestion_date", "_row_hash"), mode)
-        clean = clean_table(raw, spec, self.as_of)
+        raw, read, made = self._since("silver", spec, bronze.drop("_bronze_table", "_ingested_at", "_ingestion_date", "_row_hash"), mode), Observation(), Observation()
+        clean = clean_table(raw.observe(read, F.count(F.lit(1)).alias("rows")), spec, self.as_of)
+        high = F.max(F.col(spec.watermark)).cast("string") if spec.watermark in clean.columns else F.expr(UNKNOWN)
+        clean = clean.observe(made, high.alias("high"), F.count_if("_dq_flag").alias("flagged"))
         clean = stamp(clean.withColumn("_row_hash", row_hash(clean)), "silver", spec.name)
         rows = dispatch_write(store, spec, clean, mode, as_of=self.as_of)
-        written = store.read(spec.name)
-        high, flagged = written.agg(F.max(F.col(spec.watermark)).cast("string") if spec.watermark in written.columns else F.lit(None).cast("string"), F.count_if("_dq_flag")).first()
-        return self._log("silver", spec.name, mode, raw.count(), rows, flagged, high)
+        return self._log("silver", spec.name, mode, read.get["rows"], rows, made.get["flagged"], made.get["high"])
 
     def process_gold_table(self, name: str) -> dict:
-        build, inputs = KPIS[name]
+        build, inputs, dated = KPIS[name]
         frames = [t for i in inputs if (t := self.stores["gold"].read(i) if i in KPIS else self.stores["silver"].read(i)) is not None]
         if len(frames) < len(inputs):
             return self._log("gold", name, "FULL", 0, 0, status="SKIP")
-        rows = self.stores["gold"].write(name, stamp(build(*frames), "gold", name))
+        rows = self.stores["gold"].write(name, stamp(build(*frames, *([self.as_of] if dated else [])), "gold", name))
         return self._log("gold", name, "FULL", rows, rows)
 
     def run_layers(self, sources: dict[TableSpec, DataFrame], kpis: list[str], mode: str = "FULL", layer_modes: dict[str, str] | None = None, layers: tuple[str, ...] = LAYERS, dry_run: bool = False) -> list[dict]:
@@ -94,7 +107,12 @@ class Pipeline:
         steps = [(layer, x) for layer in LAYERS if layer in layers for x in (kpis if layer == "gold" else sources)]
         if dry_run:
             return [{"layer": layer, "table": x if layer == "gold" else x.name, "mode": modes[layer]} for layer, x in steps]
-        return [self.process_gold_table(x) if layer == "gold" else self.ingest_table(x, sources[x], modes[layer]) if layer == "bronze" else self.process_table(x, modes[layer]) for layer, x in steps]
+        self._running = True
+        try:
+            return [self.process_gold_table(x) if layer == "gold" else self.ingest_table(x, sources[x], modes[layer]) if layer == "bronze" else self.process_table(x, modes[layer]) for layer, x in steps]
+        finally:
+            self._running = False
+            self._write_audit()
 
     def backfill_window(self, sources: dict[TableSpec, DataFrame], kpis: list[str]) -> list[dict]:
         """The last window_days again in bronze and silver, and gold in full."""

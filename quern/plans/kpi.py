@@ -9,12 +9,11 @@ from quern.functions.scalars import aging_bucket, mean, round2, safe_pct, total
 from quern.operators.rows import share_of_total
 
 
-
 def revenue_summary(fact: DataFrame) -> DataFrame:
     by = fact.groupBy(F.year("submission_date").alias("year"), F.month("submission_date").alias("month"))
     charge, paid = F.sum("total_charge"), F.sum("total_paid")
     return by.agg(
-        F.count("*").alias("claim_count"), total(F.col("total_charge")).alias("total_charge"), total(F.col("total_allowed")).alias("total_allowed"), total(F.col("total_paid")).alias("total_paid"),
+        F.count("*").alias("claim_count"), total(F.col("total_charge")).alias("total_charge"), total(F.col("total_allowed")).alias("total_allowed"), total(F.col("total_paid")).alias("total_paid"), total(F.col("total_patient_resp")).alias("total_patient_resp"),
         round2(F.avg("days_to_adjudication")).alias("avg_days"), safe_pct(paid, charge).alias("collection_pct"), F.count_if("is_denied").alias("denied"), safe_pct(F.count_if("is_denied"), F.count("*")).alias("denial_pct"),
     )
 
@@ -22,28 +21,30 @@ def revenue_summary(fact: DataFrame) -> DataFrame:
 def denial_analysis(denials: DataFrame, claims: DataFrame, overturned: tuple[str, ...] = ("APPROVED",), no_appeal: tuple[str, ...] = ()) -> DataFrame:
     """overturned and no_appeal: statuses of a won appeal and of none; by default every status counts as an appeal."""
     rows = denials.join(claims.select("claim_id", "total_charge"), "claim_id", "left")
-    appeal = F.col("appeal_status").isNotNull() & ~F.col("appeal_status").isin(*no_appeal)
-    won = F.count_if(F.col("appeal_status").isin(*overturned))
+    appeal = F.col("appeal_status").isNotNull() & ~F.upper("appeal_status").isin(*no_appeal)
+    won = F.count_if(F.upper("appeal_status").isin(*overturned))
     by = rows.groupBy(F.upper("denial_code").alias("denial_code"), "denial_category", "denial_reason")
     return by.agg(F.count("*").alias("denial_count"), total(F.col("total_charge")).alias("denied_amount"), F.count_if(appeal).alias("appeal_count"), safe_pct(won, F.count_if(appeal)).alias("overturn_pct"))
 
 
-def ar_aging(fact: DataFrame, as_of: str, closed: tuple[str, ...] = ("PAID", "DENIED")) -> DataFrame:
+def ar_aging(fact: DataFrame, as_of: str, closed: tuple[str, ...] = ("PAID", "VOID", "ADJUSTED")) -> DataFrame:
+    """What is open by age and payer; a denied claim is open until it is adjusted."""
     rows = fact.where(~F.upper("claim_status").isin(*closed)).withColumn("days", F.datediff(F.lit(as_of).cast("date"), "submission_date"))
     return rows.groupBy(aging_bucket(F.col("days")).alias("aging_bucket"), "payer_id").agg(F.count("*").alias("claim_count"), total(F.col("total_charge")).alias("outstanding"), round2(F.avg("days")).alias("avg_days"), F.max("days").alias("max_days"))
 
 
 def provider_scorecard(fact: DataFrame, providers: DataFrame) -> DataFrame:
-    rows = fact.join(F.broadcast(providers.select("provider_id", "provider_name")), "provider_id", "left")
-    return rows.groupBy("provider_id", "provider_name").agg(
+    names = ("provider_name", "specialty", "credential")
+    rows = fact.join(providers.select("provider_id", *names), "provider_id", "left")
+    return rows.groupBy("provider_id", *names).agg(
         F.count("*").alias("claim_count"), total(F.col("total_paid")).alias("revenue"), round2(mean(F.col("total_charge"))).alias("avg_charge"), round2(mean(F.col("total_paid"))).alias("avg_paid"),
         safe_pct(F.count_if("is_denied"), F.count("*")).alias("denial_pct"), round2(F.avg("days_to_adjudication")).alias("avg_days"), F.count_if("is_paid").alias("paid_count"), safe_pct(F.count_if("is_paid"), F.count("*")).alias("paid_pct"),
     )
 
 
 def payer_mix(fact: DataFrame, payers: DataFrame) -> DataFrame:
-    rows = fact.join(F.broadcast(payers), "payer_id", "left")
-    out = rows.groupBy("payer_id", "payer_name").agg(
+    rows = fact.join(payers.select("payer_id", "payer_name", "payer_type"), "payer_id", "left")
+    out = rows.groupBy("payer_id", "payer_name", "payer_type").agg(
         F.count("*").alias("claim_count"), total(F.col("total_charge")).alias("billed"), total(F.col("total_paid")).alias("paid"), safe_pct(mean(F.col("total_allowed")), mean(F.col("total_charge"))).alias("avg_allowed_pct"),
         round2(F.avg("days_to_adjudication")).alias("avg_days"), F.count_if("is_denied").alias("denials"), safe_pct(F.count_if("is_denied"), F.count("*")).alias("denial_pct"),
     )
@@ -57,11 +58,11 @@ def procedure_revenue(lines: DataFrame, procedures: DataFrame) -> DataFrame:
 
 def diagnosis_burden(diagnoses: DataFrame) -> DataFrame:
     people = F.count_distinct("patient_id")
-    return diagnoses.groupBy("icd10_code", "diagnosis_description", "chronic_flag").agg(people.alias("patients"), F.count_distinct("encounter_id").alias("encounters"), F.count_if(F.col("diagnosis_type") == "PRIMARY").alias("primary_count"), round2(F.try_divide(F.count_distinct("encounter_id").cast("double"), people.cast("double"))).alias("encounters_per_patient"))
+    return diagnoses.groupBy("icd10_code", "diagnosis_description", "chronic_flag").agg(people.alias("patients"), F.count("*").alias("encounters"), F.count_if(F.upper("diagnosis_type") == "PRIMARY").alias("primary_count"), round2(F.try_divide(F.count("*").cast("double"), people.cast("double"))).alias("encounters_per_patient"))
 
 
 def appointment_ops(appointments: DataFrame) -> DataFrame:
-    status = lambda s: F.count_if(F.col("appointment_status") == s)
+    status = lambda s: F.count_if(F.upper("appointment_status") == s)
     return appointments.groupBy(F.year("appointment_date").alias("year"), F.month("appointment_date").alias("month"), "appointment_type").agg(
         F.count("*").alias("scheduled"), status("COMPLETED").alias("completed"), status("CANCELLED").alias("cancelled"), status("NO SHOW").alias("no_show"),
         safe_pct(status("COMPLETED"), F.count("*")).alias("completion_pct"), safe_pct(status("NO SHOW"), F.count("*")).alias("no_show_pct"), round2(F.avg("duration_minutes")).alias("avg_duration"),
@@ -70,16 +71,17 @@ def appointment_ops(appointments: DataFrame) -> DataFrame:
 
 def patient_risk(patients: DataFrame, diagnoses: DataFrame, count_rows: bool = True) -> DataFrame:
     """count_rows: total_diagnoses counts joined rows, so it is 1 for a patient with none; else diagnosis codes."""
-    rows = patients.select("patient_id").join(diagnoses, "patient_id", "left")
+    own = ["patient_id", *(c for c in ("name", "first_name", "last_name", "age", "gender", "bmi_category", "smoking_status") if c in patients.columns)]
+    rows = patients.select(*own).join(diagnoses.select("patient_id", "icd10_code", "chronic_flag"), "patient_id", "left")
     many = F.count("*") if count_rows else F.count("icd10_code")
-    out = rows.groupBy("patient_id").agg(F.count_if("chronic_flag").alias("chronic_count"), many.alias("total_diagnoses"), F.count_distinct("icd10_code").alias("distinct_codes"))
+    out = rows.groupBy(*own).agg(F.count_if("chronic_flag").alias("chronic_count"), many.alias("total_diagnoses"), F.count_distinct("icd10_code").alias("distinct_codes"))
     score = F.least(F.col("chronic_count") * 2 + F.col("total_diagnoses"), F.lit(100))
     return out.withColumn("risk_score", score).withColumn("risk_tier", F.when(F.col("risk_score") >= 20, "High").when(F.col("risk_score") >= 10, "Medium").otherwise("Low"))
 
 
 def lab_abnormals(labs: DataFrame) -> DataFrame:
     """share_of_abnormal: of the test's abnormal results; abnormal_rate: of all its results."""
-    by_test = labs.groupBy("test_name").agg(F.count("*").alias("all_tests"), F.count_if(F.col("abnormal_flag") != "Normal").alias("all_abnormal"))
+    by_test = labs.groupBy("test_name").agg(F.count("*").alias("all_tests"), F.count_if(F.upper("abnormal_flag") != "NORMAL").alias("all_abnormal"))
     rows = labs.where(F.col("abnormal_flag").isNotNull() & (F.upper("abnormal_flag") != "NORMAL"))
     out = rows.groupBy("test_name", "loinc_code", "abnormal_flag").agg(F.count("*").alias("abnormal_count"), round2(mean(F.col("result_value"))).alias("avg_value"), F.min("result_value").cast("double").alias("min_value"), F.max("result_value").cast("double").alias("max_value"))
     return out.join(by_test, "test_name").withColumns({"share_of_abnormal": safe_pct(F.col("abnormal_count"), F.col("all_abnormal")), "abnormal_rate": safe_pct(F.col("abnormal_count"), F.col("all_tests"))}).drop("all_abnormal")

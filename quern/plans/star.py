@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.scalars import round2
 from quern.operators.rows import drop_meta, latest
 
 
@@ -26,27 +27,33 @@ def dim_plain(df: DataFrame, key: str) -> DataFrame:
     return latest(drop_meta(df), [key], [F.col(c) for c in drop_meta(df).columns if c != key])
 
 
+LINES = {"billed_amount": "total_billed", "allowed_amount": "total_allowed", "paid_amount": "total_paid", "patient_responsibility": "total_patient_resp"}
+VISIT = {"encounter_date": "date", "place_of_service_code": "string", "encounter_type": "string"}
+
+
 def fact_claims(claims: DataFrame, lines: DataFrame | None = None, payments: DataFrame | None = None, encounters: DataFrame | None = None) -> DataFrame:
     """One row for each claim. Lines and payments are summed before the join, so no claim row is multiplied.
 
-    A missing input leaves typed nulls. collection_rate is null unless the charge is above 0.
+    total_paid is what the lines say, payment_received what came in. A missing input leaves typed nulls. collection_rate,
+    in percent, is null without a payment and unless the charge is above 0.
     """
     out = drop_meta(claims)
     if lines is not None:
-        sums = lines.groupBy("claim_id").agg(F.sum("billed_amount").alias("total_billed"), F.sum("allowed_amount").alias("total_allowed"), F.sum("paid_amount").alias("line_paid"), F.sum("adjustment_amount").alias("total_adjustment"), F.count("*").alias("line_count"))
-        out = out.join(sums, "claim_id", "left")
+        out = out.join(lines.groupBy("claim_id").agg(*(F.sum(c).alias(name) for c, name in LINES.items()), F.count("*").alias("line_count")), "claim_id", "left")
     else:
-        out = out.withColumns({c: F.lit(None).cast("decimal(38,6)") for c in ("total_billed", "total_allowed", "line_paid", "total_adjustment")} | {"line_count": F.lit(None).cast("long")})
+        out = out.withColumns({name: F.lit(None).cast("decimal(38,6)") for name in LINES.values()} | {"line_count": F.lit(None).cast("long")})
     if encounters is not None:
-        out = out.join(encounters, "encounter_id", "left")
+        out = out.join(encounters.select("encounter_id", *VISIT), "encounter_id", "left")
+    else:
+        out = out.withColumns({name: F.lit(None).cast(kind) for name, kind in VISIT.items()})
     if payments is not None:
-        out = out.join(payments.groupBy("claim_id").agg(F.sum("paid_amount").alias("total_paid"), F.max("payment_date").alias("last_payment_date")), "claim_id", "left")
+        out = out.join(payments.groupBy("claim_id").agg(F.sum("paid_amount").alias("payment_received"), F.max("payment_date").alias("last_payment_date")), "claim_id", "left")
     else:
-        out = out.withColumns({"total_paid": F.lit(None).cast("decimal(38,6)"), "last_payment_date": F.lit(None).cast("date")})
-    charge, paid = F.col("total_charge").cast("double"), F.coalesce(F.col("total_paid"), F.lit(0)).cast("double")
+        out = out.withColumns({"payment_received": F.lit(None).cast("decimal(38,6)"), "last_payment_date": F.lit(None).cast("date")})
+    charge, received = F.col("total_charge").cast("double"), F.col("payment_received").cast("double")
     return out.withColumns({
         "days_to_adjudication": F.datediff("adjudication_date", "submission_date"),
         "is_paid": F.upper("claim_status") == "PAID",
         "is_denied": F.upper("claim_status") == "DENIED",
-        "collection_rate": F.when(charge > 0, paid / charge),
+        "collection_rate": F.when(charge > 0, round2(received / charge * 100)),
     })

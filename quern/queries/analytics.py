@@ -29,7 +29,10 @@ def agg_count_distinct(lake: Lake) -> DataFrame:
     return lake.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("agg_safe_pct", f"select o_orderpriority, {pct('count(case when o_orderstatus = ' + chr(39) + 'F' + chr(39) + ' then 1 end)', 'count(*)')} as filled_pct, {pct('count(*)', '0')} as of_nothing from orders group by 1")
+FILLED = "count(case when o_orderstatus = 'F' then 1 end)"
+
+
+@query("agg_safe_pct", f"select o_orderpriority, {pct(FILLED, 'count(*)')} as filled_pct, {pct('count(*)', '0')} as of_nothing from orders group by 1")
 def agg_safe_pct(lake: Lake) -> DataFrame:
     return lake.orders.groupBy("o_orderpriority").agg(safe_pct(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("filled_pct"), safe_pct(F.count("*"), F.lit(0)).alias("of_nothing"))
 
@@ -117,7 +120,7 @@ def win_share_of_total(lake: Lake) -> DataFrame:
 @query("win_partition_count", "select lab_id, count(*) over (partition by test_name) as in_test from labs where abnormal_flag <> 'Normal'")
 def win_partition_count(lake: Lake) -> DataFrame:
     rows_ = lake.labs.where("abnormal_flag <> 'Normal'").select("lab_id", "test_name")
-    return rows_.join(F.broadcast(rows_.groupBy("test_name").agg(F.count("*").alias("in_test"))), "test_name").select("lab_id", "in_test")
+    return rows_.join(rows_.groupBy("test_name").agg(F.count("*").alias("in_test")), "test_name").select("lab_id", "in_test")
 
 
 @query("win_share_in_group", f"with r as (select o_orderstatus, o_orderpriority, count(*) as n from orders group by 1, 2) select *, {pct('n', 'sum(n) over (partition by o_orderstatus)')} as share_pct from r")

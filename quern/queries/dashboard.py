@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.adapters import Lake
@@ -93,13 +93,16 @@ def revenue_best_month(lake: Lake) -> DataFrame:
     return by.agg(F.max_by("period", F.struct("paid", "period")).alias("best_month"), F.max("paid").alias("best_paid"), round2(F.avg("paid")).alias("mean_paid"))
 
 
-STATUS = "case when contains(lower(claim_status), 'paid') then 'Paid' when contains(lower(claim_status), 'den') then 'Rejected' else 'Open' end"
+# The classes of a status; of several that a status names, the first here decides.
+STATUSES = ("Paid", "Denied", "Pending", "Rejected", "Appealed", "Void", "Adjusted")
+TRIMMED = "lower(trim(claim_status))"
+STATUS = "case " + " ".join(f"when regexp_matches({TRIMMED}, '(^|[^a-z]){s.lower()}') then '{s}'" for s in STATUSES) + f" else upper({TRIMMED}[1]) || {TRIMMED}[2:] end"
 
 
 def normal_status(c: Column) -> Column:
-    """The last keyword that a status has decides."""
+    """The class whose name a word of the status begins with; a status that names none stays, in title case."""
     t = F.lower(F.trim(c))
-    return by_rules([(t.contains("den"), "Rejected"), (t.contains("paid"), "Paid")], F.lit("Open"))
+    return F.coalesce(*(F.when(t.rlike(f"(^|[^a-z]){s.lower()}"), s) for s in STATUSES), F.initcap(t))
 
 
 @query("status_normalise", f"select claim_id, {STATUS} as status from claims")
@@ -120,7 +123,7 @@ def demo_age_groups(lake: Lake) -> DataFrame:
     return lake.patients.groupBy(bins(F.col("age"), AGES, AGE_LABELS).alias("age_group")).agg(F.count("*").alias("n"))
 
 
-@query("demo_shares", f"select {pct(when_n('age >= 65'), 'count(*)')} as over_64, {pct(when_n(chr(103) + 'ender = ' + chr(39) + 'F' + chr(39)), 'count(*)')} as female from patients")
+@query("demo_shares", f"select {pct(when_n('age >= 65'), 'count(*)')} as over_64, {pct(when_n("gender = 'F'"), 'count(*)')} as female from patients")
 def demo_shares(lake: Lake) -> DataFrame:
     return lake.patients.agg(safe_pct(F.count_if(F.col("age") >= 65), F.count("*")).alias("over_64"), safe_pct(F.count_if(F.col("gender") == "F"), F.count("*")).alias("female"))
 
@@ -267,11 +270,11 @@ def auth_by_payer(lake: Lake) -> DataFrame:
   select *, payer_id = (select arg_max(payer_id, (approval_pct, -payer_id)) from r) as best, payer_id = (select arg_min(payer_id, (approval_pct, payer_id)) from r) as worst from r""")
 def payer_performance(lake: Lake) -> DataFrame:
     r = lake.authorizations.groupBy("payer_id").agg(F.count("*").alias("n"), safe_pct(approved(), F.count("*")).alias("approval_pct"), safe_pct(F.count_if(F.col("status") == "DENIED"), F.count("*")).alias("denial_pct"), round2(F.avg(F.datediff("decision_date", "request_date"))).alias("mean_days")).where("n >= 200")
-    ends = r.agg(F.max_by("payer_id", F.struct("approval_pct", -F.col("payer_id"))).alias("b"), F.min_by("payer_id", F.struct("approval_pct", "payer_id")).alias("w")).withColumn("one", F.lit(1))
-    return r.withColumn("one", F.lit(1)).join(F.broadcast(ends), "one").withColumns({"best": F.col("payer_id") == F.col("b"), "worst": F.col("payer_id") == F.col("w")}).drop("one", "b", "w")
+    first = lambda *order: F.row_number().over(Window.orderBy(*order)) == 1
+    return r.withColumns({"best": first(F.desc("approval_pct"), "payer_id"), "worst": first("approval_pct", "payer_id")})  # a row for each payer
 
 
-@query("facility_summary", f"select count(*) as facilities, {pct(when_n('network_status = ' + chr(39) + 'in' + chr(39)), 'count(*)')} as in_network_pct, count(distinct payer_id) as regions, {r2('avg(bed_count)')} as avg_beds from clinics")
+@query("facility_summary", f"select count(*) as facilities, {pct(when_n("network_status = 'in'"), 'count(*)')} as in_network_pct, count(distinct payer_id) as regions, {r2('avg(bed_count)')} as avg_beds from clinics")
 def facility_summary(lake: Lake) -> DataFrame:
     return lake.clinics.agg(F.count("*").alias("facilities"), safe_pct(F.count_if(F.col("network_status") == "in"), F.count("*")).alias("in_network_pct"), F.count_distinct("payer_id").alias("regions"), round2(F.avg("bed_count")).alias("avg_beds"))
 
@@ -321,12 +324,12 @@ def ar_monthly(lake: Lake) -> DataFrame:
     return by.orderBy(F.desc("period")).limit(24).orderBy("period")
 
 
-@query("denial_headline", f"select count(*) as denials, {dsum('total_charge')} as amount, {pct(when_n(chr(97) + 'ppeal_status <> ' + chr(39) + 'NOT APPEALED' + chr(39)), 'count(*)')} as appeal_pct from denials d join claims c on c.claim_id = d.claim_id")
+@query("denial_headline", f"select count(*) as denials, {dsum('total_charge')} as amount, {pct(when_n("appeal_status <> 'NOT APPEALED'"), 'count(*)')} as appeal_pct from denials d join claims c on c.claim_id = d.claim_id")
 def denial_headline(lake: Lake) -> DataFrame:
     return lake.denials.join(lake.claims, "claim_id").agg(F.count("*").alias("denials"), total(F.col("total_charge")).alias("amount"), safe_pct(F.count_if(F.col("appeal_status") != "NOT APPEALED"), F.count("*")).alias("appeal_pct"))
 
 
-@query("denial_by_code", f"select cpt_code, {when_n(chr(114) + 'emark = ' + chr(39) + 'R' + chr(39))} as denied, {pct(when_n(chr(114) + 'emark = ' + chr(39) + 'R' + chr(39)), 'count(*)')} as denial_pct from claim_lines group by 1 order by denied desc, cpt_code limit 15")
+@query("denial_by_code", f"select cpt_code, {when_n("remark = 'R'")} as denied, {pct(when_n("remark = 'R'"), 'count(*)')} as denial_pct from claim_lines group by 1 order by denied desc, cpt_code limit 15")
 def denial_by_code(lake: Lake) -> DataFrame:
     denied = F.count_if(F.col("remark") == "R")
     return rows.top_k(lake.claim_lines.groupBy("cpt_code").agg(denied.alias("denied"), safe_pct(denied, F.count("*")).alias("denial_pct")), "denied", 15, "cpt_code")
@@ -342,7 +345,7 @@ def denial_reasons(lake: Lake) -> DataFrame:
     return rows.share_of_total(lake.denials.groupBy("denial_reason").agg(F.count("*").alias("n")), "n", "share_pct")
 
 
-@query("denial_by_urgency", f"select urgency, count(*) as n, {pct(when_n(chr(115) + 'tatus = ' + chr(39) + 'DENIED' + chr(39)), 'count(*)')} as denial_pct from authorizations group by 1 having count(*) >= 100")
+@query("denial_by_urgency", f"select urgency, count(*) as n, {pct(when_n("status = 'DENIED'"), 'count(*)')} as denial_pct from authorizations group by 1 having count(*) >= 100")
 def denial_by_urgency(lake: Lake) -> DataFrame:
     return lake.authorizations.groupBy("urgency").agg(F.count("*").alias("n"), safe_pct(F.count_if(F.col("status") == "DENIED"), F.count("*")).alias("denial_pct")).where("n >= 100")
 
@@ -374,10 +377,16 @@ def remark_codes(lake: Lake) -> DataFrame:
     return rows.top_k(by.select("remark", F.coalesce("meaning", F.lit("Unknown code")).alias("meaning"), "n"), "n", 10, "remark")
 
 
-@query("opportunity_estimates", f"with {FACT} select {r2(dsum('case when is_denied then total_charge end') + ' * 0.35::double')} as recoverable_denied, {dsum(f'case when claim_status = {chr(39)}PENDING{chr(39)} and date {chr(39)}{AS_OF}{chr(39)} - submission_date > 90 then total_charge end')} as ar_over_90, {dsum(f'case when claim_status <> {chr(39)}PAID{chr(39)} then total_allowed - line_paid end')} as patient_balance from fact")
+RECOVERABLE = "case when is_denied then total_charge end"
+OVER_90 = f"case when upper(claim_status) not in ('PAID', 'VOID', 'ADJUSTED') and date '{AS_OF}' - submission_date > 90 then total_charge end"
+BALANCE = "case when upper(claim_status) in ('PENDING', 'REJECTED') then total_patient_resp end"
+
+
+@query("opportunity_estimates", f"with {FACT} select {r2(dsum(RECOVERABLE) + ' * 0.35::double')} as recoverable_denied, {dsum(OVER_90)} as ar_over_90, {dsum(BALANCE)} as patient_balance from fact")
 def opportunity_estimates(lake: Lake) -> DataFrame:
-    late = (F.col("claim_status") == "PENDING") & (F.datediff(F.lit(AS_OF).cast("date"), "submission_date") > 90)
-    return fact(lake).agg(round2(total(F.when(F.col("is_denied"), F.col("total_charge"))) * 0.35).alias("recoverable_denied"), total(F.when(late, F.col("total_charge"))).alias("ar_over_90"), total(F.when(F.col("claim_status") != "PAID", F.col("total_allowed") - F.col("line_paid"))).alias("patient_balance"))
+    status = F.upper("claim_status")
+    late = ~status.isin("PAID", "VOID", "ADJUSTED") & (F.datediff(F.lit(AS_OF).cast("date"), "submission_date") > 90)
+    return fact(lake).agg(round2(total(F.when(F.col("is_denied"), F.col("total_charge"))) * 0.35).alias("recoverable_denied"), total(F.when(late, F.col("total_charge"))).alias("ar_over_90"), total(F.when(status.isin("PENDING", "REJECTED"), F.col("total_patient_resp"))).alias("patient_balance"))
 
 
 # Metric, whether above or below is bad, limit.

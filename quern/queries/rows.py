@@ -110,7 +110,7 @@ def filter_not_null_ne(lake: Lake) -> DataFrame:
 
 @query("filter_year_range", "select o_orderkey from orders where year(o_orderdate) between 1996 and 1998")
 def filter_year_range(lake: Lake) -> DataFrame:
-    return lake.orders.where(F.col("o_orderdate").between("1996-01-01", "1998-12-31")).select("o_orderkey")
+    return lake.orders.where((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1999-01-01")).select("o_orderkey")
 
 
 @query("dedup_by_pk", """select l_orderkey, l_linenumber, l_partkey, l_shipdate from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey, l_suppkey, l_extendedprice) as n from lineitem) where n = 1""")
@@ -174,7 +174,7 @@ def join_fact_provider(lake: Lake) -> DataFrame:
 
 @query("join_fact_payer", "select claim_id, payer_name from claims c left join payers p on p.payer_id = c.payer_id")
 def join_fact_payer(lake: Lake) -> DataFrame:
-    return lake.claims.join(F.broadcast(lake.payers), "payer_id", "left").select("claim_id", "payer_name")
+    return lake.claims.join(lake.payers, "payer_id", "left").select("claim_id", "payer_name")
 
 
 @query("join_line_procedure", "select l.claim_id, l.line_number, l.cpt_code, description from claim_lines l left join procedures p on p.cpt_code = l.cpt_code")
@@ -223,7 +223,10 @@ def join_agg_agg(lake: Lake) -> DataFrame:
     return lake.authorizations.groupBy("service_type").agg(F.count("*").alias("n"), F.sum(days).alias("days"))
 
 
-@query("join_ratio_lookup", f"select l_partkey, {pct('sum(case when l_returnflag = ' + chr(39) + 'R' + chr(39) + ' then 1 else 0 end)', 'count(*)')} as returned_pct from lineitem group by 1")
+RETURNED = "sum(case when l_returnflag = 'R' then 1 else 0 end)"
+
+
+@query("join_ratio_lookup", f"select l_partkey, {pct(RETURNED, 'count(*)')} as returned_pct from lineitem group by 1")
 def join_ratio_lookup(lake: Lake) -> DataFrame:
     from quern.functions.scalars import safe_pct
 
