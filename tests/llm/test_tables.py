@@ -427,6 +427,56 @@ def test_pipeline_stages(spark):
     assert QUERIES["op9_packing"](spark, SMALL).count() > 0
 
 
+def test_pipeline_stages_on_empty_tables_and_odd_rows(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), SMALL).count() == 0
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (9, text), (3, text + " more"), (3, "quite another text of one id"), (None, "alone without an id here"), (None, None), (None, ""), (4, None), (4, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], d.schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, odd, SMALL).collect()]
+    want = [(3, text + " more"), (3, "quite another text of one id"), (None, "alone without an id here"), (None, None), (None, ""), (4, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["op2_token_counts", "op3_quality", "op4_collision_counting", "op8_toxicity", "op9_packing"])
+def test_registered_queries_without_sql(spark, name):
+    """Whole tables, against the library, brute force or the labels."""
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    found = QUERIES[name](spark, SMALL)
+    rows = found.collect()
+    if name == "op2_token_counts":
+        assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == sorted((r.doc_id, len((r.text or "").encode()), (n := len(library_ids(r.text))), n > 2048) for r in d)
+    elif name == "op9_packing":
+        want, by = {r.doc_id: [*library_ids(r.text), 2] for r in d}, {}
+        for r in rows:
+            by.setdefault(r.doc_id, []).append(r)
+        assert by.keys() == want.keys()
+        for k, own in by.items():
+            at = 0
+            for r in sorted(own, key=lambda r: r.start):
+                assert r.start == at and r.doc_tokens == len(want[k]) and r.ids_crc32 == zlib.crc32(np.array(want[k][at : at + r.length], "<u4").tobytes())
+                at += r.length
+            assert at == len(want[k])
+    elif name == "op4_collision_counting":
+        e = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding is not None and None not in r.embedding]
+        e = [(i, v) for i, v in e if np.isfinite(v).all() and v.any()]
+        hit = n = 0
+        for q, v in e:
+            if q % 20 == 0:
+                best = sorted((-float(w @ v), i) for i, w in e if i != q)[:20]
+                own = [r for r in rows if r.query_id == q]
+                assert sorted(r.rank for r in own) == [*range(1, len(best) + 1)]
+                hit, n = hit + len({r.vec_id for r in own} & {i for _, i in best}), n + len(best)
+        assert n and hit / n >= 0.9
+    else:
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in d)
+        label, at = ("quality", 0.3) if name == "op3_quality" else ("toxic", 0.5)
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= at) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+        marks = {r.doc_id: r[label] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+        assert np.mean([r.predicted == marks[r.doc_id] for r in rows if marks.get(r.doc_id) is not None]) > 0.85
+
+
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= {*out.columns}
