@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.fitting import batches, evidence, sigmoid
+from quern.llm.fitting import Batch, batches, evidence, sigmoid
 from quern.llm.labelled import sample, scored
 from quern.llm.spans import LOWER, SPACE, blocks, hash_runs, lean, mix, portions, text_bytes, words_of
 
@@ -106,7 +106,7 @@ class Ranking:
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: columns, values (shares) and len + 1 offsets into them. Rare runs are left to fit(), which knows the sample."""
+    """Of all texts: columns, values (shares) and len + 1 offsets into them. RARE is in each text, for fit() to fill in."""
     n = len(offs) - 1
     words, runs, counts, pairs, keys = np.zeros(n), np.zeros(n), np.zeros((n, len(SHAPES) - 1)), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for text, bins, run_text, run_bins, flags, both in read(data, offs):
@@ -121,51 +121,53 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     value = times / np.where(column < 1 << BITS, words[text], runs[text])
     shape = shapes(words, counts, np.concatenate(pairs))
     own, k = np.nonzero(shape)
-    text, column, value = np.append(text, own), np.append(column, RARE + 1 + k), np.append(value, shape[own, k])
+    text, column, value = np.concatenate([text, np.arange(n), own]), np.concatenate([column, np.full(n, RARE), RARE + 1 + k]), np.concatenate([value, np.zeros(n), shape[own, k]])
     order = np.argsort(text, kind="stable")
-    return column[order].astype(np.int32), value[order], np.append(0, np.cumsum(np.bincount(text, minlength=n)))
+    return column[order].astype(np.int32), value[order].astype(np.float32), np.append(0, np.cumsum(np.bincount(text, minlength=n)))
 
 
-def fit(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: np.ndarray, *, at: float, seed: int = 0) -> Ranking:
+def fit(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None, *, at: float, seed: int = 0) -> Ranking:
     """Bradley-Terry weights of the sample, and the cut: the quantile of its scores at the share of label 0.
 
-    So as many texts of the sample are cut as are marked.
+    So as many texts of the sample are cut as are marked. rows: all texts, in a fixed order.
     """
     n, bad = len(labels), int((labels == 0).sum())
-    texts = np.repeat(np.arange(n), np.diff(ends))
     run = (columns >= 1 << BITS) & (columns < RARE)
     known = np.bincount(columns[run] - (1 << BITS), minlength=1 << BITS) > FEW
     if bad in (0, n):
         share = np.clip((n - bad) / (n + 1), 1e-6, 1 - 1e-6)
         return Ranking(np.zeros(COLUMNS), known, 0.0, 1.0, float(share))
-    rare = np.bincount(texts[run], np.where(known[columns[run] - (1 << BITS)], 0.0, values[run]), n)
-    order = np.argsort(np.append(texts, np.arange(n)), kind="stable")
-    columns, values, ends = np.append(columns, np.full(n, RARE, np.int32))[order], np.append(values, rare)[order], ends + np.arange(n + 1)
+    share = np.where(run, values, 0)
+    share[run] *= ~known[columns[run] - (1 << BITS)]
+    sums = np.append(0.0, np.cumsum(share, dtype=float))
+    values[columns == RARE] = sums[ends[1:]] - sums[ends[:-1]]
+    del share, sums, run
     rng = np.random.default_rng(seed)
-    w, scores = weights(columns, values, ends, labels, rng.permutation(n), rng), np.zeros(n)
-    for b in batches(columns, ends, np.arange(n), 512, values):
+    parts = batches(columns, ends, (np.arange(n) if rows is None else rows)[rng.permutation(n)], 512, values)
+    w, scores = weights(parts, labels, rng), np.zeros(n)
+    for b in parts:
         scores[b.rows] = b.by_row(w[b.columns])
     return Ranking(w, known, float(np.quantile(scores, bad / n)), float(4 / (scores.std() + 1e-6)), at)
 
 
-def weights(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray, rng: np.random.Generator, *, epochs: int = 15, pairs: int = 8, size: int = 512, rate: float = 2.0) -> np.ndarray:
-    """From batches of rows, in each of which drawn pairs of a text of either label, `pairs` for each text, are compared.
+def weights(parts: list[Batch], labels: np.ndarray, rng: np.random.Generator, *, epochs: int = 15, pairs: int = 8, rate: float = 2.0) -> np.ndarray:
+    """From batches of texts, in each of which drawn pairs of a text of either label, `pairs` for each text, are compared.
 
     A pair's loss is -log sigmoid(weights . (features of the better - features of the worse)). A column moves at the
     square of the speed of its evidence, so few columns do much, and the others what these leave. The evidence of hashed
     columns, and that of the others, is measured by what the best of as many would reach by chance.
     """
-    parts, w = batches(columns, ends, rows, size, values), np.zeros(COLUMNS)
+    w, n = np.zeros(COLUMNS), len(labels)
     moments = np.zeros((2, 2, COLUMNS))  # sums of values and of their squares, by label
     for b in parts:
         for label in (0, 1):
             own = (labels[b.rows] == label)[b.at] * b.values
             moments[label, 0, b.columns] += np.bincount(b.of, own, len(b.columns))
             moments[label, 1, b.columns] += np.bincount(b.of, own * b.values, len(b.columns))
-    counts = np.array([np.sum(labels[rows] == 0), np.sum(labels[rows] == 1)])[:, None]
+    counts = np.array([np.sum(labels == 0), np.sum(labels == 1)])[:, None]
     means = moments[:, 0] / np.maximum(counts, 1)
     spread = np.maximum(moments[:, 1] / np.maximum(counts, 1) - means**2, 0)
-    width = np.maximum(moments[:, 1].sum(0) / len(rows) - (moments[:, 0].sum(0) / len(rows)) ** 2, 1e-12)
+    width = np.maximum(moments[:, 1].sum(0) / n - (moments[:, 0].sum(0) / n) ** 2, 1e-12)
     z = np.abs(means[1] - means[0]) / np.sqrt(np.maximum((spread / np.maximum(counts, 1)).sum(0), 1e-12))
     few = np.arange(COLUMNS) >= RARE
     for group in (few, ~few):  # what the best of so many columns is expected to reach by chance
@@ -197,13 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: i
 
     chosen = sample(docs, labels, label, rows, key, text)
     used = chosen.mapInArrow(run, f"key {chosen.schema['key'].dataType.simpleString()}, label int, columns array<int>, values array<float>")
-    found = used.groupBy("key").agg(F.max("label").alias("label"), F.min(F.struct("columns", "values")).alias("x")).select(F.xxhash64("key").alias("k"), "label", "x.columns", "x.values").toArrow().combine_chunks()
-    found = found.take(pa.array(np.lexsort((found.column("label").to_numpy(), found.column("k").to_numpy()))))
+    found = used.groupBy("key").agg(F.max("label").alias("label"), F.min(F.struct("columns", "values")).alias("x")).select(F.xxhash64("key").alias("k"), "label", "x.columns", "x.values").toArrow()
     if not len(found):
         return fit(np.zeros(0, np.int32), np.zeros(0), np.zeros(1, np.int64), np.zeros(0), at=at)
     columns, values = (found.column(c).combine_chunks() for c in ("columns", "values"))
     ends = columns.offsets.to_numpy().astype(np.int64)
-    return fit(columns.flatten().to_numpy(), values.flatten().to_numpy().astype(float), ends - ends[0], found.column("label").to_numpy(), at=at)
+    k, own = found.column("k").to_numpy(), found.column("label").to_numpy()
+    return fit(columns.flatten().to_numpy(), values.flatten().to_numpy().copy(), ends - ends[0], own, np.lexsort((own, k)), at=at)
 
 
 def score(docs: DataFrame, ranking: Ranking, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:

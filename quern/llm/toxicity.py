@@ -84,11 +84,11 @@ def directions(parts: list[Batch], residual: np.ndarray, width: int, k: int, rng
                 out[p.columns, f] += p.by_column(g * p.by_row(own[:, f])) - diagonal * own[:, f]
         return out
 
-    u, shift = np.linalg.qr(rng.normal(size=(width, k)))[0], 0.0
+    u, shift = np.linalg.qr(rng.normal(size=(width, k)).astype(np.float32))[0], np.float32(0)
     for step in range(steps):
         y = times(u)
         if step == 2:
-            shift = max(0.0, -float(np.linalg.eigvalsh(u.T @ y + y.T @ u).min() / 2))
+            shift = np.float32(max(0.0, -float(np.linalg.eigvalsh(u.T @ y + y.T @ u).min() / 2)))
         u = np.linalg.qr(y + shift * u)[0]
     y = times(u)
     values, turn = np.linalg.eigh((u.T @ y + y.T @ u) / 2)
@@ -96,25 +96,33 @@ def directions(parts: list[Batch], residual: np.ndarray, width: int, k: int, rng
 
 
 def fit(
-    bins: np.ndarray, columns: np.ndarray, ends: np.ndarray, labels: np.ndarray, *, factors: int = 4, alone: int = 20, joint: int = 20, rate: float = 4.0, pair_rate: float = 1.0, size: int = 256, pair_rows: int = 4096, seed: int = 0
+    bins: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None, *, factors: int = 4, alone: int = 20, joint: int = 20, rate: float = 4.0, pair_rate: float = 1.0, size: int = 256, pair_rows: int = 4096, seed: int = 0
 ) -> Machine:
     """Logistic loss, both labels of equal weight, by gradient steps over batches of texts; each step moves only the columns of its batch.
 
-    Text i has the distinct columns [ends[i], ends[i + 1]), places in bins. All columns are trained. First the weights
+    Text i has the distinct bins [ends[i], ends[i + 1]); rows: all texts, in a fixed order. All bins are trained. First the weights
     alone, each at the speed of its evidence. Then factors start in the directions in which what is left over goes with
     pairs of columns (directions(), of up to pair_rows texts), as far as these are stronger than where the residuals are
     dealt to the texts at random, and weights and factors are trained together. A column with less than a fiftieth of the
     largest part in every direction keeps factors of 0.
     """
-    rng, n, positives, width = np.random.default_rng(seed), len(labels), int(labels.sum()), len(bins)
+    rng, n, positives = np.random.default_rng(seed), len(labels), int(labels.sum())
     prior = np.clip(positives / (n + 1), 1e-6, 1 - 1e-6)
-    if not width or positives in (0, n):
-        return Machine(bins[:0], float(np.log(prior / (1 - prior))), np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
-    order, factors = rng.permutation(n), min(factors, width)
-    parts = batches(columns, ends, order, size)
+    if not len(bins) or positives in (0, n):
+        return Machine(np.zeros(0, np.int32), float(np.log(prior / (1 - prior))), np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
+    order = (np.arange(n) if rows is None else rows)[rng.permutation(n)]
+    parts = batches(bins, ends, order, size)
+    bins = np.unique(np.concatenate([p.columns for p in parts]))
+    for p in parts:
+        p.columns = np.searchsorted(bins, p.columns).astype(np.int32)
+    width = len(bins)
+    factors = min(factors, width)
     weight = np.where(labels == 1, 0.5 / positives, 0.5 / (n - positives)) * n
-    one = labels[np.repeat(np.arange(n), np.diff(ends))] == 1
-    p, q = ((np.bincount(columns[side], minlength=width) + 0.5) / (m + 1) for side, m in ((one, positives), (~one, n - positives)))
+    counts = np.zeros((2, width))
+    for p in parts:
+        for label in (0, 1):
+            counts[label, p.columns] += p.by_column((labels[p.rows] == label).astype(float))
+    p, q = ((counts[label] + 0.5) / (m + 1) for label, m in ((1, positives), (0, n - positives)))
     speed = evidence(np.abs(p - q) / np.sqrt(p * (1 - p) / positives + q * (1 - q) / (n - positives)))
     bias, w, v, pair_speed = -1.0, np.zeros(width), np.zeros((width, factors)), np.zeros(width)
     pairs: list[Batch] = []  # like parts, of the columns that have factors
@@ -143,12 +151,13 @@ def fit(
 
     for t in range(alone):
         epoch(rate / (1 + t / 5), 0.0)
-    some = batches(columns, ends, order[:pair_rows], size)
+    some = parts[: max(pair_rows // size, 1)]
     residual = np.zeros(n)
     for b in some:
         residual[b.rows] = weight[b.rows] * (labels[b.rows] - sigmoid(raw(b, None)[0]))
     dealt = residual.copy()
-    dealt[order[:pair_rows]] = rng.permutation(residual[order[:pair_rows]])
+    of_some = np.concatenate([b.rows for b in some])
+    dealt[of_some] = rng.permutation(residual[of_some])
     values, u = directions(some, residual, width, factors, rng)
     u = u * (values > max(directions(some, dealt, width, factors, rng)[0].max(), 0))
     u = np.where(np.abs(u) < np.abs(u).max(0) / 50, 0.0, u)
@@ -180,12 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
 
     chosen = sample(docs, labels, label, rows, key, text)
     used = chosen.mapInArrow(spread, f"key {chosen.schema['key'].dataType.simpleString()}, label int, bins array<int>")
-    found = used.groupBy("key").agg(F.max("label").alias("label"), F.min("bins").alias("bins")).select(F.xxhash64("key").alias("k"), "label", "bins").toArrow().combine_chunks()
-    found = found.take(pa.array(np.lexsort((found.column("label").to_numpy(), found.column("k").to_numpy()))))
+    found = used.groupBy("key").agg(F.max("label").alias("label"), F.min("bins").alias("bins")).select(F.xxhash64("key").alias("k"), "label", "bins").toArrow()
+    k, own = found.column("k").to_numpy(), found.column("label").to_numpy().astype(float)
     lists = found.column("bins").combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
-    bins, columns = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    return fit(bins, columns, ends - ends[0] if len(ends) else np.zeros(1, np.int64), found.column("label").to_numpy().astype(float))
+    ends = lists.offsets.to_numpy().astype(np.int64) if len(found) else np.zeros(1, np.int64)
+    return fit(lists.flatten().to_numpy(), ends - ends[0], own, np.lexsort((own, k)))
 
 
 def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
