@@ -172,11 +172,12 @@ def fit(
     return Machine(bins, float(bias), w.astype(np.float32), v.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 20_000, key: str = "doc_id", text: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 8_000, key: str = "doc_id", text: str = "text") -> Machine:
     """A machine from at most `rows` labelled rows outside the held-out fold.
 
     All bins that these texts have are trained, none is chosen beforehand. What comes to the driver is the sample's
-    labels and distinct bins (4 bytes for each distinct term of a text), sorted, so that reruns agree.
+    labels and distinct bins (4 bytes for each distinct term of a text), sorted, so that reruns agree. The fit takes about
+    12 bytes for each of these, and 100 for each bin; rows bounds that.
     """
 
     @lean
@@ -193,7 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     k, own = found.column("k").to_numpy(), found.column("label").to_numpy().astype(float)
     lists = found.column("bins").combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
     ends = lists.offsets.to_numpy().astype(np.int64) if len(found) else np.zeros(1, np.int64)
-    return fit(lists.flatten().to_numpy(), ends - ends[0], own, np.lexsort((own, k)))
+    machine = fit(lists.flatten().to_numpy(), ends - ends[0], own, np.lexsort((own, k)))
+    del found, lists
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
