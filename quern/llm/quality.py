@@ -205,7 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: i
     columns, values = (found.column(c).combine_chunks() for c in ("columns", "values"))
     ends = columns.offsets.to_numpy().astype(np.int64)
     k, own = found.column("k").to_numpy(), found.column("label").to_numpy()
-    return fit(columns.flatten().to_numpy(), values.flatten().to_numpy().copy(), ends - ends[0], own, np.lexsort((own, k)), at=at)
+    ranking = fit(columns.flatten().to_numpy(), values.flatten().to_numpy().copy(), ends - ends[0], own, np.lexsort((own, k)), at=at)
+    del found, columns, values
+    pa.default_memory_pool().release_unused()
+    return ranking
 
 
 def score(docs: DataFrame, ranking: Ranking, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
