@@ -68,20 +68,24 @@ def scd2_expired(target: DataFrame, batch: DataFrame, key: list[str], tracked: l
 
 
 def fdc_classes(target: DataFrame, batch: DataFrame, key: list[str], hash_column: str = "_row_hash") -> DataFrame:
-    """Key and class: I new, U changed, D gone, N the same; one full outer join on key and hash."""
-    t = target.select(*key, F.col(hash_column).alias("_old"))
-    b = batch.select(*key, F.col(hash_column).alias("_new"))
-    kind = F.when(F.col("_old").isNull(), "I").when(F.col("_new").isNull(), "D").when(F.col("_old") != F.col("_new"), "U").otherwise("N")
+    """Key and class: I new, U changed, D gone, N the same; one full outer join on the key. A null hash is a value of its own."""
+    t = target.select(*key, F.col(hash_column).alias("_old"), F.lit(True).alias("_in_target"))
+    b = batch.select(*key, F.col(hash_column).alias("_new"), F.lit(True).alias("_in_batch"))
+    kind = F.when(F.col("_in_target").isNull(), "I").when(F.col("_in_batch").isNull(), "D").when(~F.col("_old").eqNullSafe(F.col("_new")), "U").otherwise("N")
     return t.join(b, key, "full_outer").select(*key, kind.alias("change"))
 
 
 def fdc_merge(target: DataFrame, batch: DataFrame, key: list[str], hash_column: str = "_row_hash") -> DataFrame:
-    """All classes applied: new and changed rows from the batch, gone keys kept with _is_deleted, the rest as it was."""
+    """All classes applied: new and changed rows from the batch, gone keys kept with _is_deleted, the rest as it was.
+
+    A column that the batch lacks keeps its values and is null in new rows; one that the target lacks is added, null in
+    rows that the batch does not change. A null hash is a value of its own.
+    """
     old = target if "_is_deleted" in target.columns else target.withColumn("_is_deleted", F.lit(False))
-    columns = [c for c in old.columns if c not in key]
     b = batch.withColumn("_is_deleted", F.lit(False)) if "_is_deleted" not in batch.columns else batch
-    new = b.select(*key, *(F.col(c).alias(f"_new_{c}") for c in columns if c in b.columns), F.lit(True).alias("_in_batch"))
+    new = b.select(*key, *(F.col(c).alias(f"_new_{c}") for c in b.columns if c not in key), F.lit(True).alias("_in_batch"))
     both = old.withColumn("_in_target", F.lit(True)).join(new, key, "full_outer")
-    take = F.col("_in_batch").isNotNull() & (F.col("_in_target").isNull() | (F.col(hash_column) != F.col(f"_new_{hash_column}")) | F.col("_is_deleted"))
-    value = lambda c: F.when(take, F.col(f"_new_{c}")).otherwise(F.col("_in_batch").isNull() if c == "_is_deleted" else F.col(c))
-    return both.select(*key, *(value(c).alias(c) for c in columns if c in b.columns))
+    take = F.col("_in_batch").isNotNull() & (F.col("_in_target").isNull() | ~F.col(hash_column).eqNullSafe(F.col(f"_new_{hash_column}")) | F.col("_is_deleted"))
+    kept = lambda c: F.col("_in_batch").isNull() if c == "_is_deleted" else F.col(c) if c in old.columns else F.lit(None)
+    value = lambda c: F.when(take, F.col(f"_new_{c}")).otherwise(kept(c)) if c in b.columns else F.col(c)
+    return both.select(*key, *(value(c).alias(c) for c in dict.fromkeys([*old.columns, *b.columns]) if c not in key))

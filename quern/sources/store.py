@@ -1,4 +1,4 @@
-"""Snapshot tables on plain Parquet: <root>/<table>/v=<n>/ and a pointer written last. For one writer at a time."""
+"""Snapshot tables on plain Parquet: <root>/<table>/_v=<n>/ and a pointer written last. For one writer at a time."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from quern.schema import TableSpec
 
 
 class SnapshotStore:
-    """A table's current version is what its pointer names; a version that is read is never overwritten."""
+    """A table is the folders that its pointer names; a folder that is named is never changed, so a reader sees whole batches."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
@@ -20,43 +20,44 @@ class SnapshotStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/CURRENT")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self, table: str) -> int | None:
+    def versions(self, table: str) -> list[int]:
+        """The current snapshot's folders: that of the last write and those of the appends after it."""
         path, fs = self._pointer(table)
-        return int(self.spark.read.text(path.toString()).first()[0]) if fs.exists(path) else None
+        return [*map(int, self.spark.read.text(path.toString()).first()[0].split())] if fs.exists(path) else []
+
+    def version(self, table: str) -> int | None:
+        return max(self.versions(table), default=None)
 
     def path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/v={version}"
+        return f"{self.root}/{table}/_v={version}"
 
     def read(self, table: str, columns: list[str] | None = None) -> DataFrame | None:
         """The current snapshot, or None; columns are pruned in the scan."""
-        version = self.version(table)
-        if version is None:
+        versions = self.versions(table)
+        if not versions:
             return None
-        df = self.spark.read.parquet(self.path(table, version))
+        df = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*(self.path(table, v) for v in versions)).drop("_v")
         return df.select(*columns) if columns else df
 
     def write(self, table: str, df: DataFrame, partitions: tuple[str, ...] = ()) -> int:
         """A new snapshot; its rows are counted while they are written."""
-        version = (self.version(table) or 0) + 1
+        return self._add(table, df, partitions, [])
+
+    def append(self, table: str, df: DataFrame, partitions: tuple[str, ...] = ()) -> int:
+        """A new snapshot that adds one folder to those of the current one."""
+        return self._add(table, df, partitions, self.versions(table))
+
+    def _add(self, table: str, df: DataFrame, partitions: tuple[str, ...], kept: list[int]) -> int:
+        version = (max(kept, default=None) or self.version(table) or 0) + 1
         seen = Observation()
         writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(self.path(table, version))
         path, fs = self._pointer(table)
         out = fs.create(path, True)
-        out.write(bytearray(str(version).encode()))
+        out.write(bytearray(" ".join(map(str, [*kept, version])).encode()))
         out.close()
         return seen.get["rows"]
 
-    def append(self, table: str, df: DataFrame, partitions: tuple[str, ...] = ()) -> int:
-        """Adds files to the current snapshot."""
-        version = self.version(table)
-        if version is None:
-            return self.write(table, df, partitions)
-        seen = Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(self.path(table, version))
-        return seen.get["rows"]
-
 
 def dispatch_write(store: SnapshotStore, spec: TableSpec, df: DataFrame, mode: str, *, as_of: str, gone: DataFrame | None = None) -> int:
     """Writes a batch in one of the six modes, under the specification's key; returns the rows written.

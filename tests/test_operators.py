@@ -186,3 +186,22 @@ def test_near_duplicates_group_without_a_window(spark):
     found = dq.near_duplicates(df, "k", ["v"])
     assert sorted((r.k, r.v, r.original) for r in found.collect()) == [(3, "x", 1), (5, None, 2)]
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_append_leaves_a_snapshot_that_is_read_as_it_was(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    store.append("t", spark.createDataFrame([(1, "a")], "k int, p string"), ("p",))
+    before = store.read("t")
+    assert store.append("t", spark.createDataFrame([(2, "b"), (3, "b")], "k int, p string"), ("p",)) == 2
+    assert [*before.columns] == ["k", "p"] and before.count() == 1
+    assert sorted(map(tuple, store.read("t").collect())) == [(1, "a"), (2, "b"), (3, "b")]
+    store.write("t", spark.createDataFrame([(4, "c")], "k int, p string"), ("p",))
+    assert [tuple(r) for r in store.read("t").collect()] == [(4, "c")] and store.versions("t") == [3]
+
+
+def test_fdc_keeps_columns_of_either_side_and_null_hashes(spark):
+    old = spark.createDataFrame([(1, "a", None, 5), (2, "b", "y", 6), (3, "c", "z", 7)], "k int, v string, _row_hash string, only_old int")
+    new = spark.createDataFrame([(1, "A", "x", 1.5), (2, "B", "y", 2.5), (4, "D", None, 4.5)], "k int, v string, _row_hash string, only_new double")
+    found = {r.k: (r.v, r.only_old, r.only_new, r._is_deleted) for r in merge.fdc_merge(old, new, ["k"]).collect()}
+    assert found == {1: ("A", 5, 1.5, False), 2: ("b", 6, None, False), 3: ("c", 7, None, True), 4: ("D", None, 4.5, False)}
+    assert {tuple(r) for r in merge.fdc_classes(old, new, ["k"]).collect()} == {(1, "U"), (2, "N"), (3, "D"), (4, "I")}
