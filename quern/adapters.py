@@ -108,15 +108,16 @@ def providers(lake: Lake) -> DataFrame:
     return lake.supplier.select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("provider_name"), F.col("s_nationkey").alias("clinic_id"), F.col("s_acctbal").alias("balance"), F.concat(F.lit("specialty "), (F.col("s_nationkey") % 7).cast("string")).alias("specialty"), F.when(F.col("s_suppkey") % 2 == 0, "MD").otherwise("NP").alias("credential"))
 
 
-@view("clinics", "select n_nationkey as clinic_id, n_name as clinic_name, n_regionkey as payer_id, case when n_nationkey % 3 = 0 then 'hospital' else 'office' end as clinic_type, case when n_nationkey % 4 = 0 then 'out' else 'in' end as network_status, n_nationkey * 10 as bed_count from nation")
+@view("clinics", "select s_suppkey as clinic_id, s_name as clinic_name, s_nationkey % 5 as payer_id, case when s_suppkey % 3 = 0 then 'hospital' else 'office' end as clinic_type, case when s_suppkey % 4 = 0 then 'out' else 'in' end as network_status, s_suppkey % 90 * 10 as bed_count from supplier")
 def clinics(lake: Lake) -> DataFrame:
-    k = F.col("n_nationkey")
-    return lake.nation.select(k.alias("clinic_id"), F.col("n_name").alias("clinic_name"), F.col("n_regionkey").alias("payer_id"), F.when(k % 3 == 0, "hospital").otherwise("office").alias("clinic_type"), F.when(k % 4 == 0, "out").otherwise("in").alias("network_status"), (k * 10).alias("bed_count"))
+    k = F.col("s_suppkey")
+    return lake.supplier.select(k.alias("clinic_id"), F.col("s_name").alias("clinic_name"), (F.col("s_nationkey") % 5).alias("payer_id"), F.when(k % 3 == 0, "hospital").otherwise("office").alias("clinic_type"), F.when(k % 4 == 0, "out").otherwise("in").alias("network_status"), (k % 90 * 10).alias("bed_count"))
 
 
-@view("payers", "select r_regionkey as payer_id, r_name as payer_name, case when r_regionkey % 2 = 0 then 'commercial' else 'public' end as payer_type from region")
+@view("payers", "select distinct c_nationkey as payer_id, 'payer ' || cast(c_nationkey as varchar) as payer_name, case when c_nationkey % 2 = 0 then 'commercial' else 'public' end as payer_type from customer")
 def payers(lake: Lake) -> DataFrame:
-    return lake.region.select(F.col("r_regionkey").alias("payer_id"), F.col("r_name").alias("payer_name"), F.when(F.col("r_regionkey") % 2 == 0, "commercial").otherwise("public").alias("payer_type"))
+    k = F.col("payer_id")
+    return lake.customer.select(F.col("c_nationkey").alias("payer_id")).distinct().select(k, F.concat(F.lit("payer "), k.cast("string")).alias("payer_name"), F.when(k % 2 == 0, "commercial").otherwise("public").alias("payer_type"))
 
 
 @view("procedures", "select p_partkey as cpt_code, p_name as description, p_type as category, cast(p_retailprice as decimal(12,2)) as charge from part")

@@ -128,9 +128,9 @@ def win_share_in_group(lake: Lake) -> DataFrame:
     return rows.share_of_total(lake.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")), "n", "share_pct", ["o_orderstatus"])
 
 
-@query("sort_asc", "select n_name, n_nationkey from nation order by n_name")
+@query("sort_asc", "select c_name, c_custkey from customer order by c_name, c_custkey")
 def sort_asc(lake: Lake) -> DataFrame:
-    return lake.nation.select("n_name", "n_nationkey").orderBy("n_name")
+    return lake.customer.select("c_name", "c_custkey").orderBy("c_name", "c_custkey")
 
 
 @query("sort_desc", "select s_suppkey, s_acctbal from supplier order by s_acctbal desc, s_suppkey")

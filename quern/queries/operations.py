@@ -85,9 +85,11 @@ def check_zero_rows(lake: Lake) -> DataFrame:
     return monitor.check_zero_rows(lake.audit)
 
 
-@query("check_null_pk", "select 'silver' as layer, 'claims' as table_name, 'null_keys' as check_name, cast(count(*) as double) as value from claims where adjudication_date is null having count(*) > 0")
+@query("check_null_pk", "with k as (select case when adjudication_date is not null then claim_id end as claim_id from claims) select 'silver' as layer, 'claims' as table_name, 'null_keys' as check_name, cast(count(*) as double) as value from k where claim_id is null having count(*) > 0")
 def check_null_pk(lake: Lake) -> DataFrame:
-    return monitor.check_null_keys(lake.claims, "adjudication_date", "silver", "claims")
+    """The key of claims that are not decided yet is missing."""
+    keys = lake.claims.select(F.when(F.col("adjudication_date").isNotNull(), F.col("claim_id")).alias("claim_id"))
+    return monitor.check_null_keys(keys, "claim_id", "silver", "claims")
 
 
 @query("dq_report", f"with {LATEST} {' union all '.join(ALERTS.values())}")
@@ -153,22 +155,22 @@ def dispatch(lake: Lake) -> DataFrame:
     return store.read("customer")
 
 
-@query("scan_csv_all_string", "select cast(n_nationkey as varchar) as n_nationkey, n_name || chr(10) || '\"x\"' as n_name from nation")
+@query("scan_csv_all_string", "select cast(c_custkey as varchar) as c_custkey, c_name || chr(10) || '\"x\"' as c_name from customer")
 def scan_csv_all_string(lake: Lake) -> DataFrame:
     from quern.sources.files import scan_csv_all_string as scan
 
     path = new_folder(lake.spark, "csv")
-    lake.nation.select("n_nationkey", F.concat("n_name", F.lit('\n"x"')).alias("n_name")).write.options(header=True, escape='"').csv(path)
+    lake.customer.select("c_custkey", F.concat("c_name", F.lit('\n"x"')).alias("c_name")).write.options(header=True, escape='"').csv(path)
     return scan(lake.spark, path)
 
 
-@query("scan_mixed_folder", "select cast(r_regionkey as varchar) as r_regionkey, r_name, 'raw' as _source from region union all select cast(r_regionkey as varchar), r_name, 'raw' from region")
+@query("scan_mixed_folder", "select cast(c_custkey as varchar) as key, c_name as name, 'raw' as _source from customer union all select cast(s_suppkey as varchar), s_name, 'raw' from supplier")
 def scan_mixed_folder(lake: Lake) -> DataFrame:
     from quern.sources.files import scan_mixed_folder as scan
 
     path = new_folder(lake.spark, "mixed")
-    lake.region.write.parquet(path)
-    lake.region.write.mode("append").option("header", True).csv(path)
+    lake.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).write.parquet(path)
+    lake.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")).write.mode("append").option("header", True).csv(path)
     return scan(lake.spark, path, "raw")
 
 

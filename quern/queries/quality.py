@@ -20,19 +20,23 @@ def trim_strings(lake: Lake) -> DataFrame:
     return clean.trim_strings(dirty_customers(lake))
 
 
-@query("case_upper", "select distinct upper(event_type) as event_type from events")
+def cased(lake: Lake, **case: tuple[str, ...]) -> DataFrame:
+    return clean.clean_table(dirty_customers(lake), TableSpec("customers", "customer_id", **case)).select("customer_id", "segment")
+
+
+@query("case_upper", f"with d as ({DIRTY}) select customer_id, case when lower(segment) <> 'none' then upper(trim(segment)) end as segment from d")
 def case_upper(lake: Lake) -> DataFrame:
-    return lake.events.select(F.upper("event_type").alias("event_type")).distinct()
+    return cased(lake, upper=("segment",))
 
 
-@query("case_lower", "select distinct lower(c_mktsegment) as segment from customer")
+@query("case_lower", f"with d as ({DIRTY}) select customer_id, case when lower(segment) <> 'none' then lower(trim(segment)) end as segment from d")
 def case_lower(lake: Lake) -> DataFrame:
-    return lake.customer.select(F.lower("c_mktsegment").alias("segment")).distinct()
+    return cased(lake, lower=("segment",))
 
 
-@query("case_initcap", "select distinct upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) as segment from customer")
+@query("case_initcap", f"with d as ({DIRTY}) select customer_id, case when lower(segment) <> 'none' then upper(substr(trim(segment), 1, 1)) || lower(substr(trim(segment), 2)) end as segment from d")
 def case_initcap(lake: Lake) -> DataFrame:
-    return lake.customer.select(F.initcap("c_mktsegment").alias("segment")).distinct()
+    return cased(lake, initcap=("segment",))
 
 
 @query("cast_int", f"with d as ({DIRTY}) select customer_id, cast(trunc(try_cast(nation as double)) as int) as nation from d")

@@ -27,9 +27,9 @@ def scan_parquet_as_string(lake: Lake) -> DataFrame:
     return files.scan_parquet_as_string(lake.spark, f"{lake.folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("scan_projected", "select n_nationkey, n_name from nation")
+@query("scan_projected", "select o_orderkey, o_orderstatus from orders")
 def scan_projected(lake: Lake) -> DataFrame:
-    return lake.nation.select("n_nationkey", "n_name")
+    return lake.orders.select("o_orderkey", "o_orderstatus")
 
 
 @query("safe_union", "select c_custkey as id, c_name as name, cast(null as varchar) as size from customer union all select p_partkey, p_name, cast(p_size as varchar) from part")
@@ -37,7 +37,7 @@ def safe_union(lake: Lake) -> DataFrame:
     return rows.safe_union([lake.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), lake.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("size"))])
 
 
-@query("scan_multi_source", "select s_suppkey as key, s_name as name, 'clean' as _source from supplier union all select c_custkey, c_name, 'dirty' from customer where c_custkey % 10 = 0")
+@query("scan_multi_source", "select s_suppkey as key, s_name as name, 'clean' as _source from supplier union all select c_custkey, c_name, 'dirty' from customer")
 def scan_multi_source(lake: Lake) -> DataFrame:
     """The whole of both tables from folders of CSV and of Parquet; a third folder is missing."""
     folder = new_folder(lake.spark, "multi")
@@ -53,14 +53,14 @@ def row_hash(lake: Lake) -> DataFrame:
     return lake.customer.select("c_custkey", rows.row_hash(lake.customer, columns, "compat").alias("compat"), rows.row_hash(lake.customer, columns).alias("safe"))
 
 
-@query("stamp_bronze", "select r_regionkey, r_name, 'region' as _bronze_table, date '2024-01-31' as _ingestion_date, md5(cast(r_regionkey as varchar) || '|' || r_name) as _row_hash from region")
+@query("stamp_bronze", "select c_custkey, c_name, 'customer' as _bronze_table, date '2024-01-31' as _ingestion_date, md5(cast(c_custkey as varchar) || '|' || c_name) as _row_hash from customer")
 def stamp_bronze(lake: Lake) -> DataFrame:
-    return rows.stamp(lake.region, "bronze", "region", F.lit("2024-01-31 08:00:00").cast("timestamp_ntz")).drop("_ingested_at")
+    return rows.stamp(lake.customer.select("c_custkey", "c_name"), "bronze", "customer", F.lit("2024-01-31 08:00:00").cast("timestamp_ntz")).drop("_ingested_at")
 
 
-@query("stamp_silver", "select *, 'nation' as _silver_table, date '2024-01-31' as _silver_date from nation")
+@query("stamp_silver", "select *, 'orders' as _silver_table, date '2024-01-31' as _silver_date from orders")
 def stamp_silver(lake: Lake) -> DataFrame:
-    return rows.stamp(lake.nation, "silver", "nation", F.lit("2024-01-31 08:00:00").cast("timestamp_ntz")).drop("_cleaned_at")
+    return rows.stamp(lake.orders, "silver", "orders", F.lit("2024-01-31 08:00:00").cast("timestamp_ntz")).drop("_cleaned_at")
 
 
 @query("stamp_gold", "select *, 'supplier' as _gold_table, date '2024-01-31' as _gold_date from supplier")
@@ -78,9 +78,9 @@ def project_existing(lake: Lake) -> DataFrame:
     return rows.project_existing(lake.orders, ["o_orderkey", "not_there", "o_totalprice"])
 
 
-@query("typed_null_column", "select r_regionkey, r_name, cast(null as double) as rate, cast(null as date) as since from region")
+@query("typed_null_column", "select c_custkey, c_name, cast(null as double) as rate, cast(null as date) as since from customer")
 def typed_null_column(lake: Lake) -> DataFrame:
-    return rows.with_typed_nulls(lake.region, {"rate": "double", "since": "date", "r_name": "string"})
+    return rows.with_typed_nulls(lake.customer.select("c_custkey", "c_name"), {"rate": "double", "since": "date", "c_name": "string"})
 
 
 @query("filter_pk_not_null", f"with d as ({DIRTY}) select try_cast(segment as varchar) as segment, count(*) as n from d where nullif(segment, 'None') is not null group by 1")
@@ -118,9 +118,9 @@ def dedup_by_pk(lake: Lake) -> DataFrame:
     return rows.latest(lake.lineitem, ["l_orderkey", "l_linenumber"], [F.desc("l_shipdate"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_extendedprice")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
-@query("sample_seeded", "select c_custkey, c_name from customer order by md5(cast(c_custkey as varchar) || ':42'), c_custkey limit 100")
+@query("sample_seeded", "select c_custkey, c_name from customer order by md5(cast(c_custkey as varchar) || ':42'), c_custkey limit 5000")
 def sample_seeded(lake: Lake) -> DataFrame:
-    return rows.sample_seeded(lake.customer.select("c_custkey", "c_name"), "c_custkey", 100)
+    return rows.sample_seeded(lake.customer.select("c_custkey", "c_name"), "c_custkey", 5000)
 
 
 @query("union_allow_missing", "select o_orderkey as k, o_orderstatus as s, null::double as v from orders where o_orderstatus = 'P' union all select l_orderkey, l_linestatus, l_quantity from lineitem where l_quantity > 45")

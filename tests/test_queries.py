@@ -23,12 +23,6 @@ def test_query(spark, con, name):
     assert_same(QUERIES[name](spark, SMALL), con, SQL[name])
 
 
-def test_multi_source_reads_both_tables_whole(spark, con):
-    """Its registered SQL still takes a tenth of customer, so the whole is written out here."""
-    whole = "select s_suppkey as key, s_name as name, 'clean' as _source from supplier union all select c_custkey, c_name, 'dirty' from customer"
-    assert_same(QUERIES["scan_multi_source"](spark, SMALL), con, whole)
-
-
 def test_entry_point_needs_no_session():
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, timeout=120)
 
