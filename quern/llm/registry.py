@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, topk, toxicity, vectors
+from quern.llm import ann, chat, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, topk, toxicity, vectors, warc
+from quern.llm.shared import kept
+from quern.sources.scratch import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,6 +70,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return warc.pages_of(warc.captures(kept(warc.read(spark, path, payload=False))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_warc": op11_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": sql.OP6,
     "op7_ngram_jaccard": sql.OP7,
     "op10_license_scan": sql.OP10,
+    "op11_warc": sql.OP11,
 }

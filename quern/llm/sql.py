@@ -93,3 +93,15 @@ select doc_id, len(w)::bigint as n_words, len(places)::bigint as n_base, list_mi
   case when len(whole) > 0 then 1.0::double when len(noted) > 0 then 0.75::double when len(places) > 0 then 0.5::double else 0.0::double end as score
 from l
 """
+
+OP11 = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as body from pages
+), d as (
+  select *, octet_length(body)::bigint as payload_bytes, sha1(body) as hex, min(page_id) over (partition by body) as first from p
+)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from d
+"""
