@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, topk, toxicity, vectors, warc
+from quern.llm import ann, chat, collocations, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, topk, toxicity, vectors, warc
 from quern.llm.shared import kept
 from quern.sources.scratch import new_folder
 
@@ -75,6 +75,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_of(warc.captures(kept(warc.read(spark, path, payload=False))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, percent=80, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
     "op11_warc": op11_warc,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard": sql.OP7,
     "op10_license_scan": sql.OP10,
     "op11_warc": sql.OP11,
+    "op12_collocations": sql.OP12,
 }

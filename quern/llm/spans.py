@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -102,36 +103,44 @@ def _cut(data: np.ndarray, gap: np.ndarray, lo: int, hi: int, stop: int) -> int:
     return stop
 
 
-def digest(run: np.ndarray) -> int:
+def fresh_seeds() -> np.ndarray:
+    """Seeds that nobody knows before a job, for all its tasks: texts can't be written so that their hashes meet."""
+    return np.random.default_rng(secrets.randbits(128)).integers(0, 2**64, LONG + 1, dtype=np.uint64)
+
+
+def digest(run: np.ndarray, seeds: np.ndarray | None = None) -> int:
     """64 bits of BLAKE2 of a run, with A-Z as a-z."""
-    state = hashlib.blake2b(digest_size=8)
+    state = hashlib.blake2b(digest_size=8, key=b"" if seeds is None else seeds.tobytes()[:64])
     for at in range(0, len(run), BLOCK):
         state.update(LOWER[run[at : at + BLOCK]])
     return int.from_bytes(state.digest(), "little")
 
 
-def chain(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def chain(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray | None = None) -> np.ndarray:
     """A hash for each run of up to LONG bytes; words: parts() of the block."""
-    hashes = _SEEDS[sizes]
+    hashes = (_SEEDS if seeds is None else seeds)[sizes]
     rows = np.arange(len(starts))
     for k in range(0, LONG, 8):
         rows = rows[sizes[rows] > k]
         if not len(rows):
             break
-        hashes[rows] = mix(hashes[rows] ^ (words[starts[rows] + k] & _MASKS[np.minimum(sizes[rows] - k, 8)]))
+        part = hashes[rows] ^ (words[starts[rows] + k] & _MASKS[np.minimum(sizes[rows] - k, 8)])
+        if seeds is not None:  # each step has a factor of its own, so no difference of parts has a known effect
+            part = (part ^ (part >> np.uint64(32))) * (seeds[k // 8] | np.uint64(1))
+        hashes[rows] = mix(part)
     return hashes
 
 
-def hash_runs(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_runs(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash for each run [start, end) of a block, with A-Z as a-z."""
     sizes = ends - starts
     long = np.flatnonzero(sizes > LONG)
     if len(long) < len(sizes):
-        hashes = chain(parts(lowered(block)), starts, np.where(sizes > LONG, 0, sizes))
+        hashes = chain(parts(lowered(block)), starts, np.where(sizes > LONG, 0, sizes), seeds)
     else:
         hashes = np.zeros(len(sizes), np.uint64)
     for k in long.tolist():
-        hashes[k] = digest(block[starts[k] : ends[k]])
+        hashes[k] = digest(block[starts[k] : ends[k]], seeds)
     return hashes
 
 
@@ -155,10 +164,11 @@ def runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, np.flatnonzero(stop) + 1
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None, seeds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts, in order: word hashes with A-Z as a-z, the text each word is in, and where it starts.
 
-    inside[b] says which byte values belong to words; by default all but ASCII white space.
+    inside[b] says which byte values belong to words; by default all but ASCII white space. seeds: of fresh_seeds(), else
+    the hashes are the same in every job.
     """
     inside = ~SPACE if inside is None else inside
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -166,7 +176,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None =
         block = data[lo:hi]
         first = offs[np.searchsorted(offs, lo, "left") : np.searchsorted(offs, hi, "left")] - lo
         starts, ends = words_of(block, first, inside)
-        found.append((hash_runs(block, starts, ends), np.searchsorted(offs, starts + lo, "right") - 1, starts + lo))
+        found.append((hash_runs(block, starts, ends, seeds), np.searchsorted(offs, starts + lo, "right") - 1, starts + lo))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 

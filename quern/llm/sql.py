@@ -105,3 +105,31 @@ select page_id, payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
 from d
 """
+
+_GRAMS = " union all ".join(f"select lang, [{', '.join(f'w[i + {j}]' for j in range(k))}] as p from places where i + {k - 1} <= len(w)" for k in range(1, 5))
+OP12 = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), places as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from words
+), totals as (
+  select lang, count(*)::bigint as n from places group by lang
+), f as (
+  select lang, p, count(*)::bigint as f from ({_GRAMS}) group by lang, p having count(*) >= 30
+), cuts as (
+  select c.lang, c.p, c.f as a, k, l.f as l, r.f as r, (2000000::hugeint * c.f // (l.f::hugeint + r.f::hugeint))::bigint as score
+  from (select *, unnest(range(1, len(p))) as k from f where len(p) > 1) c
+  join f l on l.lang = c.lang and l.p = c.p[:k] join f r on r.lang = c.lang and r.p = c.p[k + 1:]
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1
+), held as (
+  select lang, p[i:i + s - 1] as p, max(f) as most
+  from (select lang, p, f, s, unnest(range(1, len(p) - s + 2)) as i from (select *, unnest(range(2, len(p))) as s from f where len(p) > 2)) group by all
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank, array_to_string(p, ' ') as phrase, a, l, r, n, score
+from best left join held using (lang, p) join totals using (lang)
+where most is null or 100 * most < 80 * a
+qualify rank <= 2000
+"""
