@@ -132,7 +132,7 @@ def cut(alphabet: np.ndarray, paths: np.ndarray, weights: np.ndarray, cuts: list
 
 
 def shards(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of each shard: bytes, where words start, an alphabet, a path of numbers in it for each word; languages, their hashes."""
+    """Of each shard: bytes, where words start and their texts end, an alphabet, a path of numbers in it for each word; languages, their hashes."""
     for batch in batches:
         names = batch.column(1).dictionary_encode()
         raw, at = text_bytes(names.dictionary)
@@ -153,7 +153,7 @@ def shards(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[tup
                 n = max(len(words) - k + 1, 0)
                 near[:n] = near[:n] & together[k - 2 : k - 2 + n]
                 paths[:n, k] = np.where(near[:n], paths[k - 1 : k - 1 + n, 1], paths[0, k] if len(paths) else 0)
-            yield data, starts, alphabet, paths, names.dictionary, langs
+            yield data, starts, offs[text + 1], alphabet, paths, names.dictionary, langs
 
 
 def _lower(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -172,11 +172,11 @@ def vocabulary(rows: DataFrame, seeds: np.ndarray) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead = STEP // 2
-        for data, starts, alphabet, paths, names, langs in shards(batches, seeds):
+        for data, starts, stops, alphabet, paths, names, langs in shards(batches, seeds):
             known, at = np.unique(paths[:, 1], return_index=True)
             known = alphabet[known]
             gap = np.append(np.flatnonzero(~_INSIDE[data]), len(data))
-            ends = gap[np.searchsorted(gap, starts[at])]
+            ends = np.minimum(gap[np.searchsorted(gap, starts[at])], stops[at])
             own, n = np.unique(paths[:, 0], return_counts=True)
             own = alphabet[own]
             place = {h: k for k, h in enumerate(langs.tolist())}
@@ -214,14 +214,14 @@ def counts(rows: DataFrame, seeds: np.ndarray, cuts: list[tuple[int, ...]], posi
 
     @lean
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (_, _, alphabet, paths, _, _) in enumerate(shards(batches, seeds)):
+        for number, (_, _, _, alphabet, paths, _, _) in enumerate(shards(batches, seeds)):
             paths, weights = ordered(paths, np.ones(len(paths), np.int64), len(alphabet))
             yield cut(alphabet, paths, weights, wide, 0, number % turns)
 
     def cut_again(table: pa.Table) -> pa.Table:
         k = table.column("range")[0].as_py()
-        inner = [c for c in cuts[place[k] : place[k + 1]] if c not in wide[k - 1 : k]]
-        return pa.Table.from_batches([cut(*union(table), inner, place[k], 0)])
+        first = place[k] + (k > 0)
+        return pa.Table.from_batches([cut(*union(table), cuts[first : place[k + 1]], first, 0)])
 
     def summed(table: pa.Table) -> pa.Table:
         k = table.column("range")[0].as_py()
@@ -283,13 +283,15 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     Empty table: no rows. Other columns are not read. Hashes and ranges differ between runs, the result does not.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    while True:
+    for again in range(9):
         seeds = fresh_seeds()
         found = kept(vocabulary(rows, seeds))
         names = kept(found.where("kind < 2").select("kind", "hash", "word").distinct())
         if names.groupBy("kind", "hash").count().where("count > 1").isEmpty():
             break
         discard(found, names)
+        if again == 8:
+            raise ArithmeticError("words with equal hashes under nine draws of seeds")
     langs = kept(found.where("kind = 1").groupBy(F.col("hash").alias("lang"), F.col("word").alias("name")).agg(F.sum("n").alias("n")))
     positions = langs.agg(F.sum("n")).first()[0] or 0
     ranges = -(-positions // IN_RANGE)
