@@ -29,11 +29,11 @@ from quern.llm.spans import fresh_seeds, hash_runs, lean, portions, text_bytes,
 LONGEST = 4
 """Words of a phrase."""
 DEPTH = LONGEST + 1
-SHARD = 8 << 20
+SHARD = 4 << 20
 """Bytes of text in a shard; a longer text is one of its own."""
-IN_RANGE = 1 << 20
+IN_RANGE = 3 << 18
 """Positions in a range, about."""
-STEP = 1 << 14
+STEP = 3 << 12
 """Every so many positions, a path is in the sample."""
 FAN = 256
 """Ranges that a shard is cut into at most."""
