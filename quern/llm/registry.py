@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, collocations, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, topk, toxicity, vectors, warc
+from quern.llm import alignment, ann, chat, collocations, licenses, mixing, mixing_sql, ngram_jaccard, packing, quality, sql, token_counts, topk, toxicity, vectors, warc
 from quern.llm.shared import kept
 from quern.sources.scratch import new_folder
 
@@ -79,6 +79,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=30, percent=80, first=2000)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_token_counts": op2_token_counts,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_warc": op11_warc,
     "op12_collocations": op12_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
