@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.license_templates import NOTICES, PHRASES, TEMPLATES
-from quern.llm.spans import SPACE, hash_runs, lean, portions, text_bytes, word_hashes
+from quern.llm.pieces import alike
+from quern.llm.spans import LONG, SPACE, hash_runs, lean, lowered, portions, text_bytes, word_hashes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _INSIDE = np.zeros(256, bool)
@@ -61,6 +62,8 @@ class Automaton:
         hashes = hash_runs(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends[:-1]), ends)
         order = np.argsort(hashes)
         self.hashes, self.of = hashes[order], self.vocabulary[order]
+        self.sizes = np.array([len(x) for x in raw], np.int64)[order]
+        self.raw, self.raw_at = np.frombuffer(b"".join(raw) + bytes(LONG), np.uint8), (ends[order] - self.sizes)
         self.start = self._closed({0})
         self.moves: dict[tuple[frozenset, int], frozenset] = {}
         classes = np.arange(len(self.classes) + 1)
@@ -159,9 +162,18 @@ class Automaton:
                 state = self.move(state, words[j])
             yield from ((label, i, last) for label, last in sorted(found.items()))
 
-    def classify(self, hashes: np.ndarray) -> np.ndarray:
+    def classify(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Classes of words that start there, in texts that end at stops; a word found by hash is compared byte for byte."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.of[at], OTHER)
+        rows = np.flatnonzero(self.hashes[at] == hashes)
+        at, ends = at[rows], starts[rows] + self.sizes[at[rows]]
+        same = ends <= stops[rows]
+        rows, at, ends = rows[same], at[same], ends[same]
+        same = alike(lowered(data), starts[rows], self.raw, self.raw_at[at], self.sizes[at])
+        same &= (ends == stops[rows]) | ~_INSIDE[data[np.minimum(ends, len(data) - 1)]]
+        classes = np.full(len(hashes), OTHER, self.of.dtype)
+        classes[rows[same]] = self.of[at[same]]
+        return classes
 
 
 def licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, notices: tuple[tuple[str, str], ...] = NOTICES, phrases: dict[str, str] | None = None) -> DataFrame:
@@ -187,8 +199,8 @@ def licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templa
         for batch in batches:
             found: list[list] = []
             for _, _, data, offs in portions(*text_bytes(batch.column(1))):
-                hashes, text_of, _ = word_hashes(data, offs, _INSIDE)
-                words = automaton.classify(hashes)
+                hashes, text_of, starts = word_hashes(data, offs, _INSIDE)
+                words = automaton.classify(hashes, data, starts, offs[text_of + 1])
                 n = np.bincount(text_of, minlength=len(offs) - 1)
                 first = np.cumsum(n) - n
                 base: list[list[tuple[int, str]]] = [[] for _ in n]

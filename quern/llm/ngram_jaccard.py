@@ -1,7 +1,9 @@
 """Operator 7: texts whose word n-gram sets have a Jaccard similarity of at least a threshold, and their components.
 
-1. Every text becomes its set of n-gram hashes. Texts with the same set are one class, told by two independent 64-bit
-   digests of the set; from here on classes are joined, not texts.
+1. Every text becomes its set of n-gram hashes. Texts with the same set are one class, told by two 64-bit digests of the
+   set that come from two word hashes; their seeds are drawn for the job, so that no text can be written to meet another.
+   From here on classes are joined, not texts. Different sets below a size (of 80 %: four) can't be similar, so classes
+   of few n-grams have no partner; larger ones must share several, each told apart by 48 bits at least.
 2. n-grams are dealt by hash to count, for each, the classes that have it. One that no other class has can't take part
    in an overlap: it only counts as unshared. n-grams with their counts go back to their classes. An n-gram that many
    classes of one load have is combined there: only its number goes to be counted, and its classes wait elsewhere, load
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.shared import discard, kept
-from quern.llm.spans import lean, mix, portions, set_digests, shingles, text_bytes
+from quern.llm.spans import fresh_seeds, lean, mix, portions, set_digests, shingles, text_bytes
 
 FLUSH = 2 << 20
 """n-grams a task gathers before it deals them out, at least; more where there are so many buckets that each gets few."""
@@ -51,8 +53,8 @@ YIELD = 0.05
 """A round of which fewer pairs than this share are links is the last with leaders."""
 
 
-def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, n (size of the set), class and check (digests of the set, null if it is empty) for each row."""
+def sets_of(docs: DataFrame, key: str, text: str, width: int, seeds: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, n (size of the set), class and check (digests of the set by either seeds, null if it is empty) for each row."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +62,9 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             data, offs = text_bytes(batch.column(1))
             n, digests = [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)]
             for _, _, part, starts in portions(data, offs):
-                hashes, ends = shingles(part, starts, width)
-                n.append(np.diff(ends))
-                digests.append(set_digests(hashes, ends))
+                lanes = [shingles(part, starts, width, own) for own in seeds]
+                n.append(np.diff(lanes[0][1]))
+                digests.append(np.stack([set_digests(*lane)[k] for k, lane in enumerate(lanes)]))
             size, lanes = np.concatenate(n), np.concatenate(digests, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *(pa.array(lane, mask=size == 0) for lane in lanes)], ["key", "n", "class", "check"])
 
@@ -70,10 +72,10 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n long, class long, check long")
 
 
-def clashes(members: DataFrame) -> list[int]:
-    """Classes that different sets have: the first digest is the same, the second is not. Next to none, at any size."""
+def clash(members: DataFrame) -> bool:
+    """Whether different sets have one class: the first digest is the same, the second is not."""
     both = members.where("class is not null").groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high"))
-    return sorted(r[0] for r in both.where("low <> high").select("class").collect())
+    return not both.where("low <> high").isEmpty()
 
 
 def _packed(columns: list[list[bytes] | list[int]], names: list[str]) -> pa.RecordBatch:
@@ -90,7 +92,7 @@ def _joined(table: pa.Table, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name)), dtype)
 
 
-def dealt(docs: DataFrame, text: str, width: int, bits: int, apart: list[int]) -> DataFrame:
+def dealt(docs: DataFrame, text: str, width: int, bits: int, seeds: np.ndarray) -> DataFrame:
     """n-grams (48 bits of their hash) by bucket, packed: low and high part, and the classes they are of.
 
     Rows with a gram: one that OFTEN classes of a load have. Its own bucket gets how many (often); the classes are in a
@@ -131,9 +133,8 @@ def dealt(docs: DataFrame, text: str, width: int, bits: int, apart: list[int]) -
 
         for batch in batches:
             for _, _, part, starts in portions(*text_bytes(batch.column(0))):
-                hashes, ends = shingles(part, starts, width)
-                digests, checks = set_digests(hashes, ends)
-                digests = np.where(np.isin(digests, apart), digests ^ checks, digests)
+                hashes, ends = shingles(part, starts, width, seeds)
+                digests = set_digests(hashes, ends)[0]
                 for digest, lo, hi in zip(digests.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if hi > lo and digest not in waiting:
                         # a text's own n-grams are told apart by 64 bits; two of them may have the same 48
@@ -240,7 +241,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
         gram, owner, size = gram[order].view(np.int64), owner[order], size[order].astype(np.int64)
         classes, first, counts = np.unique(owner, return_index=True, return_counts=True)
         n = size[first]
-        keep = np.flatnonzero(n - counts < n - -(-percent * n // 100) + 1)
+        keep = np.flatnonzero((n - counts < n - -(-percent * n // 100) + 1) & (n >= least_size(percent)))
         out = [gram[first[k] : first[k] + counts[k]] for k in keep]
         ranges = [np.bincount(x // ((1 << 48) // RANGES), minlength=RANGES).astype(np.int32) for x in out]
         lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)))
@@ -249,6 +250,11 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "class long, n long, unshared long, grams array<long>, ranges array<int>")
 
 
+def least_size(percent: int) -> float:
+    """The size from which on a set can be similar to another: one n-gram more or less must leave the threshold."""
+    return percent / (100 - percent) if percent < 100 else float("inf")
+
+
 def least_overlap(n: Column, m: Column, percent: int) -> Column:
     """The smallest overlap of sets of n and m that makes their similarity reach the threshold."""
     return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent))
@@ -261,6 +267,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     near = near.where(most >= least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
     both = near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
+    # of different sets of one size, at least one n-gram is not shared, whatever its 48 bits say
+    both = both.withColumn("common", F.least("common", F.when(F.col("n_a") == F.col("n_b"), F.col("n_a") - 1).otherwise(F.least("n_a", "n_b"))))
     return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
 
@@ -339,19 +347,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Words are runs of bytes other than ASCII white space, with A-Z as a-z; a set has the distinct runs of width words
     (with fewer words, all as one). Rows link where 100 |x & y| >= percent |x | y|; component_id is the smallest key
-    that links reach. n-grams are told apart by 64 bits of a hash, across sets by 48 of them.
+    that links reach. Sets are told apart by 128 bits of keyed hashes, n-grams within a text by 64, across sets by 48.
 
     Null or empty text, or only white space: n_shingles 0, linked with nothing, component_id its own key. Null keys take
     part, but are no component's smallest. Repeated rows: one component. Very long texts are read whole, and a word of
     any length is one word; a text's own n-grams are in one task. Empty table: no rows. Other columns are not read.
     How many buckets there are, and how many rounds with leaders, depends on the data; the result does not.
     """
-    members = kept(sets_of(docs, key, text, width))
-    if apart := clashes(members):
-        members = members.withColumn("class", F.when(F.col("class").isin(apart), F.col("class").bitwiseXOR("check")).otherwise(F.col("class")))
+    for again in range(9):
+        seeds = fresh_seeds(), fresh_seeds()
+        members = kept(sets_of(docs, key, text, width, seeds))
+        if not clash(members):
+            break
+        discard(members)
+        if again == 8:
+            raise ArithmeticError("sets with equal digests under nine draws of seeds")
     total = members.agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(total // IN_BUCKET).bit_length())
-    answers = kept(shared(dealt(docs, text, width, bits, apart), bits))
+    answers = kept(shared(dealt(docs, text, width, bits, seeds[0]), bits))
     sets = kept(candidates(rejoined(answers, bits), percent))
     discard(answers)
     labels = similar(sets, percent)

@@ -189,9 +189,9 @@ def portions(data: np.ndarray, offs: np.ndarray, limit: int = 2 * BLOCK) -> Iter
         lo = hi
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, width: int, seeds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted hashes of each text's runs of width words, and len + 1 offsets; of fewer words, all as one run."""
-    words, text, _ = word_hashes(data, offs)
+    words, text, _ = word_hashes(data, offs, seeds=seeds)
     ends = np.cumsum(np.bincount(text, minlength=len(offs) - 1))
     total = np.zeros(max(len(words) - width + 1, 0), np.uint64)
     for k in range(width):

@@ -68,5 +68,20 @@ def test_automaton_regions():
     for text, match in (("one x w end", True), ("one two x w w end", True), ("one two three y y w end", True), ("one three x w end", False), ("one x end", False), ("one x w w w end", False), ("one z w end", False), ("one y w end", False)):
         words = text.split()
         data = np.frombuffer(" ".join(words).encode(), np.uint8)
-        hashes, _, _ = word_hashes(data, np.array([0, len(data)]))
-        assert bool(list(a.accepted(a.classify(hashes)))) == match, text
+        hashes, _, starts = word_hashes(data, np.array([0, len(data)]))
+        assert bool(list(a.accepted(a.classify(hashes, data, starts, np.full(len(hashes), len(data)))))) == match, text
+
+
+def test_a_word_that_only_has_the_hash_of_another_counts_nothing(spark):
+    texts = ["mit 7dll0iiegnzttn5v", "mit license", "mit licens", "MIT LICENSE", "mit licenses", "x mit license"]
+    rows = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [r.n_base for r in rows] == [0, 1, 0, 1, 0, 1] and rows[0].base_labels == "" and rows[5].first_word == 1
+
+
+def test_hits_are_compared(monkeypatch):
+    """Even if all words have one hash, only the templates' own words are taken for them."""
+    monkeypatch.setattr(licenses, "hash_runs", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    a = licenses.Automaton((), {"mit license": "mit"})
+    data = np.frombuffer(b"mit license mit", np.uint8)
+    found = a.classify(np.zeros(3, np.uint64), data, np.array([0, 4, 12]), np.full(3, len(data)))
+    assert {*found.tolist()} <= {licenses.OTHER, 1} | {2} and (found != licenses.OTHER).sum() in (1, 2)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.llm import licenses, ngram_jaccard, packing, pieces, token_counts
 from quern.llm.pieces import Encoder, WholeEncoder, cuts_by_character_kind
 from quern.llm.registry import ORACLE_SQL, QUERIES
-from quern.llm.spans import blocks, shingles, text_bytes, word_hashes
+from quern.llm.spans import blocks, fresh_seeds, shingles, text_bytes, word_hashes
 from tests.compare import SMALL, assert_same, duck
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -157,6 +157,39 @@ def test_words_made_to_collide_stay_apart(spark, n):
         assert len({r.component_id for r in ngram_jaccard.near_duplicates(docs(spark, texts)).collect()}) == len(texts)
 
 
+def components_of(spark, texts):
+    return [r.component_id for r in ngram_jaccard.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_texts_that_share_no_word_are_not_linked(spark):
+    """Words whose public 48-bit or 64-bit hashes are equal, alone and before a shared end."""
+    made = ["innocentdocumen1", "ozx8uzzv%5/{mbg7"]
+    texts = ["fhrftger", "fkrpzlrn", *made, *(f"{w} a b c d e" for w in made)]
+    assert components_of(spark, texts) == [*range(6)]
+
+
+def test_few_ngrams_only_link_with_themselves(spark):
+    """Sets that are too small for a similar other one have no candidates, whatever their hashes; from four on they have."""
+    words = [f"w{k}" for k in range(12)]
+    texts = [" ".join(words[:n]) for n in (6, 7, 8, 9, 10)] + [" ".join(words[:7])]
+    # sets of 2, 3, 4, 5, 6 and 3: 4 of 5 and 5 of 6 are 80 % and more
+    assert components_of(spark, texts) == [0, 1, 2, 2, 2, 1]
+    assert [ngram_jaccard.least_size(p) for p in (80, 50, 100)] == [4, 1, float("inf")]
+
+
+def test_seeds_differ_between_jobs_and_results_do_not(spark):
+    texts = [f"{k % 5} one two three four five six seven eight nine ten {k % 3} eleven twelve" for k in range(60)]
+    assert components_of(spark, texts) == components_of(spark, texts)
+    one, two = (word_hashes(*text_bytes(pa.array(texts)), seeds=fresh_seeds())[0] for _ in range(2))
+    assert not {*one.tolist()} & {*two.tolist()} and len({*one.tolist()}) == len({*two.tolist()})
+
+
+def test_equal_digests_draw_new_seeds(spark, monkeypatch):
+    real, calls = ngram_jaccard.clash, []
+    monkeypatch.setattr(ngram_jaccard, "clash", lambda members: calls.append(1) or len(calls) == 1 or real(members))
+    assert components_of(spark, ["a b c", "a b c", "d"]) == [0, 0, 2] and len(calls) == 2
+
+
 def test_pieces_with_one_hash_are_told_apart(monkeypatch):
     """The known pieces are compared byte for byte, so even a hash that is always the same gives the library's ids."""
     monkeypatch.setattr(pieces, "chain", lambda words, starts, sizes: np.zeros(len(starts), np.uint64))
