@@ -29,13 +29,13 @@ from quern.llm.spans import fresh_seeds, hash_runs, lean, portions, text_bytes,
 LONGEST = 4
 """Words of a phrase."""
 DEPTH = LONGEST + 1
-SHARD = 4 << 20
+SHARD = 3 << 20
 """Bytes of text in a shard; a longer text is one of its own."""
-IN_RANGE = 3 << 18
+IN_RANGE = 1 << 19
 """Positions in a range, about."""
-STEP = 3 << 12
+STEP = 1 << 13
 """Every so many positions, a path is in the sample."""
-FAN = 256
+FAN = 512
 """Ranges that a shard is cut into at most."""
 
 _ENDS = np.zeros(256, bool)
@@ -60,16 +60,21 @@ def _wide(x: pa.Scalar) -> np.ndarray:
 def ordered(paths: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of paths (numbers below size) in order, with the sum of their weights."""
     bits = np.int64(max(1, int(size).bit_length()))
-    keys = [paths[:, 0]]
+    keys = [paths[:, 0].astype(np.int64)]
     for k in range(1, DEPTH):  # as many columns as fit into one key
         if (int(keys[-1].max(initial=0)) + 1).bit_length() + bits <= 63:
-            keys[-1] = keys[-1] << bits | paths[:, k]
+            keys[-1] <<= bits
+            keys[-1] |= paths[:, k]
         else:
-            keys.append(paths[:, k])
+            keys.append(paths[:, k].astype(np.int64))
     order = np.lexsort(keys[::-1])
     first = np.ones(len(order), bool)
     if len(order):
-        first[1:] = np.logical_or.reduce([key[order][1:] != key[order][:-1] for key in keys])
+        first[1:] = False
+        for key in keys:
+            key = key[order]
+            first[1:] |= key[1:] != key[:-1]
+    del keys
     at = np.flatnonzero(first)
     return paths[order[at]], np.add.reduceat(weights[order], at) if len(at) else weights[:0]
 
@@ -88,7 +93,7 @@ def packed(alphabet: np.ndarray, paths: np.ndarray, weights: np.ndarray) -> tupl
     """The automaton of sorted distinct paths (rows of numbers in the alphabet): alphabet, labels, degrees, weights."""
     used = np.zeros(len(alphabet), bool)
     used[paths] = True
-    paths, alphabet = (np.cumsum(used) - 1)[paths], alphabet[used]
+    paths, alphabet = (np.cumsum(used) - 1).astype(np.uint32)[paths], alphabet[used]
     starts = states(paths)
     degrees = [np.diff(np.searchsorted(below, np.append(own, len(paths)))) for own, below in zip(starts, starts[1:], strict=False)]
     labels = np.concatenate([[len(starts[0])], *(paths[own, k] for k, own in enumerate(starts))])
@@ -117,7 +122,7 @@ def union(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One automaton of several: alphabet, sorted paths, summed weights."""
     parts = [unpacked(*row) for row in zip(*(table.column(c) for c in ("alphabet", "labels", "degrees", "weights")), strict=True)]
     alphabet = np.unique(np.concatenate([x for x, _, _ in parts]))
-    paths = np.concatenate([np.searchsorted(alphabet, x)[p] for x, p, _ in parts])
+    paths = np.concatenate([np.searchsorted(alphabet, x).astype(np.uint32)[p] for x, p, _ in parts])
     paths, weights = ordered(paths, np.concatenate([w for _, _, w in parts]), len(alphabet))
     return alphabet, paths, weights
 
@@ -147,7 +152,7 @@ def shards(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[tup
             near = together.copy()
             known, number = np.unique(words, return_inverse=True)
             alphabet = np.unique(np.concatenate([known, langs, [0]]))
-            paths = np.full((len(words), DEPTH), np.searchsorted(alphabet, 0), np.int64)
+            paths = np.full((len(words), DEPTH), np.searchsorted(alphabet, 0), np.uint32)
             paths[:, 0], paths[:, 1] = np.searchsorted(alphabet, langs)[lang[lo:hi][text]], np.searchsorted(alphabet, known)[number]
             for k in range(2, DEPTH):  # near: the next word is of the same piece
                 n = max(len(words) - k + 1, 0)
@@ -239,6 +244,7 @@ def counts(rows: DataFrame, seeds: np.ndarray, cuts: list[tuple[int, ...]], posi
             keep = np.flatnonzero((own[:, depth] != 0) & ((f >= least) | partial))
             found.append((own[keep, 0], own[keep, 1:], f[keep]))
         lists = [x for _, w, _ in found for x in w]
+        pa.default_memory_pool().release_unused()
         return pa.table({"lang": np.concatenate([x for x, _, _ in found]), "words": pa.array(lists, pa.list_(pa.int64())), "f": np.concatenate([f for _, _, f in found])})
 
     packs = rows.mapInArrow(sharded, PACKED)
