@@ -28,15 +28,15 @@ from quern.llm.pieces import alike
 from quern.llm.shared import kept
 from quern.llm.spans import LONG, chain, lean, parts, portions, text_bytes
 
-KNOWN, KNOWN_BYTES = 3 << 17, 1 << 26
+KNOWN, KNOWN_BYTES = 1 << 17, 1 << 25
 """Distinct windows that a worker keeps, and bytes of their text; beyond these it starts anew, which costs time only."""
-PORTION = 2 << 20
+PORTION = 1 << 20
 """Bytes of text aligned at once."""
-BLOCK_PAIRS, BLOCK_DOCS = 3 << 20, 60_000
+BLOCK_PAIRS, BLOCK_DOCS = 3 << 19, 60_000
 """Pairs of documents in a block, about, and documents."""
 RANGES = 16
 """Ranges of pairs."""
-GROUP_PAIRS = 8 << 20
+GROUP_PAIRS = 2 << 20
 """Pairs of documents, about, that one task looks up."""
 
 _SOLID = np.zeros(256, bool)
