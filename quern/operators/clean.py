@@ -10,6 +10,11 @@ from quern.operators.rows import business_columns, latest, row_hash
 from quern.schema import Rule, TableSpec
 
 CASTS = {"int": to_int, "double": to_double, "date": to_date, "boolean": to_bool}
+"""Lenient casts by name; any other type of a specification is a try_cast (money: a decimal, so that sums are exact)."""
+
+
+def cast_as(c: Column, kind: str) -> Column:
+    return CASTS[kind](c) if kind in CASTS else c.try_cast(kind)
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def clean_table(df: DataFrame, spec: TableSpec, as_of: str | None = None, strict
     def one(c: str, kind: str) -> Column:
         value = normalize_nulls(F.trim(c)) if kind == "string" and not c.startswith("_") else F.col(c)
         value = case[c](value) if c in case else value
-        return (CASTS[spec.casts[c]](value) if c in spec.casts else value).alias(c)
+        return (cast_as(value, spec.casts[c]) if c in spec.casts else value).alias(c)
 
     typed = df.select(*(one(c, t) for c, t in df.dtypes))
     rules = [r for r in spec.rules if r.column in typed.columns]

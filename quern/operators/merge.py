@@ -5,27 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.rows import safe_union
+from quern.operators.evolution import evolved_union
 
 FOREVER = "9999-12-31"
+CHANGE = "_change"
+"""What a merge did with a row, where it is asked to say so: I, U, D or N."""
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
-    """Target rows without a match, and the whole batch. The batch has one row for each key."""
-    return safe_union([target.join(batch, key, "left_anti"), batch])
+def inserted(batch: DataFrame) -> DataFrame:
+    return batch.withColumn(CHANGE, F.lit("I"))
+
+
+def upsert(target: DataFrame, batch: DataFrame, key: list[str], tag: bool = False) -> DataFrame:
+    """Target rows without a match, and the whole batch, which has one row for each key.
+
+    Columns that one side lacks are null in its rows, and types widen (evolution.py). A null key matches nothing. tag: with
+    CHANGE, I for new keys, U for those replaced, N for the rest.
+    """
+    new = batch
+    if tag:
+        marks = target.select(*key).distinct().withColumn(CHANGE, F.lit("U"))
+        new = batch.join(marks, key, "left").withColumn(CHANGE, F.coalesce(CHANGE, F.lit("I")))
+    old = target.join(batch.select(*key), key, "left_anti")
+    return evolved_union([old.withColumn(CHANGE, F.lit("N")) if tag else old, new])
 
 
 def soft_delete(target: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
-    """The target with _is_deleted, true for the keys in gone; keys deleted before stay so."""
+    """The target with _is_deleted, true for the keys in gone; keys deleted before stay so. A CHANGE becomes D."""
     was = F.coalesce(F.col("_is_deleted"), F.lit(False)) if "_is_deleted" in target.columns else F.lit(False)
     marks = gone.select(*key).distinct().withColumn("_gone", F.lit(True))
-    return target.join(marks, key, "left").withColumn("_is_deleted", was | F.col("_gone").isNotNull()).drop("_gone")
+    rows = target.join(marks, key, "left")
+    if CHANGE in target.columns:
+        rows = rows.withColumn(CHANGE, F.when(F.col("_gone").isNotNull() & ~was, "D").otherwise(F.col(CHANGE)))
+    return rows.withColumn("_is_deleted", was | F.col("_gone").isNotNull()).drop("_gone")
+
+
+def after(column: str, cutoff: Column) -> Column:
+    """Whether a row's time is later than the cutoff; a time that can't be read is not."""
+    return F.coalesce(F.col(column).try_cast("timestamp_ntz") > cutoff.cast("timestamp_ntz"), F.lit(False))
 
 
-def window_replace(target: DataFrame, batch: DataFrame, column: str, cutoff: Column) -> DataFrame:
+def window_replace(target: DataFrame, batch: DataFrame, column: str, cutoff: Column, tag: bool = False) -> DataFrame:
     """The target up to the cutoff, and from then on only the batch; running it twice changes nothing more."""
-    late = F.coalesce(F.col(column).try_cast("timestamp_ntz") > cutoff.cast("timestamp_ntz"), F.lit(False))
-    return safe_union([target.where(~late), batch.where(late)])
+    late = after(column, cutoff)
+    old, new = target.where(~late), batch.where(late)
+    return evolved_union([old.withColumn(CHANGE, F.lit("N")), inserted(new)] if tag else [old, new])
 
 
 def differs(tracked: list[str], null_safe: bool = True) -> Column:
@@ -41,7 +65,7 @@ def scd2_init(batch: DataFrame, as_of: str) -> DataFrame:
     return batch.withColumns({"_effective_from": F.lit(as_of).cast("date"), "_effective_to": F.lit(FOREVER).cast("date"), "_is_current": F.lit(True)})
 
 
-def scd2_merge(target: DataFrame, batch: DataFrame, key: list[str], tracked: list[str], as_of: str, null_safe: bool = True) -> DataFrame:
+def scd2_merge(target: DataFrame, batch: DataFrame, key: list[str], tracked: list[str], as_of: str, null_safe: bool = True, tag: bool = False) -> DataFrame:
     """History with one more batch: changed current rows end on as_of and their new versions begin; new keys begin; the rest stays.
 
     One full outer join of current rows and batch says what each key needs, and one explode gives its rows.
@@ -55,10 +79,12 @@ def scd2_merge(target: DataFrame, batch: DataFrame, key: list[str], tracked: lis
     same = lambda c: F.when(change, F.lit(as_of).cast("date")).otherwise(F.col(c)) if c == "_effective_to" else F.col(c) & ~change if c == "_is_current" else F.col(c)
     first = {"_effective_from": F.lit(as_of).cast("date"), "_effective_to": F.lit(FOREVER).cast("date"), "_is_current": F.lit(True)}
     fresh = lambda c: first[c] if c in first else F.col(c) if c in key else F.col(f"_new_{c}") if c in columns else F.lit(None).cast(target.schema[c].dataType)
-    kept = F.when(F.col("_in_target").isNotNull(), F.struct(*(same(c).alias(c) for c in old)))
-    made = F.when(begin, F.struct(*(fresh(c).cast(target.schema[c].dataType).alias(c) for c in old)))
+    said = lambda kind: [kind.alias(CHANGE)] if tag else []
+    kept = F.when(F.col("_in_target").isNotNull(), F.struct(*(same(c).alias(c) for c in old), *said(F.when(change, "U").otherwise("N"))))
+    made = F.when(begin, F.struct(*(fresh(c).cast(target.schema[c].dataType).alias(c) for c in old), *said(F.lit("I"))))
     rows = both.select(F.explode(F.array_compact(F.array(kept, made))).alias("r")).select("r.*")
-    return rows.unionByName(target.where("not _is_current"))
+    past = target.where("not _is_current")
+    return rows.unionByName(past.withColumn(CHANGE, F.lit("N")) if tag else past)
 
 
 def scd2_expired(target: DataFrame, batch: DataFrame, key: list[str], tracked: list[str]) -> DataFrame:
@@ -75,7 +101,7 @@ def fdc_classes(target: DataFrame, batch: DataFrame, key: list[str], hash_column
     return t.join(b, key, "full_outer").select(*key, kind.alias("change"))
 
 
-def fdc_merge(target: DataFrame, batch: DataFrame, key: list[str], hash_column: str = "_row_hash") -> DataFrame:
+def fdc_merge(target: DataFrame, batch: DataFrame, key: list[str], hash_column: str = "_row_hash", tag: bool = False) -> DataFrame:
     """All classes applied: new and changed rows from the batch, gone keys kept with _is_deleted, the rest as it was.
 
     A column that the batch lacks keeps its values and is null in new rows; one that the target lacks is added, null in
@@ -88,4 +114,6 @@ def fdc_merge(target: DataFrame, batch: DataFrame, key: list[str], hash_column:
     take = F.col("_in_batch").isNotNull() & (F.col("_in_target").isNull() | ~F.col(hash_column).eqNullSafe(F.col(f"_new_{hash_column}")) | F.col("_is_deleted"))
     kept = lambda c: F.col("_in_batch").isNull() if c == "_is_deleted" else F.col(c) if c in old.columns else F.lit(None)
     value = lambda c: F.when(take, F.col(f"_new_{c}")).otherwise(kept(c)) if c in b.columns else F.col(c)
-    return both.select(*key, *(value(c).alias(c) for c in dict.fromkeys([*old.columns, *b.columns]) if c not in key))
+    gone = F.col("_in_batch").isNull() & ~F.col("_is_deleted")
+    kind = F.when(F.col("_in_target").isNull(), "I").when(gone, "D").when(take, "U").otherwise("N")
+    return both.select(*key, *(value(c).alias(c) for c in dict.fromkeys([*old.columns, *b.columns]) if c not in key), *([kind.alias(CHANGE)] if tag else []))

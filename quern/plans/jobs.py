@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Observation
@@ -10,21 +12,36 @@ from pyspark.sql import functions as F
 
 from quern.operators.clean import clean_table
 from quern.operators.monitor import AUDIT, watermarks
-from quern.operators.rows import row_hash, stamp, watermark_filter
+from quern.operators.rows import drop_meta, row_hash, stamp, watermark_filter
+from quern.plans.upkeep import Groups, kept_up
 from quern.schema import MODES, TableSpec
 from quern.sources.files import as_strings
+from quern.sources.scratch import new_folder
 from quern.sources.store import SnapshotStore, dispatch_write
 
 LAYERS = ("bronze", "silver", "gold")
 UNKNOWN = "max(cast(null as string))"
-KPIS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], bool]] = {}
-"""Gold builders by name, the silver or gold tables they take, and whether they take the day to count to."""
 
 
-def register_kpi(name: str, build: Callable[..., DataFrame], inputs: tuple[str, ...], dated: bool = False) -> None:
+@dataclass(frozen=True)
+class Kpi:
+    """A gold builder, the silver or gold tables it takes, whether it takes the day to count to, inputs it can do without, and
+    how it is kept up by group (None: it is built in full each time)."""
+
+    build: Callable[..., DataFrame]
+    inputs: tuple[str, ...]
+    dated: bool = False
+    optional: tuple[str, ...] = ()
+    groups: Groups | None = None
+
+
+KPIS: dict[str, Kpi] = {}
+
+
+def register_kpi(name: str, build: Callable[..., DataFrame], inputs: tuple[str, ...], dated: bool = False, optional: tuple[str, ...] = (), groups: Groups | None = None) -> None:
     if name in KPIS:
         raise ValueError(f"{name} is registered already")
-    KPIS[name] = (build, inputs, dated)
+    KPIS[name] = Kpi(build, inputs, dated, optional, groups)
 
 
 class Pipeline:
@@ -43,7 +60,7 @@ class Pipeline:
         return self.spark.createDataFrame([], AUDIT) if found is None else found
 
     def _log(self, layer: str, table: str, mode: str, rows_in: int, rows_out: int, flagged: int = 0, watermark: str | None = None, status: str = "OK") -> dict:
-        row = (layer, table, mode, status, rows_in, rows_out, flagged, watermark)
+        row = (layer, table, mode, status, int(rows_in), int(rows_out), flagged, watermark)
         self._rows.append((*row, datetime.now(UTC).replace(tzinfo=None)))
         if not self._running:
             self._write_audit()
@@ -91,13 +108,45 @@ class Pipeline:
         rows = dispatch_write(store, spec, clean, mode, as_of=self.as_of)
         return self._log("silver", spec.name, mode, read.get["rows"], rows, made.get["flagged"], made.get["high"])
 
-    def process_gold_table(self, name: str) -> dict:
-        build, inputs, dated = KPIS[name]
-        frames = [t for i in inputs if (t := self.stores["gold"].read(i) if i in KPIS else self.stores["silver"].read(i)) is not None]
-        if len(frames) < len(inputs):
-            return self._log("gold", name, "FULL", 0, 0, status="SKIP")
-        rows = self.stores["gold"].write(name, stamp(build(*frames, *([self.as_of] if dated else [])), "gold", name))
-        return self._log("gold", name, "FULL", rows, rows)
+    def _gold_mode(self, name: str, mode: str) -> tuple[str, dict[str, str]]:
+        """FULL if the table has to be built anew, else the mode; and the snapshots that the last build read."""
+        kpi, store = KPIS[name], self.stores["gold"]
+        note = json.loads(store.note(name, "INPUTS") or "{}")
+        fits = kpi.groups and store.version(name) is not None and note.get("inputs") == [*self._pointers(name)] and (not kpi.dated or note.get("as_of") == self.as_of)
+        return (mode, note["pointers"]) if mode != "FULL" and fits else ("FULL", {})
+
+    def _input(self, name: str) -> SnapshotStore:
+        return self.stores["gold" if name in KPIS else "silver"]
+
+    def _pointers(self, name: str) -> dict[str, str]:
+        """The snapshots that a gold table would read now."""
+        return {i: p for i in KPIS[name].inputs if (p := self._input(i).pointer(i)) is not None}
+
+    def process_gold_table(self, name: str, mode: str = "FULL") -> dict:
+        """FULL builds a table from all rows. In every other mode, only the groups of rows that changed since the last build
+        are computed again; the result is that of a full build. A missing input that is optional is passed as None."""
+        kpi, store, now = KPIS[name], self.stores["gold"], self._pointers(name)
+        if [i for i in kpi.inputs if i not in now and i not in kpi.optional]:
+            return self._log("gold", name, mode, 0, 0, status="SKIP")
+        mode, since = self._gold_mode(name, mode)
+        inputs = {i: self._input(i).read(i) for i in now}
+        build = lambda frames: kpi.build(*(frames.get(i) for i in kpi.inputs), *([self.as_of] if kpi.dated else []))
+        if mode == "FULL":
+            made = build(inputs)
+        else:
+            changes = {i: self._input(i).changed(i, since[i]) for i in now if since[i] != now[i]}
+            before = drop_meta(store.read(name))
+            if not changes:
+                return self._log("gold", name, mode, 0, before.count(), status="OK")
+            made = kept_up(name, build, kpi.groups, inputs, changes, before, self._kept)
+        rows = store.write(name, stamp(made, "gold", name))
+        store.note(name, "INPUTS", json.dumps({"inputs": [*now], "pointers": now, "as_of": self.as_of}))
+        return self._log("gold", name, mode, rows, rows)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        path = new_folder(self.spark, "groups")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def run_layers(self, sources: dict[TableSpec, DataFrame], kpis: list[str], mode: str = "FULL", layer_modes: dict[str, str] | None = None, layers: tuple[str, ...] = LAYERS, dry_run: bool = False) -> list[dict]:
         """Layers in order. layer_modes overrides the mode of a layer; dry_run only says what would run."""
@@ -106,10 +155,10 @@ class Pipeline:
             raise ValueError(f"unknown modes {sorted(bad)}")
         steps = [(layer, x) for layer in LAYERS if layer in layers for x in (kpis if layer == "gold" else sources)]
         if dry_run:
-            return [{"layer": layer, "table": x if layer == "gold" else x.name, "mode": modes[layer]} for layer, x in steps]
+            return [{"layer": layer, "table": x if layer == "gold" else x.name, "mode": self._gold_mode(x, modes[layer])[0] if layer == "gold" else modes[layer]} for layer, x in steps]
         self._running = True
         try:
-            return [self.process_gold_table(x) if layer == "gold" else self.ingest_table(x, sources[x], modes[layer]) if layer == "bronze" else self.process_table(x, modes[layer]) for layer, x in steps]
+            return [self.process_gold_table(x, modes[layer]) if layer == "gold" else self.ingest_table(x, sources[x], modes[layer]) if layer == "bronze" else self.process_table(x, modes[layer]) for layer, x in steps]
         finally:
             self._running = False
             self._write_audit()

@@ -18,9 +18,9 @@ def revenue_summary(fact: DataFrame) -> DataFrame:
     )
 
 
-def denial_analysis(denials: DataFrame, claims: DataFrame, overturned: tuple[str, ...] = ("APPROVED",), no_appeal: tuple[str, ...] = ()) -> DataFrame:
+def denial_analysis(denials: DataFrame, claims: DataFrame | None, overturned: tuple[str, ...] = ("APPROVED",), no_appeal: tuple[str, ...] = ()) -> DataFrame:
     """overturned and no_appeal: statuses of a won appeal and of none; by default every status counts as an appeal."""
-    rows = denials.join(claims.select("claim_id", "total_charge"), "claim_id", "left")
+    rows = denials.join(claims.select("claim_id", "total_charge"), "claim_id", "left") if claims is not None else denials.withColumn("total_charge", F.lit(None).cast("decimal(12,2)"))
     appeal = F.col("appeal_status").isNotNull() & ~F.upper("appeal_status").isin(*no_appeal)
     won = F.count_if(F.upper("appeal_status").isin(*overturned))
     by = rows.groupBy(F.upper("denial_code").alias("denial_code"), "denial_category", "denial_reason")
@@ -33,9 +33,9 @@ def ar_aging(fact: DataFrame, as_of: str, closed: tuple[str, ...] = ("PAID", "VO
     return rows.groupBy(aging_bucket(F.col("days")).alias("aging_bucket"), "payer_id").agg(F.count("*").alias("claim_count"), total(F.col("total_charge")).alias("outstanding"), round2(F.avg("days")).alias("avg_days"), F.max("days").alias("max_days"))
 
 
-def provider_scorecard(fact: DataFrame, providers: DataFrame) -> DataFrame:
+def provider_scorecard(fact: DataFrame, providers: DataFrame | None) -> DataFrame:
     names = ("provider_name", "specialty", "credential")
-    rows = fact.join(providers.select("provider_id", *names), "provider_id", "left")
+    rows = fact.join(providers.select("provider_id", *names), "provider_id", "left") if providers is not None else fact.withColumns({c: F.lit(None).cast("string") for c in names})
     return rows.groupBy("provider_id", *names).agg(
         F.count("*").alias("claim_count"), total(F.col("total_paid")).alias("revenue"), round2(mean(F.col("total_charge"))).alias("avg_charge"), round2(mean(F.col("total_paid"))).alias("avg_paid"),
         safe_pct(F.count_if("is_denied"), F.count("*")).alias("denial_pct"), round2(F.avg("days_to_adjudication")).alias("avg_days"), F.count_if("is_paid").alias("paid_count"), safe_pct(F.count_if("is_paid"), F.count("*")).alias("paid_pct"),

@@ -15,18 +15,18 @@ from quern.schema import TableSpec
 from quern.sources.scratch import new_folder
 
 DAY = "2001-08-31"
-MONEY = dict.fromkeys(("billed_amount", "allowed_amount", "paid_amount", "adjustment_amount", "patient_responsibility"), "double")
+MONEY = dict.fromkeys(("billed_amount", "allowed_amount", "paid_amount", "adjustment_amount", "patient_responsibility"), "decimal(18,6)")
 SPECS = (
-    TableSpec("patients", "patient_id", casts={"balance": "double", "age": "int"}),
+    TableSpec("patients", "patient_id", casts={"balance": "decimal(12,2)", "age": "int"}),
     TableSpec("patient_insurance", "row_id", casts={"effective_date": "date"}),
-    TableSpec("providers", "provider_id", casts={"balance": "double"}),
+    TableSpec("providers", "provider_id", casts={"balance": "decimal(12,2)"}),
     TableSpec("clinics", "clinic_id", casts={"bed_count": "int"}),
     TableSpec("payers", "payer_id"),
-    TableSpec("procedures", "cpt_code", casts={"charge": "double"}),
+    TableSpec("procedures", "cpt_code", casts={"charge": "decimal(12,2)"}),
     TableSpec("encounters", "encounter_id", casts={"encounter_date": "date"}),
-    TableSpec("claims", "claim_id", "submission_date", casts={"total_charge": "double", "submission_date": "date", "adjudication_date": "date"}),
+    TableSpec("claims", "claim_id", "submission_date", casts={"total_charge": "decimal(12,2)", "submission_date": "date", "adjudication_date": "date"}),
     TableSpec("claim_lines", "row_id", casts=MONEY | {"service_date": "date"}),
-    TableSpec("payments", "row_id", casts={"paid_amount": "double", "payment_date": "date"}),
+    TableSpec("payments", "row_id", casts={"paid_amount": "decimal(18,6)", "payment_date": "date"}),
     TableSpec("denials", "row_id", casts={"denial_date": "date"}),
     TableSpec("diagnoses", "row_id", casts={"chronic_flag": "boolean"}),
     TableSpec("appointments", "appointment_id", casts={"appointment_date": "date", "duration_minutes": "int"}),

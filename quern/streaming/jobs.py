@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import merge
+from quern.operators.evolution import evolved_union
 from quern.operators.rows import latest, stamp
 from quern.schema import TableSpec
-from quern.sources.store import SnapshotStore
+from quern.sources.store import SnapshotStore, part_of, touched
 
 
 def read_stream(spark: SparkSession, path: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -34,22 +34,34 @@ def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
 def upsert_stream(stream: DataFrame, store: SnapshotStore, spec: TableSpec, checkpoint: str, mode: str = "append") -> None:
     """Upserts each micro-batch's latest row of a key. A batch that runs again after a failure changes nothing.
 
-    The batch number is kept in the rows, and a row only gives way to one of the same or a later batch.
+    The batch number is kept in the rows. With a watermark column a row gives way to a later event only, and otherwise
+    (in update mode always) to one of the same or a later batch. A table with buckets has only those of the batch's keys
+    read and written.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        order = [F.desc_nulls_last(spec.watermark)] if spec.watermark in batch.columns else []
-        new = latest(batch, [spec.key], [*order, *(F.desc(c) for c in batch.columns if c not in (spec.key, spec.watermark))]).withColumn("_batch", F.lit(number).cast("long"))
-        target = store.read(spec.name)
-        if target is not None and spec.watermark in batch.columns and mode == "append":  # an older event never wins
-            both = target.unionByName(new)
-            store.write(spec.name, latest(both, [spec.key], [F.desc_nulls_last(spec.watermark), F.desc("_batch")]))
-        else:
-            store.write(spec.name, new if target is None else merge.upsert(target, new, [spec.key]))
+        upsert_batch(batch, number, store, spec, mode)
 
     stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def upsert_batch(batch: DataFrame, number: int, store: SnapshotStore, spec: TableSpec, mode: str = "append") -> None:
+    """One micro-batch of upsert_stream."""
+    timed = spec.watermark in batch.columns and mode == "append"
+    later = [F.desc_nulls_last(spec.watermark)] if spec.watermark in batch.columns else []
+    rest = [F.desc(c) for c in batch.columns if c not in (spec.key, spec.watermark)]
+    new = latest(batch, [spec.key], [*later, *rest]).withColumn("_batch", F.lit(number).cast("long"))
+    part, now = part_of(spec), store.snapshot(spec.name)
+    parts = touched(new, part) if spec.buckets and now is not None else None
+    target = store.read(spec.name, parts=parts)
+    if target is not None:
+        new = latest(evolved_union([target, new]), [spec.key], [*(later if timed else []), F.desc_nulls_last("_batch"), *rest])
+    if part:
+        store.replace(spec.name, new, part, parts)
+    else:
+        store.write(spec.name, new)
+
+
 def windowed_counts(stream: DataFrame, event_time: str, width: str, by: list[str], value: str) -> DataFrame:
     """Count and sum of each tumbling window; with a watermark the state of closed windows is dropped."""
     return stream.groupBy(F.window(event_time, width).alias("w"), *by).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(12,2)")).alias("total")).select(F.col("w.start").alias("window_start"), *by, "n", "total")
