@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import aging_bucket, mean, round2, safe_pct, total
@@ -72,16 +72,19 @@ def appointment_ops(appointments: DataFrame) -> DataFrame:
 def patient_risk(patients: DataFrame, diagnoses: DataFrame, count_rows: bool = True) -> DataFrame:
     """count_rows: total_diagnoses counts joined rows, so it is 1 for a patient with none; else diagnosis codes."""
     own = ["patient_id", *(c for c in ("name", "first_name", "last_name", "age", "gender", "bmi_category", "smoking_status") if c in patients.columns)]
-    rows = patients.select(*own).join(diagnoses.select("patient_id", "icd10_code", "chronic_flag"), "patient_id", "left")
-    many = F.count("*") if count_rows else F.count("icd10_code")
-    out = rows.groupBy(*own).agg(F.count_if("chronic_flag").alias("chronic_count"), many.alias("total_diagnoses"), F.count_distinct("icd10_code").alias("distinct_codes"))
+    # diagnoses meet by patient alone, and join once a patient
+    people = patients.groupBy(*own).agg(F.count("*").alias("copies"))
+    of = diagnoses.groupBy("patient_id").agg(F.count_if("chronic_flag").alias("chronic"), F.count("*").alias("rows"), F.count("icd10_code").alias("codes"), F.count_distinct("icd10_code").alias("distinct_codes"))
+    many = F.coalesce("rows", F.lit(1)) if count_rows else F.coalesce("codes", F.lit(0))
+    out = people.join(of, "patient_id", "left").select(*own, (F.coalesce("chronic", F.lit(0)) * F.col("copies")).alias("chronic_count"), (many * F.col("copies")).alias("total_diagnoses"), F.coalesce("distinct_codes", F.lit(0)).alias("distinct_codes"))
     score = F.least(F.col("chronic_count") * 2 + F.col("total_diagnoses"), F.lit(100))
     return out.withColumn("risk_score", score).withColumn("risk_tier", F.when(F.col("risk_score") >= 20, "High").when(F.col("risk_score") >= 10, "Medium").otherwise("Low"))
 
 
 def lab_abnormals(labs: DataFrame) -> DataFrame:
     """share_of_abnormal: of the test's abnormal results; abnormal_rate: of all its results."""
-    by_test = labs.groupBy("test_name").agg(F.count("*").alias("all_tests"), F.count_if(F.upper("abnormal_flag") != "NORMAL").alias("all_abnormal"))
-    rows = labs.where(F.col("abnormal_flag").isNotNull() & (F.upper("abnormal_flag") != "NORMAL"))
-    out = rows.groupBy("test_name", "loinc_code", "abnormal_flag").agg(F.count("*").alias("abnormal_count"), round2(mean(F.col("result_value"))).alias("avg_value"), F.min("result_value").cast("double").alias("min_value"), F.max("result_value").cast("double").alias("max_value"))
-    return out.join(by_test, "test_name").withColumns({"share_of_abnormal": safe_pct(F.col("abnormal_count"), F.col("all_abnormal")), "abnormal_rate": safe_pct(F.col("abnormal_count"), F.col("all_tests"))}).drop("all_abnormal")
+    by = labs.where("test_name is not null").groupBy("test_name", "loinc_code", "abnormal_flag")
+    out = by.agg(F.count("*").alias("abnormal_count"), round2(mean(F.col("result_value"))).alias("avg_value"), F.min("result_value").cast("double").alias("min_value"), F.max("result_value").cast("double").alias("max_value"))
+    abnormal, test = F.upper("abnormal_flag") != "NORMAL", Window.partitionBy("test_name")  # over the aggregate
+    out = out.withColumns({"all_tests": F.sum("abnormal_count").over(test), "all_abnormal": F.sum(F.when(abnormal, F.col("abnormal_count"))).over(test)}).where(abnormal)
+    return out.withColumns({"share_of_abnormal": safe_pct(F.col("abnormal_count"), F.col("all_abnormal")), "abnormal_rate": safe_pct(F.col("abnormal_count"), F.col("all_tests"))}).drop("all_abnormal")

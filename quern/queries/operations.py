@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.adapters import Lake, view
 from quern.operators import monitor
 from quern.plans.jobs import KPIS, Pipeline, register_kpi
+from quern.plans.upkeep import Groups
 from quern.queries.base import pct, query
 from quern.schema import TableSpec, between
 from quern.sources.scratch import new_folder
@@ -155,6 +156,44 @@ def dispatch(lake: Lake) -> DataFrame:
     return store.read("customer")
 
 
+@query("append_evolved", "select c_custkey::double as c_custkey, c_name, case when c_custkey % 2 = 1 then c_mktsegment end as c_mktsegment, case when c_custkey % 2 = 0 then c_acctbal end as c_acctbal from customer")
+def append_evolved(lake: Lake) -> DataFrame:
+    """Two appends with different columns and a wider type of the key."""
+    store = store_of(lake)
+    store.append("customer", lake.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal"))
+    store.append("customer", lake.customer.where("c_custkey % 2 = 1").select(F.col("c_custkey").cast("double").alias("c_custkey"), "c_name", "c_mktsegment"))
+    return store.read("customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
+
+
+@query("upsert_bucketed", "select o_orderkey, case when o_orderkey % 50 = 1 then 'X' else o_orderstatus end as o_orderstatus, o_orderkey % 50 = 2 as _is_deleted from orders")
+def upsert_bucketed(lake: Lake) -> DataFrame:
+    """A table in buckets of its key: a batch of changed and one of deleted keys."""
+    store, spec, rows = store_of(lake), TableSpec("orders", "o_orderkey", mode="CDC", buckets=16), lake.orders.select("o_orderkey", "o_orderstatus")
+    dispatch_write(store, spec, rows, "FULL", as_of="2024-01-31")
+    dispatch_write(store, spec, rows.where("o_orderkey % 50 = 1").withColumn("o_orderstatus", F.lit("X")), "CDC", as_of="2024-01-31", gone=rows.where("o_orderkey % 50 = 2"))
+    return store.read("orders", ["o_orderkey", "o_orderstatus", "_is_deleted"])
+
+
+@query("window_by_month", "select o_orderkey, o_orderdate, case when cast(o_orderdate as date) > date '2001-07-02' then 'new' else 'old' end as load from orders where cast(o_orderdate as date) <= date '2001-07-02' or o_orderkey % 2 = 0")
+def window_by_month(lake: Lake) -> DataFrame:
+    """The last 60 days replaced in a table by month: earlier months are neither read nor written."""
+    store, spec, rows = store_of(lake), TableSpec("orders", "o_orderkey", "o_orderdate", "WINDOW", 60, by_month=True), lake.orders.select("o_orderkey", "o_orderdate")
+    dispatch_write(store, spec, rows.withColumn("load", F.lit("old")), "FULL", as_of="2001-08-31")
+    before = store.snapshot("orders").parts
+    dispatch_write(store, spec, rows.where("o_orderkey % 2 = 0").withColumn("load", F.lit("new")), "WINDOW", as_of="2001-08-31")
+    assert all(v == before[k] for k, v in store.snapshot("orders").parts.items() if k < "_month=2001-07")
+    return store.read("orders", ["o_orderkey", "o_orderdate", "load"])
+
+
+@query("merge_counts", "select 'CDC' as mode, count(*) filter (c_custkey % 3 = 0 and c_custkey % 2 = 1) as inserted, count(*) filter (c_custkey % 6 = 0) as updated, count(*) filter (c_custkey % 10 = 2 and c_custkey % 3 <> 0) as deleted from customer")
+def merge_counts(lake: Lake) -> DataFrame:
+    """How many rows a merge inserts, updates and deletes, counted while it is written."""
+    store, rows = store_of(lake), lake.customer.select("c_custkey", "c_mktsegment")
+    dispatch_write(store, CUSTOMERS, rows.where("c_custkey % 2 = 0"), "FULL", as_of="2024-01-31")
+    done = dispatch_write(store, CUSTOMERS, rows.where("c_custkey % 3 = 0"), "CDC", as_of="2024-01-31", gone=rows.where("c_custkey % 10 = 2 and c_custkey % 3 <> 0"))
+    return lake.spark.createDataFrame([("CDC", done.inserted, done.updated, done.deleted)], "mode string, inserted long, updated long, deleted long")
+
+
 @query("scan_csv_all_string", "select cast(c_custkey as varchar) as c_custkey, c_name || chr(10) || '\"x\"' as c_name from customer")
 def scan_csv_all_string(lake: Lake) -> DataFrame:
     from quern.sources.files import scan_csv_all_string as scan
@@ -182,7 +221,7 @@ def events_by_day(events: DataFrame) -> DataFrame:
 
 
 if "events_by_day" not in KPIS:
-    register_kpi("events_by_day", events_by_day, ("events",))
+    register_kpi("events_by_day", events_by_day, ("events",), groups=Groups(("day",), {"events": ("to_date(ts)",)}))
 
 
 def pipeline(lake: Lake) -> Pipeline:
@@ -219,6 +258,16 @@ def process_gold_table(lake: Lake) -> DataFrame:
     return p.stores["gold"].read("events_by_day", ["day", "n", "flagged"])
 
 
+@query("gold_incremental", BY_DAY)
+def gold_incremental(lake: Lake) -> DataFrame:
+    """A batch of late and new events goes through all layers; gold computes the days that it touches."""
+    p = pipeline(lake)
+    p.run_layers({EVENTS: source(lake).where("event_id % 5 <> 0 and ts <= timestamp_ntz '2024-01-20'")}, ["events_by_day"])
+    done = p.run_layers({EVENTS: source(lake)}, ["events_by_day"], "CDC", {"bronze": "FULL"})
+    assert done[-1]["mode"] == "CDC"
+    return p.stores["gold"].read("events_by_day", ["day", "n", "flagged"])
+
+
 @query("run_layers", "select 'bronze' as layer, 'OK' as status, count(*) as rows_out from events union all select 'silver', 'OK', count(*) from events union all select 'gold', 'OK', count(distinct cast(ts as date)) from events")
 def run_layers(lake: Lake) -> DataFrame:
     p = pipeline(lake)
