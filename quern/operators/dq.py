@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import NULL_TOKENS
+from quern.sources.scratch import new_folder
 
 
 def issues(df: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataFrame:
@@ -53,12 +54,31 @@ def near_duplicates(df: DataFrame, key: str, content: list[str]) -> DataFrame:
     return df.join(first, same & (F.col(key) > F.col("original"))).select(*df.columns, "original")
 
 
+def begun_by(values: DataFrame, whole: Column) -> DataFrame:
+    """value, full: for each value that is not whole, the least whole one that it begins, if any.
+
+    values: distinct strings in the column value. In order, what a string begins stands right after it, so the least whole
+    one is the next whole value or none. Ranges of the order are looked through one by one, and the first whole value of
+    each range is carried to those before it: one row for each range. No values are paired.
+    """
+    spark = values.sparkSession
+    path = new_folder(spark, "ordered")
+    values.select("value", whole.alias("whole")).repartitionByRange("value").withColumn("range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    own = F.when(F.col("whole"), F.col("value"))
+    heads = rows.groupBy("range").agg(F.min(own).alias("head"))
+    after = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("range", F.last("head", ignorenulls=True).over(after).alias("carried"))
+    before = Window.partitionBy("range").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.last(own, ignorenulls=True).over(before)).join(F.broadcast(heads), "range")
+    rows = rows.where(~F.col("whole")).select("value", F.coalesce("next", "carried").alias("full"))
+    return rows.where(F.col("full").startswith(F.col("value")))
+
+
 def truncated(df: DataFrame, key: str, column: str, least: int, often: int) -> DataFrame:
-    """Rows whose rare value is a proper prefix of a frequent one. Joined on the first `least` characters, not pairwise."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where(F.length("value") >= least).withColumn("block", F.substring("value", 1, least))
-    whole = counts.where(F.col("n") >= often).select(F.col("value").alias("full"), "block")
-    short = counts.where(F.col("n") < often).join(whole, "block").where(F.col("full").startswith(F.col("value")) & (F.length("full") > F.length("value")))
-    short = short.groupBy("value").agg(F.min("full").alias("full"))
+    """Rows whose rare value, of at least so many characters, is a proper prefix of a frequent one; full: the least of these."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where(F.length("value") >= least)
+    short = begun_by(counts, F.col("n") >= often)
     return df.join(short, F.col(column) == F.col("value")).select(key, column, "full")
 
 

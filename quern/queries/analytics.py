@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.adapters import Lake
 from quern.functions.scalars import aging_bucket, bins, bucket, by_rules, mean, money, round2, safe_pct, total, year_month
 from quern.operators import rows
+from quern.operators.quantiles import exact_quantiles
 from quern.queries.base import dsum, pct, query, r2
 
 PRICE = "cast(l_extendedprice as decimal(12,2))"
@@ -96,8 +97,7 @@ def agg_histogram(lake: Lake) -> DataFrame:
 
 @query("agg_quartiles", "select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as q2, quantile_cont(value, 0.75) as q3 from events group by 1")
 def agg_quartiles(lake: Lake) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return lake.events.groupBy("event_type").agg(q.alias("q")).select("event_type", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))
+    return exact_quantiles(lake.events, ["event_type"], "value", [0.25, 0.5, 0.75])
 
 
 @query("agg_bool_mean", "select avg(case when gender = 'F' then 1.0::double else 0 end) as female, avg(case when age >= 65 then 1.0::double else 0 end) as old from patients")

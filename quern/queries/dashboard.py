@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.adapters import Lake
 from quern.functions.scalars import aging_bucket, bins, bucket, by_rules, mean, round2, safe_pct, total, year_month
 from quern.operators import rows
+from quern.operators.quantiles import exact_quantiles
 from quern.queries.analytics import AGE_LABELS, AGES, ORDERED
 from quern.queries.base import dsum, pct, query, r2
 from quern.queries.gold import DENIED, FACT, fact, had
@@ -198,8 +199,7 @@ def lab_flag_mix(lake: Lake) -> DataFrame:
 @query("lab_top_box", "with t as (select test_name from labs group by 1 order by count(*) desc, test_name limit 3) select test_name, quantile_cont(cast(result_value as double), 0.25) as q1, quantile_cont(cast(result_value as double), 0.5) as q2, quantile_cont(cast(result_value as double), 0.75) as q3 from labs where test_name in (select test_name from t) group by 1")
 def lab_top_box(lake: Lake) -> DataFrame:
     top = rows.top_k(lake.labs.groupBy("test_name").agg(F.count("*").alias("n")), "n", 3, "test_name")
-    q = F.percentile(F.col("result_value").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return lake.labs.join(F.broadcast(top), "test_name", "left_semi").groupBy("test_name").agg(q.alias("q")).select("test_name", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))
+    return exact_quantiles(lake.labs.join(F.broadcast(top), "test_name", "left_semi"), ["test_name"], "result_value", [0.25, 0.5, 0.75])
 
 
 @query("appt_totals", f"select count(*) as n, {pct(had('COMPLETED'), 'count(*)')} as completed_pct, {pct(had('CANCELLED'), 'count(*)')} as cancelled_pct, {pct(had('NO SHOW'), 'count(*)')} as no_show_pct from appointments")

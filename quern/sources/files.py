@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.rows import safe_union
+from quern.sources.split_csv import CSV, split_records
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -15,9 +16,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def scan_csv_all_string(spark: SparkSession, path: str) -> DataFrame:
-    """Header, quoted line breaks, doubled quotes, no inference: every column is text."""
-    return spark.read.options(header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8").csv(path)
+def scan_csv_all_string(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
+    """Header, quoted line breaks, doubled quotes, no inference: every column is text.
+
+    split: a large file is read by many tasks (split_csv.py), unless a field has quotes that neither enclose it nor are
+    doubled; then, and without split, each file is one task.
+    """
+    whole = spark.read.options(header=True, inferSchema=False, multiLine=True, **CSV).csv(path)
+    return (split_records(spark, path, whole.schema) if split else None) or whole
 
 
 def as_strings(df: DataFrame) -> DataFrame:
