@@ -1,7 +1,15 @@
-"""Operator 3: text quality by Bradley-Terry ranking: pairs of a better and a worse text, logistic loss on feature differences."""
+"""Operator 3: text quality by Bradley-Terry ranking: pairs of a better and a worse text, logistic loss on feature differences.
+
+Preferences come from the labels (a text of label 1 before one of label 0), and from the texts themselves: some of label 1
+are preferred to copies whose letters are shuffled inside of words, or drawn at random, so that gibberish ranks below prose
+also where no labelled text is gibberish. The cut is taken from the labelled texts alone.
+"""
 
 from __future__ import annotations
 
+import random
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +27,11 @@ BITS = 16
 SHAPES = ("all capitals", "two symbols", "a bar", "two exclamation marks", "same as the word before", "in a pair of words seen before")
 """Shares of the words; square roots, so that small shares count."""
 RARE = 2 << BITS
-"""The column of the share of runs of three characters whose bin hardly any other text of the sample has."""
+"""The column of how unusual a text's runs of three characters are among texts of label 1, on average: 0 to 1."""
 COLUMNS = RARE + 1 + len(SHAPES)
 FEW = 3
-"""A bin of fewer texts of the sample, besides the text itself, is one that hardly any other text has."""
+EVERY = 4
+"""One of so many texts of label 1 gets a spoilt copy."""
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _BAR = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = True
@@ -80,11 +89,12 @@ def shapes(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarr
 class Ranking:
     """score = sigmoid(scale * (weights . features - cut)), shifted so that the cut gets `at`.
 
-    weights: 2 ** BITS of words, as many of runs of three characters, one of rare runs, and one for each of SHAPES.
+    weights: 2 ** BITS of words, as many of runs of three characters, one of unusual runs, and one for each of SHAPES.
+    unusual: of each bin of runs, 0 to 1.
     """
 
     weights: np.ndarray
-    known: np.ndarray
+    unusual: np.ndarray
     cut: float
     scale: float
     at: float
@@ -92,7 +102,7 @@ class Ranking:
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         n = len(offs) - 1
         words, runs, of_words, of_runs, counts, pairs = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, len(SHAPES) - 1)), [np.zeros(0, np.uint64)]
-        by_run = self.weights[1 << BITS : RARE] + self.weights[RARE] * ~self.known
+        by_run = self.weights[1 << BITS : RARE] + self.weights[RARE] * self.unusual
         for text, bins, run_text, run_bins, flags, both in read(data, offs):
             words += np.bincount(text, minlength=n)
             runs += np.bincount(run_text, minlength=n)
@@ -101,7 +111,8 @@ class Ranking:
             for k, flag in enumerate(flags):
                 counts[:, k] += np.bincount(text, flag, n)
             pairs.append(both)
-        total = of_words / np.maximum(words, 1) + of_runs / np.maximum(runs, 1) + shapes(words, counts, np.concatenate(pairs)) @ self.weights[RARE + 1 :]
+        # a text without runs is as unusual as can be
+        total = of_words / np.maximum(words, 1) + of_runs / np.maximum(runs, 1) + self.weights[RARE] * (runs == 0) + shapes(words, counts, np.concatenate(pairs)) @ self.weights[RARE + 1 :]
         return sigmoid(self.scale * (total - self.cut) + np.log(self.at / (1 - self.at)))
 
 
@@ -126,45 +137,66 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return column[order].astype(np.int32), value[order].astype(np.float32), np.append(0, np.cumsum(np.bincount(text, minlength=n)))
 
 
-def fit(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None, *, at: float, seed: int = 0) -> Ranking:
+def unusual(counts: np.ndarray, n: int) -> np.ndarray:
+    """How unusual bins are that so many of n texts have: 1 for one that none has, 0 from FEW texts or FEW in a thousand on.
+
+    Not graded beyond that, as a language that few texts have is not worse.
+    """
+    return np.clip(1 - np.maximum(counts, 0) / max(FEW, FEW * n / 1000), 0, 1)
+
+
+def fit(columns: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None, *, at: float, seed: int = 0, made: np.ndarray | None = None) -> Ranking:
     """Bradley-Terry weights of the sample, and the cut: the quantile of its scores at the share of label 0.
 
-    So as many texts of the sample are cut as are marked. rows: all texts, in a fixed order.
+    So as many texts of the sample are cut as are marked. rows: all texts, in a fixed order. made: which are spoilt copies.
     """
-    n, bad = len(labels), int((labels == 0).sum())
+    real = np.ones(len(labels), bool) if made is None else ~made
+    n, bad, good = int(real.sum()), int((labels[real] == 0).sum()), int((labels == 1).sum())
     run = (columns >= 1 << BITS) & (columns < RARE)
-    known = np.bincount(columns[run] - (1 << BITS), minlength=1 << BITS) > FEW
+    of = np.repeat(np.arange(len(labels)), np.diff(ends))
+    own = columns[run] - (1 << BITS)
+    counts = np.bincount(own[labels[of[run]] == 1], minlength=1 << BITS)
     if bad in (0, n):
         share = np.clip((n - bad) / (n + 1), 1e-6, 1 - 1e-6)
-        return Ranking(np.zeros(COLUMNS), known, 0.0, 1.0, float(share))
-    share = np.where(run, values, 0)
-    share[run] *= ~known[columns[run] - (1 << BITS)]
-    sums = np.append(0.0, np.cumsum(share, dtype=float))
-    values[columns == RARE] = sums[ends[1:]] - sums[ends[:-1]]
-    del share, sums, run
+        return Ranking(np.zeros(COLUMNS), unusual(counts, good), 0.0, 1.0, float(share))
+    # a text of label 1 is measured by the others
+    found = np.where(labels[of[run]] == 1, unusual(counts - 1, good)[own], unusual(counts, good)[own])
+    share = np.bincount(of[run], found * values[run], len(labels))
+    values[columns == RARE] = np.where(np.bincount(of[run], minlength=len(labels)) > 0, share, 1.0)
+    del share, found, run, own, of
     rng = np.random.default_rng(seed)
-    parts = batches(columns, ends, (np.arange(n) if rows is None else rows)[rng.permutation(n)], 512, values)
-    w, scores = weights(parts, labels, rng), np.zeros(n)
+    parts = batches(columns, ends, (np.arange(len(labels)) if rows is None else rows)[rng.permutation(len(labels))], 512, values)
+    w, scores = weights(parts, labels, ~real, rng), np.zeros(len(labels))
     for b in parts:
         scores[b.rows] = b.by_row(w[b.columns])
-    return Ranking(w, known, float(np.quantile(scores, bad / n)), float(4 / (scores.std() + 1e-6)), at)
+    scores = scores[real]
+    return Ranking(w, unusual(counts, good), float(np.quantile(scores, bad / n)), float(4 / (scores.std() + 1e-6)), at)
 
 
-def weights(parts: list[Batch], labels: np.ndarray, rng: np.random.Generator, *, epochs: int = 15, pairs: int = 8, rate: float = 2.0) -> np.ndarray:
+def spoilt(text: str) -> str:
+    """A text with the letters of each word shuffled or, for every other text, drawn at random; the same for each run."""
+    rng = random.Random(zlib.crc32(text.encode()))
+    drawn = rng.random() < 0.5
+    letters = lambda w: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(w)) if drawn else rng.sample(w, len(w)))
+    return re.sub(r"[^\W\d_]+", lambda m: letters(m[0]), text)
+
+
+def weights(parts: list[Batch], labels: np.ndarray, made: np.ndarray, rng: np.random.Generator, *, epochs: int = 15, pairs: int = 8, rate: float = 2.0) -> np.ndarray:
     """From batches of texts, in each of which drawn pairs of a text of either label, `pairs` for each text, are compared.
 
     A pair's loss is -log sigmoid(weights . (features of the better - features of the worse)). A column moves at the
     square of the speed of its evidence, so few columns do much, and the others what these leave. The evidence of hashed
-    columns, and that of the others, is measured by what the best of as many would reach by chance.
+    columns, and that of the others, is measured by what the best of as many would reach by chance. Spoilt copies take part
+    in pairs of their own, from which only the weight of unusual runs learns: the others are what labels say.
     """
-    w, n = np.zeros(COLUMNS), len(labels)
+    w, n = np.zeros(COLUMNS), int((~made).sum())
     moments = np.zeros((2, 2, COLUMNS))  # sums of values and of their squares, by label
     for b in parts:
         for label in (0, 1):
-            own = (labels[b.rows] == label)[b.at] * b.values
+            own = ((labels[b.rows] == label) & ~made[b.rows])[b.at] * b.values
             moments[label, 0, b.columns] += np.bincount(b.of, own, len(b.columns))
             moments[label, 1, b.columns] += np.bincount(b.of, own * b.values, len(b.columns))
-    counts = np.array([np.sum(labels == 0), np.sum(labels == 1)])[:, None]
+    counts = np.array([np.sum((labels == 0) & ~made), np.sum((labels == 1) & ~made)])[:, None]
     means = moments[:, 0] / np.maximum(counts, 1)
     spread = np.maximum(moments[:, 1] / np.maximum(counts, 1) - means**2, 0)
     width = np.maximum(moments[:, 1].sum(0) / n - (moments[:, 0].sum(0) / n) ** 2, 1e-12)
@@ -173,39 +205,46 @@ def weights(parts: list[Batch], labels: np.ndarray, rng: np.random.Generator, *,
     for group in (few, ~few):  # what the best of so many columns is expected to reach by chance
         z[group] /= np.sqrt(2 * np.log(max(np.count_nonzero(moments[:, 0, group].any(0)), 2)))
     speed = evidence(z, 1.0) ** 2 / width
+    strange = np.where(np.arange(COLUMNS) == RARE, 4.0, 0.0)
     for t in range(epochs):
         for i in rng.permutation(len(parts)):
             b = parts[i]
-            up, down = np.flatnonzero(labels[b.rows] == 1), np.flatnonzero(labels[b.rows] == 0)
-            if not len(up) or not len(down):
-                continue
-            s = b.by_row(w[b.columns])
-            i, j = (rng.choice(x, pairs * len(b.rows)) for x in (up, down))
-            g = sigmoid(s[j] - s[i]) / len(i)
-            w[b.columns] += rate / (1 + t / 5) * speed[b.columns] * b.by_column(np.bincount(i, g, len(s)) - np.bincount(j, g, len(s)))
+            up, copies = np.flatnonzero(labels[b.rows] == 1), np.flatnonzero(made[b.rows])
+            for down, pace in ((np.flatnonzero((labels[b.rows] == 0) & ~made[b.rows]), speed), (copies, strange)):
+                if len(up) and len(down):
+                    s = b.by_row(w[b.columns])
+                    i, j = (rng.choice(x, pairs * len(b.rows)) for x in (up, down))
+                    g = sigmoid(s[j] - s[i]) / len(i)
+                    w[b.columns] += rate / (1 + t / 5) * pace[b.columns] * b.by_column(np.bincount(i, g, len(s)) - np.bincount(j, g, len(s)))
     return w
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = 8_000, at: float = 0.3, key: str = "doc_id", text: str = "text") -> Ranking:
-    """A ranking from at most `rows` labelled rows outside the held-out fold; only their features come to the driver, sorted."""
+    """A ranking from at most `rows` labelled rows outside the held-out fold, and spoilt copies of some of them.
+
+    Only their features come to the driver, sorted, so that reruns agree.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in portions(*text_bytes(batch.column("text"))):
-                columns, values, ends = features(data, offs)
-                bounds = pa.array(ends.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi], batch.column("label")[lo:hi], pa.ListArray.from_arrays(bounds, pa.array(columns)), pa.ListArray.from_arrays(bounds, pa.array(values.astype(np.float32)))], ["key", "label", "columns", "values"])
+            more = [k for k, (x, t) in enumerate(zip(batch.column("label").to_pylist(), batch.column("text"), strict=True)) if x == 1 and t.is_valid and zlib.crc32(t.as_buffer()) % EVERY == 0]
+            copies = pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(more, pa.int64())), pa.array([spoilt(batch.column("text")[k].as_py()) for k in more], pa.string()), pa.array([0] * len(more), pa.int32())], ["key", "text", "label"])
+            for of, kind in ((batch, False), (copies, True)):
+                for lo, hi, data, offs in portions(*text_bytes(of.column("text"))):
+                    columns, values, ends = features(data, offs)
+                    bounds = pa.array(ends.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([of.column("key")[lo:hi], pa.array([kind] * (hi - lo), pa.bool_()), of.column("label")[lo:hi], pa.ListArray.from_arrays(bounds, pa.array(columns)), pa.ListArray.from_arrays(bounds, pa.array(values.astype(np.float32)))], ["key", "made", "label", "columns", "values"])
 
     chosen = sample(docs, labels, label, rows, key, text)
-    used = chosen.mapInArrow(run, f"key {chosen.schema['key'].dataType.simpleString()}, label int, columns array<int>, values array<float>")
-    found = used.groupBy("key").agg(F.max("label").alias("label"), F.min(F.struct("columns", "values")).alias("x")).select(F.xxhash64("key").alias("k"), "label", "x.columns", "x.values").toArrow()
+    used = chosen.mapInArrow(run, f"key {chosen.schema['key'].dataType.simpleString()}, made boolean, label int, columns array<int>, values array<float>")
+    found = used.groupBy("key", "made").agg(F.max("label").alias("label"), F.min(F.struct("columns", "values")).alias("x")).select(F.xxhash64("key").alias("k"), "made", "label", "x.columns", "x.values").toArrow()
     if not len(found):
         return fit(np.zeros(0, np.int32), np.zeros(0), np.zeros(1, np.int64), np.zeros(0), at=at)
     columns, values = (found.column(c).combine_chunks() for c in ("columns", "values"))
     ends = columns.offsets.to_numpy().astype(np.int64)
-    k, own = found.column("k").to_numpy(), found.column("label").to_numpy()
-    ranking = fit(columns.flatten().to_numpy(), values.flatten().to_numpy().copy(), ends - ends[0], own, np.lexsort((own, k)), at=at)
+    k, made, own = (found.column(c).to_numpy() for c in ("k", "made", "label"))
+    ranking = fit(columns.flatten().to_numpy(), values.flatten().to_numpy().copy(), ends - ends[0], own, np.lexsort((own, made, k)), at=at, made=made)
     del found, columns, values
     pa.default_memory_pool().release_unused()
     return ranking
@@ -214,8 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: i
 def score(docs: DataFrame, ranking: Ranking, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: key, held_out, score, predicted (1 if score >= threshold), and the columns in keep.
 
-    Only the text is an input. Every text is read whole, in portions. Null or empty text has all features 0, and the
-    score of that. Repeated rows and null keys: a row each. Empty table: no rows. No labels, or labels of one kind:
+    Only the text is an input. Every text is read whole, in portions. Null or empty text has no words, and counts as
+    wholly unusual. Repeated rows and null keys: a row each. Empty table: no rows. No labels, or labels of one kind:
     every score is the share of label 1.
     """
 

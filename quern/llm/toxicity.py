@@ -18,6 +18,8 @@ BITS = 28
 """Terms are hashed into 2 ** BITS bins."""
 PREFIXES = (4, 5)
 """Besides whole words, the first so many bytes of longer words are terms, for inflected forms."""
+DECAYS = (0.001, 0.01)
+"""Of which fit() takes that with the smaller loss on a fifth of the sample."""
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 assert not (_INSIDE & SPACE).any()
@@ -96,15 +98,16 @@ def directions(parts: list[Batch], residual: np.ndarray, width: int, k: int, rng
 
 
 def fit(
-    bins: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None, *, factors: int = 4, alone: int = 20, joint: int = 20, rate: float = 4.0, pair_rate: float = 1.0, size: int = 256, pair_rows: int = 4096, seed: int = 0
+    bins: np.ndarray, ends: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None, *, factors: int = 2, alone: int = 30, joint: int = 10, rate: float = 4.0, pair_rate: float = 0.07, spread: float = 0.01, size: int = 256, pair_rows: int = 4096, seed: int = 0
 ) -> Machine:
     """Logistic loss, both labels of equal weight, by gradient steps over batches of texts; each step moves only the columns of its batch.
 
     Text i has the distinct bins [ends[i], ends[i + 1]); rows: all texts, in a fixed order. All bins are trained. First the weights
-    alone, each at the speed of its evidence. Then factors start in the directions in which what is left over goes with
-    pairs of columns (directions(), of up to pair_rows texts), as far as these are stronger than where the residuals are
-    dealt to the texts at random, and weights and factors are trained together. A column with less than a fiftieth of the
-    largest part in every direction keeps factors of 0.
+    alone, each at the speed of its evidence. Then every bin has small random factors, and to these come the directions in
+    which what is left over goes with pairs of columns (directions(), of up to pair_rows texts), where they are stronger than
+    with residuals dealt to the texts at random. Weights and factors are trained together: a factor's step is the smaller the more it was asked to move before, and its decay is that of DECAYS which
+    does best on a fifth of the sample that is left out for the choice. Terms that go with a label only together gain by
+    each other's factors.
     """
     rng, n, positives = np.random.default_rng(seed), len(labels), int(labels.sum())
     prior = np.clip(positives / (n + 1), 1e-6, 1 - 1e-6)
@@ -124,51 +127,69 @@ def fit(
             counts[label, p.columns] += p.by_column((labels[p.rows] == label).astype(float))
     p, q = ((counts[label] + 0.5) / (m + 1) for label, m in ((1, positives), (0, n - positives)))
     speed = evidence(np.abs(p - q) / np.sqrt(p * (1 - p) / positives + q * (1 - q) / (n - positives)))
-    bias, w, v, pair_speed = -1.0, np.zeros(width), np.zeros((width, factors)), np.zeros(width)
-    pairs: list[Batch] = []  # like parts, of the columns that have factors
+    bias, w, v, pair_speed = -1.0, np.zeros(width), np.zeros((width, factors)), np.sqrt(speed)
 
-    def raw(b: Batch, own: Batch | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    def raw(b: Batch, pairs: bool) -> tuple[np.ndarray, list[np.ndarray]]:
         """The sum before the sigmoid, and each text's sum of each factor."""
         total, sums = bias + b.by_row(w[b.columns]), []
-        for f in range(factors if own else 0):
-            x = v[own.columns, f]
-            sums.append(own.by_row(x))
-            total = total + (sums[-1] ** 2 - own.by_row(x * x)) / 2
+        for f in range(factors if pairs else 0):
+            x = v[b.columns, f]
+            sums.append(b.by_row(x))
+            total = total + (sums[-1] ** 2 - b.by_row(x * x)) / 2
         return total, sums
 
-    def epoch(step: float, pair_step: float) -> None:
+    def loss(b: Batch) -> float:
+        p = np.clip(sigmoid(raw(b, True)[0]), 1e-9, 1 - 1e-9)
+        return float(-(weight[b.rows] * np.where(labels[b.rows] == 1, np.log(p), np.log(1 - p))).sum())
+
+    def epoch(some: list[Batch], step: float, pair_step: float, decay: float) -> None:
         nonlocal bias
-        for i in rng.permutation(len(parts)):
-            b, own = parts[i], pairs[i] if pairs else None
-            total, sums = raw(b, own)
+        for i in rng.permutation(len(some)):
+            b = some[i]
+            total, sums = raw(b, pair_step > 0)
             g = weight[b.rows] * (sigmoid(total) - labels[b.rows]) / len(b.rows)
-            every = own.by_column(g) if own else None
+            every = b.by_column(g) if sums else None
             for f, s in enumerate(sums):
-                pull = own.by_column(g * s) - every * v[own.columns, f]
-                v[own.columns, f] -= pair_step * pair_speed[own.columns] * np.clip(pull, -1, 1)
+                x = v[b.columns, f]
+                pull = b.by_column(g * s) - every * x + decay * x * np.abs(every)
+                pulled[b.columns, f] += pull * pull
+                v[b.columns, f] -= pair_step * pair_speed[b.columns] * pull / np.sqrt(pulled[b.columns, f] + 1e-12)
             w[b.columns] -= step * speed[b.columns] * b.by_column(g)
             bias -= step / 10 * g.sum()
 
     for t in range(alone):
-        epoch(rate / (1 + t / 5), 0.0)
+        epoch(parts, rate / (1 + t / 5), 0.0, 0.0)
     some = parts[: max(pair_rows // size, 1)]
     residual = np.zeros(n)
     for b in some:
-        residual[b.rows] = weight[b.rows] * (labels[b.rows] - sigmoid(raw(b, None)[0]))
-    dealt = residual.copy()
-    of_some = np.concatenate([b.rows for b in some])
+        residual[b.rows] = weight[b.rows] * (labels[b.rows] - sigmoid(raw(b, False)[0]))
+    dealt, of_some = residual.copy(), np.concatenate([b.rows for b in some])
     dealt[of_some] = rng.permutation(residual[of_some])
     values, u = directions(some, residual, width, factors, rng)
     u = u * (values > max(directions(some, dealt, width, factors, rng)[0].max(), 0))
     u = np.where(np.abs(u) < np.abs(u).max(0) / 50, 0.0, u)
     if u.any():
-        pairs = [b.only(u.any(1)) for b in parts]
-        pair_speed = (np.abs(u) / np.maximum(np.abs(u).max(0), 1e-12)).max(1) ** 2
-        speed = np.maximum(speed, pair_speed / 4)  # what tells in pairs needs a weight beside them
-        spread = np.concatenate([np.stack([b.by_row(u[b.columns, f]) ** 2 - b.by_row(u[b.columns, f] ** 2) for f in range(factors)], 1) for b in some]).std(0) / 2
-        v = u * np.sqrt(0.25 / (spread + 1e-12))
-    for t in range(joint):
-        epoch(rate / (1 + t / 5), pair_rate / (1 + t / 5))
+        found = (np.abs(u) / np.maximum(np.abs(u).max(0), 1e-12)).max(1)
+        pair_speed = np.maximum(pair_speed / 20, found**2)  # these lead, the others follow
+        speed = np.maximum(speed, found**2 / 4)  # what tells in pairs needs a weight beside them
+        spans = np.concatenate([np.stack([b.by_row(u[b.columns, f]) ** 2 - b.by_row(u[b.columns, f] ** 2) for f in range(factors)], 1) for b in some]).std(0) / 2
+        u = u * np.sqrt(0.25 / (spans + 1e-12))
+    start = bias, w.copy(), u + rng.normal(scale=spread, size=(width, factors))
+    pulled = np.zeros((width, factors))  # squares of the steps that each factor has been asked for
+    own, apart = parts[: -max(len(parts) // 5, 1)], parts[-max(len(parts) // 5, 1) :]
+
+    def jointly(some: list[Batch], decay: float) -> None:
+        nonlocal bias, w, v
+        bias, w, v = start[0], start[1].copy(), start[2].copy()
+        pulled[:] = 0
+        for t in range(joint * (2 if u.any() else 1)):  # pairs that words alone do not tell take longer
+            epoch(some, rate / (1 + t / 5), pair_rate / (1 + t / 5), decay)
+
+    losses = []
+    for decay in DECAYS if own else ():
+        jointly(own, decay)
+        losses.append(sum(loss(b) for b in apart))
+    jointly(parts, DECAYS[int(np.argmin(losses))] if losses else DECAYS[-1])
     return Machine(bins, float(bias), w.astype(np.float32), v.astype(np.float32))
 
 

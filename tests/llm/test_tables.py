@@ -480,3 +480,40 @@ def test_registered_queries_without_sql(spark, name):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= {*out.columns}
+
+
+SOME = "/root/testdata/sf0.01"
+
+
+def test_factors_of_given_documents_change_scores(spark):
+    """On sf0.01 terms have factors, and a text with an insult and a mention scores otherwise than by its weights alone."""
+    d, labels = (spark.read.parquet(f"{SOME}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(d, labels)
+    assert len(machine.bins) > 10_000 and np.mean(machine.factors.any(1)) > 0.9
+    toxic = [r.text for r in d.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").limit(10).collect()]
+    data, offs = spans.text_bytes(pa.array(toxic))
+    both = machine.scores(*toxicity.terms(data, offs), len(toxic))
+    alone = toxicity.Machine(machine.bins, machine.bias, machine.weights, machine.factors * 0).scores(*toxicity.terms(data, offs), len(toxic))
+    assert np.abs(both - alone).max() > 0.01 and both.mean() > alone.mean()
+
+
+def test_gibberish_is_refused_and_prose_of_every_language_is_not(spark):
+    d, labels = (spark.read.parquet(f"{SOME}/{t}.parquet") for t in ("documents", "labels"))
+    ranking = quality.train(d, labels)
+    rng = np.random.default_rng(0)
+    shuffled = lambda w: "".join(rng.permutation([*w]))
+    drawn = lambda w: "".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], len(w)))
+    for lang in ("en", "de", "fr", "es"):
+        good = [r.text for r in d.where(F.col("lang") == lang).join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").limit(8).collect()]
+        prose = ranking.scores(*spans.text_bytes(pa.array(good)))
+        assert np.mean(prose >= 0.3) > 0.8, lang
+        for spoil in (shuffled, drawn):
+            bad = [" ".join(map(spoil, t.split()[:80])) for t in good]
+            assert (ranking.scores(*spans.text_bytes(pa.array(bad))) < 0.3).all(), lang
+    assert (ranking.scores(*spans.text_bytes(pa.array(["fhqw zxcv lkjh qpwo mnbv trew asdf", ""]))) < 0.3).all()
+
+
+def test_spoilt_copies_are_the_same_in_each_run():
+    texts = ["Two words, 12 of them: élan.", "Two words, 12 of them: élan!", ""]
+    assert [quality.spoilt(t) for t in texts] == [quality.spoilt(t) for t in texts]
+    assert all(len(quality.spoilt(t)) == len(t) and quality.spoilt(t)[9:13] == t[9:13] for t in texts) and quality.spoilt(texts[0]) != texts[0]
