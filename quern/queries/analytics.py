@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.adapters import Lake
 from quern.functions.scalars import aging_bucket, bins, bucket, by_rules, mean, money, round2, safe_pct, total, year_month
-from quern.operators import rows
+from quern.operators import rows, sketches
 from quern.operators.quantiles import exact_quantiles
 from quern.queries.base import dsum, pct, query, r2
 
@@ -100,6 +100,16 @@ def agg_quartiles(lake: Lake) -> DataFrame:
     return exact_quantiles(lake.events, ["event_type"], "value", [0.25, 0.5, 0.75])
 
 
+@query("agg_distinct_sketch", "select event_type, count(distinct user_id) as users, true as within from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-02-01' group by 1")
+def agg_distinct_sketch(lake: Lake) -> DataFrame:
+    """Distinct users of a month from sketches by month, beside the exact count, and whether they agree within the stated error."""
+    kept = sketches.monthly(lake.events, ["event_type"], "ts", "user_id")
+    found = sketches.distinct_in(kept, ["event_type"], "2024-01", "2024-01")
+    month = lake.events.where("ts >= timestamp_ntz '2024-01-01' and ts < timestamp_ntz '2024-02-01'")
+    exact = month.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    return exact.join(found, "event_type").select("event_type", "users", (F.abs(F.col("distinct") - F.col("users")) <= sketches.error() * F.col("users")).alias("within"))
+
+
 @query("agg_bool_mean", "select avg(case when gender = 'F' then 1.0::double else 0 end) as female, avg(case when age >= 65 then 1.0::double else 0 end) as old from patients")
 def agg_bool_mean(lake: Lake) -> DataFrame:
     return lake.patients.agg(F.avg((F.col("gender") == "F").cast("double")).alias("female"), F.avg((F.col("age") >= 65).cast("double")).alias("old"))

@@ -80,3 +80,39 @@ def test_prefix_edges(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "ab"), (4, "a"), (5, None), (6, "abd"), (7, ""), (8, "abc")], "k int, v string")
     assert sorted(map(tuple, dq.truncated(df, "k", "v", 2, 2).collect())) == [(3, "ab", "abc")]
     assert dq.truncated(df.limit(0), "k", "v", 2, 2).count() == 0
+
+
+def test_sketches_add_up(spark):
+    """Months merge to years within the stated error, batches that overlap count once, and small counts are near exact."""
+    from quern.operators import sketches
+
+    df = spark.range(300_000).select((F.col("id") % 3).alias("g"), F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 700).cast("int")).alias("day"), (F.col("id") * 7 % 90_000).alias("v"))
+    kept = sketches.monthly(df.where("id % 2 = 0"), ["g"], "day", "v")
+    kept = sketches.added(kept, sketches.monthly(df.where("id % 2 = 1 or id % 5 = 0"), ["g"], "day", "v"), ["g"])
+    assert kept.count() == 3 * 23
+    for first, last, where in ((None, None, "true"), ("2023-03", "2023-12", "day between '2023-03-01' and '2023-12-31'"), ("2024-01", "2024-01", "day between '2024-01-01' and '2024-01-31'")):
+        exact = {r.g: r.n for r in df.where(where).groupBy("g").agg(F.count_distinct("v").alias("n")).collect()}
+        found = {r.g: r.distinct for r in sketches.distinct_in(kept, ["g"], first, last).collect()}
+        assert found.keys() == exact.keys() and all(abs(found[g] - n) <= sketches.error() * n for g, n in exact.items())
+    few = sketches.distinct_in(sketches.monthly(df.limit(0), ["g"], "day", "v"), ["g"])
+    assert few.count() == 0
+
+
+def test_digest_trees_give_the_classes_of_a_full_join(spark):
+    """New, changed, deleted and equal keys, null hashes and keys, revived rows; only unequal buckets reach the join."""
+    from quern.operators import merge
+
+    rng = random.Random(4)
+    old = [(k, f"h{rng.randint(0, 3)}" if rng.random() < 0.95 else None) for k in range(3000)] + [(None, "x")]
+    new = [(k, h if rng.random() < 0.99 else rng.choice(["new", None])) for k, h in old if k is not None and rng.random() < 0.99] + [(k, "n") for k in range(3000, 3040)] + [(None, "x")]
+    t, b = (spark.createDataFrame(x, "k long, _row_hash string") for x in (old, new))
+    of, nf = ({k: h for k, h in x if k is not None} for x in (old, new))
+    want = [(k, "D" if k not in nf else "I" if k not in of else "N" if of[k] == nf[k] else "U") for k in of | nf] + [(None, "I"), (None, "D")]
+    assert sorted(map(tuple, merge.fdc_classes(t, b, ["k"]).collect()), key=repr) == sorted(want, key=repr)
+    equal, some, _ = merge.parted(t, b, ["k"], "_row_hash")
+    assert equal.count() > 2500 and some.count() < 400
+    assert merge.unequal(*(merge.digests(x, ["k"], "_row_hash") for x in (t, t))).count() == 0
+    once = merge.fdc_merge(t.where("k is not null"), b.where("k is not null"), ["k"])
+    assert {r.k: r._is_deleted for r in once.collect()} == {k: k not in nf for k in of | nf}
+    again = {r.k: (r._row_hash, r._is_deleted) for r in merge.fdc_merge(once, t.where("k is not null"), ["k"]).collect()}
+    assert again == {k: (of.get(k, nf.get(k)), k not in of) for k in of | nf}
