@@ -101,7 +101,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
 
     Scores are exact inner products in double precision. Every vector is in the index; a search ends by its radius, so a
     query whose vectors are all equally near verifies them all. On the vectors of the given tables the recall against
-    brute force is in the README. Ties go to the smaller id; a query's own id is not its candidate; all candidates, if
+    brute force is in the README. How many balls and blocks there are goes by the number of queries, and what a search has
+    verified when it ends by the floor it began with, so the few neighbours that are missed differ with the blocks; the
+    scores of those found do not. Ties go to the smaller id; a query's own id is not its candidate; all candidates, if
     there are fewer than k. Null ids, null or zero vectors and vectors with a null or non-finite component take no part,
     nor do vectors of another length than the query's. Components of any finite size take part; a score that overflows
     is infinite, and one that is no number (infinities of both signs) is no find. Rows that are equal in id and vector
