@@ -308,7 +308,7 @@ def stream_dedup(lake: Lake) -> DataFrame:
 def stream_upsert(lake: Lake) -> DataFrame:
     root = new_folder(lake.spark, "stream")
     store = SnapshotStore(lake.spark, root)
-    jobs.upsert_stream(stream(lake).select("user_id", "ts", "value", "event_id"), store, TableSpec("users", "user_id", "ts"), f"{root}/state")
+    jobs.upsert_stream(stream(lake).select("user_id", "ts", "value", "event_id"), store, TableSpec("users", "user_id", "ts", buckets=8), f"{root}/state")
     return store.read("users", ["user_id", "event_id", "value"])
 
 
@@ -317,7 +317,7 @@ def stream_kpi_window(lake: Lake) -> DataFrame:
     root = new_folder(lake.spark, "stream")
     store = SnapshotStore(lake.spark, root)
     counts = jobs.windowed_counts(stream(lake, "ts"), "ts", "1 day", ["event_type"], "value").withColumn("key", F.concat_ws("|", F.col("window_start").cast("string"), "event_type"))
-    jobs.upsert_stream(counts, store, TableSpec("daily", "key"), f"{root}/state", "update")
+    jobs.upsert_stream(counts, store, TableSpec("daily", "key", buckets=8), f"{root}/state", "update")
     return store.read("daily").select(F.to_date("window_start").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
