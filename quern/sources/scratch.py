@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -26,5 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet. Whoever reads it last deletes it, or job() does."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+_FOLDERS: list[str] = []
+"""Of this driver, in the order of their making."""
+
+
+@contextlib.contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the folders that were made in it: for a job that writes its results elsewhere before it ends.
+
+    Results of operators are read from such folders when they are used, so they can't be used afterwards.
+    """
+    first = len(_FOLDERS)
+    try:
+        yield
+    finally:
+        for folder in _FOLDERS[first:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _FOLDERS[first:]

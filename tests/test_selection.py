@@ -116,3 +116,17 @@ def test_digest_trees_give_the_classes_of_a_full_join(spark):
     assert {r.k: r._is_deleted for r in once.collect()} == {k: k not in nf for k in of | nf}
     again = {r.k: (r._row_hash, r._is_deleted) for r in merge.fdc_merge(once, t.where("k is not null"), ["k"]).collect()}
     assert again == {k: (of.get(k, nf.get(k)), k not in of) for k in of | nf}
+
+
+def test_a_job_leaves_no_folders_behind(spark, tmp_path):
+    import os
+
+    from quern.sources import scratch
+
+    df = spark.createDataFrame([("g", float(k)) for k in range(500)], "g string, v double")
+    before = {*os.listdir(scratch.shared_folder(spark))}
+    with scratch.job(spark):
+        exact_quantiles(df, ["g"], "v", [0.5], 50).write.parquet(f"{tmp_path}/out")
+        assert {*os.listdir(scratch.shared_folder(spark))} - before
+    assert {*os.listdir(scratch.shared_folder(spark))} - before == set()
+    assert spark.read.parquet(f"{tmp_path}/out").first().q1 == 249.5
