@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.fitting import Batch, batches, evidence, sigmoid
-from quern.llm.labelled import sample, scored
+from quern.llm.labelled import give_back, sample, scored
 from quern.llm.spans import LOWER, SPACE, blocks, hash_runs, lean, mix, portions, text_bytes, words_of
 
 BITS = 16
@@ -219,7 +219,7 @@ def weights(parts: list[Batch], labels: np.ndarray, made: np.ndarray, rng: np.ra
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = 8_000, at: float = 0.3, key: str = "doc_id", text: str = "text") -> Ranking:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = 6_000, at: float = 0.3, key: str = "doc_id", text: str = "text") -> Ranking:
     """A ranking from at most `rows` labelled rows outside the held-out fold, and spoilt copies of some of them.
 
     Only their features come to the driver, sorted, so that reruns agree.
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: i
     k, made, own = (found.column(c).to_numpy() for c in ("k", "made", "label"))
     ranking = fit(columns.flatten().to_numpy(), values.flatten().to_numpy().copy(), ends - ends[0], own, np.lexsort((own, made, k)), at=at, made=made)
     del found, columns, values
-    pa.default_memory_pool().release_unused()
+    give_back()
     return ranking
 
 

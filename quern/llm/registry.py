@@ -31,7 +31,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), rows=8_000, at=0.3), threshold=0.3)
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), rows=6_000, at=0.3), threshold=0.3)
 
 
 def op4_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), rows=8_000), threshold=0.5)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), rows=6_000), threshold=0.5)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.fitting import Batch, batches, evidence, sigmoid
-from quern.llm.labelled import sample, scored
+from quern.llm.labelled import give_back, sample, scored
 from quern.llm.spans import SPACE, blocks, hash_runs, lean, mix, portions, text_bytes, words_of
 
 BITS = 28
@@ -193,7 +193,7 @@ def fit(
     return Machine(bins, float(bias), w.astype(np.float32), v.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 8_000, key: str = "doc_id", text: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 6_000, key: str = "doc_id", text: str = "text") -> Machine:
     """A machine from at most `rows` labelled rows outside the held-out fold.
 
     All bins that these texts have are trained, none is chosen beforehand. What comes to the driver is the sample's
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     ends = lists.offsets.to_numpy().astype(np.int64) if len(found) else np.zeros(1, np.int64)
     machine = fit(lists.flatten().to_numpy(), ends - ends[0], own, np.lexsort((own, k)))
     del found, lists
-    pa.default_memory_pool().release_unused()
+    give_back()
     return machine
 
 
