@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import discard, kept
-from quern.llm.spans import fresh_seeds, hash_runs, lean, portions, text_bytes, word_hashes
+from quern.llm.spans import LOWER, fresh_seeds, hash_runs, lean, portions, text_bytes, word_hashes
 
 LONGEST = 4
 """Words of a phrase."""
@@ -163,8 +163,6 @@ def shards(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[tup
 
 def _lower(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Runs of bytes, with A-Z as a-z, as strings."""
-    from quern.llm.spans import LOWER
-
     sizes = ends - starts
     stops = np.append(0, np.cumsum(sizes))
     raw = LOWER[data[np.repeat(starts - stops[:-1], sizes) + np.arange(stops[-1])]]
