@@ -9,10 +9,12 @@ from quern.functions import scalars
 from quern.operators import clean, dq, merge, monitor, rows
 from quern.plans import star
 from quern.plans.jobs import Pipeline
+from quern.queries import QUERIES, SQL
 from quern.schema import TABLES, Rule, TableSpec, register_table
 from quern.sources import files
 from quern.sources.scratch import new_folder
 from quern.sources.store import SnapshotStore, dispatch_write
+from tests.compare import assert_same, duck
 
 
 def table(spark, data, schema):
@@ -188,6 +190,13 @@ def test_near_duplicates_group_without_a_window(spark):
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_copies_of_a_text_count_under_any_source(spark, tmp_path):
+    rows_ = [(1, "a", "en", "src1", 1), (2, "a", "de", "src2", 1), (3, "a", "en", "src1", 1), (4, None, "en", "src1", 0), (5, None, "fr", None, 0), (6, "b", "en", "src1", 1), (7, "", "en", "src1", 0)]
+    spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    assert got(QUERIES["dq09_near_duplicate"](spark, str(tmp_path))) == [(2, 1), (3, 1), (5, 4)]
+    assert_same(QUERIES["dq09_near_duplicate"](spark, str(tmp_path)), duck(str(tmp_path)), SQL["dq09_near_duplicate"])
+
+
 def test_append_leaves_a_snapshot_that_is_read_as_it_was(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     store.append("t", spark.createDataFrame([(1, "a")], "k int, p string"), ("p",))
