@@ -37,7 +37,8 @@ def safe_pct(part: Column, whole: Column) -> Column:
 
 def normalize_nulls(c: Column) -> Column:
     """Null for texts that only stand for a missing value."""
-    return F.when(~F.lower(F.trim(c)).isin(*NULL_TOKENS), c)
+    text = F.trim(c)
+    return F.when((F.octet_length(text) > max(map(len, NULL_TOKENS))) | ~F.lower(text).isin(*NULL_TOKENS), c)
 
 
 def to_int(c: Column) -> Column:

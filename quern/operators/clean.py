@@ -56,25 +56,47 @@ def repaired(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def clean_table(df: DataFrame, spec: TableSpec, as_of: str | None = None, strict: bool = True) -> DataFrame:
+def typed(spec: TableSpec, c: str, kind: str) -> Column:
+    """A column of all-string bronze: trimmed, null where it stands for one, cased, cast."""
+    value = normalize_nulls(F.trim(c)) if kind == "string" and not c.startswith("_") else F.col(c)
+    for case, columns in ((F.initcap, spec.initcap), (F.upper, spec.upper), (F.lower, spec.lower)):
+        value = case(value) if c in columns else value
+    return cast_as(value, spec.casts[c]) if c in spec.casts else value
+
+
+def repeated_keys(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """_key: hashes of the keys of more than one row, for clean_table. Keys that only share a hash may be among them."""
+    key = df.select(typed(spec, spec.key, dict(df.dtypes)[spec.key]).alias("_key")).where("_key is not null")
+    return key.groupBy(F.xxhash64("_key").alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+
+
+def clean_table(df: DataFrame, spec: TableSpec, as_of: str | None = None, strict: bool = True, repeated: DataFrame | None = None) -> DataFrame:
     """A silver table from all-string bronze, with one shuffle (by the key).
 
     strict: a column that the specification casts, cases or checks and the data lacks is an error, not passed over.
     Among rows with one key the latest by watermark stays, then clean before dirty source, then by hash, so reruns agree.
+    repeated: repeated_keys() of the same rows, few enough to be broadcast; then only rows of these keys are shuffled.
     """
     needed = {spec.key, *spec.initcap, *spec.upper, *spec.lower, *spec.casts, *(r.column for r in spec.rules)}
     if strict and (lost := needed - {*df.columns}):
         raise ValueError(f"{spec.name} lacks {sorted(lost)}")
-    case = {c: f for f, columns in ((F.initcap, spec.initcap), (F.upper, spec.upper), (F.lower, spec.lower)) for c in columns}
-
-    def one(c: str, kind: str) -> Column:
-        value = normalize_nulls(F.trim(c)) if kind == "string" and not c.startswith("_") else F.col(c)
-        value = case[c](value) if c in case else value
-        return (cast_as(value, spec.casts[c]) if c in spec.casts else value).alias(c)
-
-    typed = df.select(*(one(c, t) for c, t in df.dtypes))
-    rules = [r for r in spec.rules if r.column in typed.columns]
-    out = repaired(flagged(typed, rules, as_of), rules).where(F.col(spec.key).isNotNull())
-    order = [F.desc_nulls_last(spec.watermark)] if spec.watermark in out.columns else []
-    order += [F.asc_nulls_last("_source")] if "_source" in out.columns else []
-    return latest(out, [spec.key], [*order, row_hash(out, business_columns(out))])
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        out = rows.select(*(typed(spec, c, t).alias(c) for c, t in rows.dtypes))
+        rules = [r for r in spec.rules if r.column in out.columns]
+        return repaired(flagged(out, rules, as_of), rules).where(F.col(spec.key).isNotNull())
+
+    def one_each(out: DataFrame) -> DataFrame:
+        order = [F.desc_nulls_last(spec.watermark)] if spec.watermark in out.columns else []
+        order += [F.asc_nulls_last("_source")] if "_source" in out.columns else []
+        return latest(out, [spec.key], [*order, row_hash(out, business_columns(out))])
+
+    if repeated is None or repairs_key(spec):
+        return one_each(cleaned(df))
+    of = F.xxhash64(typed(spec, spec.key, dict(df.dtypes)[spec.key])) == F.col("_repeated")
+    keys = F.broadcast(repeated.select(F.col("_key").alias("_repeated")))
+    return cleaned(df.join(keys, of, "left_anti")).unionByName(one_each(cleaned(df.join(keys, of, "left_semi"))))
+
+
+def repairs_key(spec: TableSpec) -> bool:
+    return any(r.repair and spec.key in (r.column, r.value) for r in spec.rules)

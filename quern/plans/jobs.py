@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from threading import RLock
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
-from quern.operators.clean import clean_table
+from quern.operators.clean import clean_table, repeated_keys
 from quern.operators.monitor import AUDIT, watermarks
 from quern.operators.rows import drop_meta, row_hash, stamp, watermark_filter
 from quern.plans.upkeep import Groups, kept_up
 from quern.schema import MODES, TableSpec
 from quern.sources.files import as_strings
-from quern.sources.scratch import new_folder
+from quern.sources.scratch import new_folder, shared_folder
 from quern.sources.store import SnapshotStore, dispatch_write
 
 LAYERS = ("bronze", "silver", "gold")
+AT_ONCE = 4
+"""Tables of a layer that are made at the same time."""
 UNKNOWN = "max(cast(null as string))"
+FEW_KEYS = 500_000
+"""So many hashes of 8 bytes are broadcast at most."""
 
 
 @dataclass(frozen=True)
@@ -44,6 +51,14 @@ def register_kpi(name: str, build: Callable[..., DataFrame], inputs: tuple[str,
     KPIS[name] = Kpi(build, inputs, dated, optional, groups)
 
 
+def _levels(kpis: list[str]) -> dict[str, int]:
+    """What can be built at the same time: a table comes after those before it in the list that it reads or that read it."""
+    levels: dict[str, int] = {}
+    for x in kpis:
+        levels[x] = max((n + 1 for y, n in levels.items() if y in KPIS[x].inputs or x in KPIS[y].inputs), default=0)
+    return levels
+
+
 class Pipeline:
     """Stores of the three layers below a root, and the audit table beside them."""
 
@@ -53,6 +68,7 @@ class Pipeline:
         self.audits = SnapshotStore(spark, root)
         self._rows: list[tuple] = []
         self._running = False
+        self._lock = RLock()  # one writer of the audit
 
     def audit(self) -> DataFrame:
         self._write_audit()
@@ -61,16 +77,18 @@ class Pipeline:
 
     def _log(self, layer: str, table: str, mode: str, rows_in: int, rows_out: int, flagged: int = 0, watermark: str | None = None, status: str = "OK") -> dict:
         row = (layer, table, mode, status, int(rows_in), int(rows_out), flagged, watermark)
-        self._rows.append((*row, datetime.now(UTC).replace(tzinfo=None)))
-        if not self._running:
-            self._write_audit()
+        with self._lock:
+            self._rows.append((*row, datetime.now(UTC).replace(tzinfo=None)))
+            if not self._running:
+                self._write_audit()
         return dict(zip(("layer", "table", "mode", "status", "input_rows", "output_rows"), row, strict=False))
 
     def _write_audit(self) -> None:
         """The rows that wait, in one append: a run of layers writes its audit once."""
-        if self._rows:
-            rows, self._rows = self._rows, []
-            self.audits.append("audit", self.spark.createDataFrame(rows, AUDIT).coalesce(1))
+        with self._lock:
+            if self._rows:
+                rows, self._rows = self._rows, []
+                self.audits.append("audit", self.spark.createDataFrame(rows, AUDIT).coalesce(1))
 
     def watermark(self, layer: str, table: str) -> str | None:
         found = watermarks(self.audit()).where((F.col("layer") == layer) & (F.col("table_name") == table)).first()
@@ -100,13 +118,22 @@ class Pipeline:
         if bronze is None:
             return self._log("silver", spec.name, mode, 0, 0, status="SKIP")
         mode = "FULL" if store.version(spec.name) is None and mode not in ("SCD2", "FDC") else mode
-        raw, read, made = self._since("silver", spec, bronze.drop("_bronze_table", "_ingested_at", "_ingestion_date", "_row_hash"), mode), Observation(), Observation()
-        clean = clean_table(raw.observe(read, F.count(F.lit(1)).alias("rows")), spec, self.as_of)
+        raw, made = self._since("silver", spec, bronze.drop("_bronze_table", "_ingested_at", "_ingestion_date", "_row_hash"), mode), Observation()
+        read, clean = self._cleaned(raw, spec)
         high = F.max(F.col(spec.watermark)).cast("string") if spec.watermark in clean.columns else F.expr(UNKNOWN)
         clean = clean.observe(made, high.alias("high"), F.count_if("_dq_flag").alias("flagged"))
         clean = stamp(clean.withColumn("_row_hash", row_hash(clean)), "silver", spec.name)
         rows = dispatch_write(store, spec, clean, mode, as_of=self.as_of)
-        return self._log("silver", spec.name, mode, read.get["rows"], rows, made.get["flagged"], made.get["high"])
+        return self._log("silver", spec.name, mode, read, rows, made.get["flagged"], made.get["high"])
+
+    def _cleaned(self, raw: DataFrame, spec: TableSpec) -> tuple[int, DataFrame]:
+        """How many rows there are, and the cleaned ones. Keys are counted first, from their column alone, so that rows are
+        shuffled and sorted only where a key repeats; with very many such keys, all are."""
+        read, found, path = Observation(), Observation(), new_folder(self.spark, "repeated")
+        counted = repeated_keys(raw.observe(read, F.count(F.lit(1)).alias("rows")), spec)
+        counted.observe(found, F.count(F.lit(1)).alias("keys")).write.parquet(path)
+        few = found.get["keys"] <= FEW_KEYS
+        return read.get["rows"], clean_table(raw, spec, self.as_of, repeated=self.spark.read.schema(counted.schema).parquet(path) if few else None)
 
     def _gold_mode(self, name: str, mode: str) -> tuple[str, dict[str, str]]:
         """FULL if the table has to be built anew, else the mode; and the snapshots that the last build read."""
@@ -149,16 +176,26 @@ class Pipeline:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def run_layers(self, sources: dict[TableSpec, DataFrame], kpis: list[str], mode: str = "FULL", layer_modes: dict[str, str] | None = None, layers: tuple[str, ...] = LAYERS, dry_run: bool = False) -> list[dict]:
-        """Layers in order. layer_modes overrides the mode of a layer; dry_run only says what would run."""
+        """Layers in order; in one layer, tables that do not read each other are made at the same time, so that small ones fill
+        the cores that the last tasks of large ones leave. layer_modes overrides the mode of a layer; dry_run only says what would run."""
         modes = {layer: (layer_modes or {}).get(layer, mode) for layer in layers}
         if bad := {*modes.values()} - {*MODES}:
             raise ValueError(f"unknown modes {sorted(bad)}")
         steps = [(layer, x) for layer in LAYERS if layer in layers for x in (kpis if layer == "gold" else sources)]
         if dry_run:
             return [{"layer": layer, "table": x if layer == "gold" else x.name, "mode": self._gold_mode(x, modes[layer])[0] if layer == "gold" else modes[layer]} for layer, x in steps]
+        run = lambda layer, x: self.process_gold_table(x, modes[layer]) if layer == "gold" else self.ingest_table(x, sources[x], modes[layer]) if layer == "bronze" else self.process_table(x, modes[layer])
+        levels = _levels(kpis)
+        at = [(LAYERS.index(layer), levels[x] if layer == "gold" else 0) for layer, x in steps]
+        done: dict[int, dict] = {}
         self._running = True
+        shared_folder(self.spark)  # before threads ask for it
         try:
-            return [self.process_gold_table(x, modes[layer]) if layer == "gold" else self.ingest_table(x, sources[x], modes[layer]) if layer == "bronze" else self.process_table(x, modes[layer]) for layer, x in steps]
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                for level in sorted({*at}):
+                    started = {i: pool.submit(inheritable_thread_target(self.spark)(run), *steps[i]) for i, a in enumerate(at) if a == level}
+                    done |= {i: x.result() for i, x in started.items()}
+            return [done[i] for i in range(len(steps))]
         finally:
             self._running = False
             self._write_audit()

@@ -5,10 +5,12 @@ import datetime
 from pyspark.sql import functions as F
 
 from quern.adapters import Lake
-from quern.plans import kpi, star
+from quern.operators import clean
+from quern.plans import jobs, kpi, star
 from quern.plans.gold import GOLD
 from quern.queries import layers
 from quern.queries.dashboard import STATUSES, normal_status
+from quern.schema import Rule, TableSpec
 from tests.compare import SMALL
 
 D = datetime.date
@@ -68,3 +70,24 @@ def test_gold_layer_through_the_pipeline(spark):
             for c in direct.columns:
                 x, y = r[c], got[k][c]
                 assert abs(float(x) - float(y)) < 0.011 if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) == str(y), (name, k, c)
+
+
+def test_tables_that_read_each_other_are_made_in_turn(spark):
+    levels = jobs._levels([name for name, _, _ in GOLD])
+    assert {x for x, n in levels.items() if n == 1} == {"kpi_revenue_summary", "kpi_ar_aging", "kpi_provider_scorecard", "kpi_payer_mix"} and {*levels.values()} == {0, 1}
+    assert jobs._levels(["kpi_ar_aging", "fact_claims", "kpi_payer_mix"]) == {"kpi_ar_aging": 0, "fact_claims": 1, "kpi_payer_mix": 2}
+
+
+def test_silver_shuffles_only_rows_of_repeated_keys(spark):
+    """The rows are those of the plain way, whatever case, space or null the keys have."""
+    spec = TableSpec("t", "id", "day", upper=("id",), casts={"n": "decimal(12,2)", "day": "date"}, rules=(Rule("negative_n", "negative", "n", repair="null"),))
+    data = [("a", "1", "2024-01-01"), (" A ", "2", "2024-01-02"), ("b", "-3", None), ("b", "-3", None), ("c", "x", "2024-01-01"), (None, "5", None), ("null", "6", None), ("", "7", None), ("nullable", "8", None), ("d", None, "2024-02-30")]
+    df = spark.createDataFrame(data, "id string, n string, day string")
+    repeated = clean.repeated_keys(df, spec)
+    assert repeated.count() == 2
+    rows = lambda found: sorted(map(repr, found.collect()))
+    made = clean.clean_table(df, spec, repeated=repeated)
+    assert rows(made) == rows(clean.clean_table(df, spec)) and {r.id for r in made.collect()} == {"A", "B", "C", "D", "NULLABLE"} and made.count() == 5
+    assert rows(clean.clean_table(df, spec, repeated=repeated.limit(0))) != rows(made)  # other rows are not looked at
+    swapping = TableSpec("t", "id", rules=(Rule("s", "swapped", "id", "n", repair="swap"),))
+    assert rows(clean.clean_table(df, swapping, repeated=clean.repeated_keys(df, swapping))) == rows(clean.clean_table(df, swapping))
