@@ -9,6 +9,10 @@ from quern.operators.rows import safe_union
 from quern.sources.split_csv import CSV, split_records
 
 
+PART_BYTES = 4 << 20
+"""Input bytes for each partition where a task holds or sorts all that it meets."""
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob has files, in any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -16,6 +20,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files that a frame is read from; 0 if it is not read from files."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(x)) for x in df.inputFiles()]
+    return sum(x.getFileSystem(conf).getFileStatus(x).getLen() for x in paths)
+
+
 def scan_csv_all_string(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
     """Header, quoted line breaks, doubled quotes, no inference: every column is text.
 

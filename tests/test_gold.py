@@ -1,9 +1,11 @@
 """The gold layer: statuses in any case, what is open, and tables built through the pipeline."""
 
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
+from quern import adapters
 from quern.adapters import Lake
 from quern.operators import clean
 from quern.plans import jobs, kpi, star
@@ -11,6 +13,7 @@ from quern.plans.gold import GOLD
 from quern.queries import layers
 from quern.queries.dashboard import STATUSES, normal_status
 from quern.schema import Rule, TableSpec
+from quern.sources.files import input_bytes
 from tests.compare import SMALL
 
 D = datetime.date
@@ -91,3 +94,18 @@ def test_silver_shuffles_only_rows_of_repeated_keys(spark):
     assert rows(clean.clean_table(df, spec, repeated=repeated.limit(0))) != rows(made)  # other rows are not looked at
     swapping = TableSpec("t", "id", rules=(Rule("s", "swapped", "id", "n", repair="swap"),))
     assert rows(clean.clean_table(df, swapping, repeated=clean.repeated_keys(df, swapping))) == rows(clean.clean_table(df, swapping))
+
+
+def test_diagnoses_are_dealt_to_parts_by_the_size_of_the_input(spark, monkeypatch):
+    lake = Lake(spark, SMALL)
+    rows = lambda: sorted(map(repr, kpi.diagnosis_burden(lake.diagnoses).collect()))
+    want = rows()
+    size = input_bytes(lake.lineitem)
+    assert size == os.path.getsize(f"{SMALL}/lineitem.parquet") and input_bytes(spark.range(3)) == 0
+    monkeypatch.setattr(adapters, "NO_BROADCAST", 0)
+    for share in (7, 21):
+        monkeypatch.setattr(adapters, "PART_BYTES", size / share)
+        monkeypatch.setattr(kpi, "PART_BYTES", input_bytes(lake.diagnoses) / share)
+        plan = kpi.diagnosis_burden(lake.diagnoses)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f", {share}), REPARTITION_BY_NUM") == 3
+        assert rows() == want and len(want) > 100
