@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from threading import RLock
@@ -19,12 +19,12 @@ from quern.operators.rows import drop_meta, row_hash, stamp, watermark_filter
 from quern.plans.upkeep import Groups, kept_up
 from quern.schema import MODES, TableSpec
 from quern.sources.files import as_strings
-from quern.sources.scratch import new_folder, shared_folder
+from quern.sources.scratch import new_folder, shared_folder, shuffles_deleted
 from quern.sources.store import SnapshotStore, dispatch_write
 
 LAYERS = ("bronze", "silver", "gold")
 AT_ONCE = 4
-"""Tables of a layer that are made at the same time."""
+"""Tables that are made at the same time."""
 UNKNOWN = "max(cast(null as string))"
 FEW_KEYS = 500_000
 """So many hashes of 8 bytes are broadcast at most."""
@@ -175,27 +175,70 @@ class Pipeline:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def run_layers(self, sources: dict[TableSpec, DataFrame], kpis: list[str], mode: str = "FULL", layer_modes: dict[str, str] | None = None, layers: tuple[str, ...] = LAYERS, dry_run: bool = False) -> list[dict]:
-        """Layers in order; in one layer, tables that do not read each other are made at the same time, so that small ones fill
-        the cores that the last tasks of large ones leave. layer_modes overrides the mode of a layer; dry_run only says what would run."""
+    def run_layers(self, sources: dict[TableSpec, DataFrame], kpis: list[str], mode: str = "FULL", layer_modes: dict[str, str] | None = None, layers: tuple[str, ...] = LAYERS, dry_run: bool = False, keep: tuple[str, ...] = LAYERS) -> list[dict]:
+        """A table is made once those that it reads are there, a few at the same time, so that small ones fill the cores that the
+        last tasks of large ones leave. layer_modes overrides the mode of a layer; dry_run only says what would run.
+
+        keep: the layers whose tables stay. A table that this run makes in another one is deleted as soon as every table that
+        reads it is made; sources are taken in the order in which gold needs them, so few of them are on disk together."""
         modes = {layer: (layer_modes or {}).get(layer, mode) for layer in layers}
         if bad := {*modes.values()} - {*MODES}:
             raise ValueError(f"unknown modes {sorted(bad)}")
         steps = [(layer, x) for layer in LAYERS if layer in layers for x in (kpis if layer == "gold" else sources)]
         if dry_run:
             return [{"layer": layer, "table": x if layer == "gold" else x.name, "mode": self._gold_mode(x, modes[layer])[0] if layer == "gold" else modes[layer]} for layer, x in steps]
-        run = lambda layer, x: self.process_gold_table(x, modes[layer]) if layer == "gold" else self.ingest_table(x, sources[x], modes[layer]) if layer == "bronze" else self.process_table(x, modes[layer])
-        levels = _levels(kpis)
-        at = [(LAYERS.index(layer), levels[x] if layer == "gold" else 0) for layer, x in steps]
-        done: dict[int, dict] = {}
+        gone = {layer for layer in ("bronze", "silver") if layer in layers and LAYERS[LAYERS.index(layer) + 1] in layers and layer not in keep}
+        if gone and {*modes.values()} != {"FULL"}:
+            raise ValueError("only a run that builds all in full can do without older tables")
+        specs, gold = {spec.name: spec for spec in sources}, [*dict.fromkeys(kpis if "gold" in layers else [])]
+        levels, unread = _levels(gold), {name: {x for x in gold if name in KPIS[x].inputs} for name in specs}
+        done: dict[tuple, dict] = {}
+        silver: dict[str, Future] = {}
+        built: dict[str, Future] = {}
+
+        def from_source(name: str) -> None:
+            spec = specs[name]
+            if "bronze" in layers:
+                done["bronze", spec] = self.ingest_table(spec, sources[spec], modes["bronze"])
+            if "silver" in layers:
+                done["silver", spec] = self.process_table(spec, modes["silver"])
+            if "bronze" in gone:
+                self.stores["bronze"].drop(name)
+            was_read(name)
+
+        def to_gold(name: str) -> None:
+            for x in [*(silver[i] for i in KPIS[name].inputs if i in silver), *(built[x] for x in gold if levels[x] < levels[name])]:
+                x.result()
+            done["gold", name] = self.process_gold_table(name, modes["gold"])
+            for i in KPIS[name].inputs:
+                if i in silver:
+                    was_read(i, name)
+
+        def was_read(name: str, by: str | None = None) -> None:
+            with self._lock:
+                unread[name].discard(by)
+                last = not unread[name]
+            if last and "silver" in gone:
+                self.stores["silver"].drop(name)
+
         self._running = True
         shared_folder(self.spark)  # before threads ask for it
         try:
-            with ThreadPoolExecutor(AT_ONCE) as pool:
-                for level in sorted({*at}):
-                    started = {i: pool.submit(inheritable_thread_target(self.spark)(run), *steps[i]) for i, a in enumerate(at) if a == level}
-                    done |= {i: x.result() for i, x in started.items()}
-            return [done[i] for i in range(len(steps))]
+            with shuffles_deleted(self.spark), ThreadPoolExecutor(AT_ONCE) as pool:
+                start = lambda run, name: pool.submit(inheritable_thread_target(self.spark)(run), name)
+                try:
+                    for name in sorted(gold, key=levels.get):  # what a table waits for is started before it, so not all threads wait
+                        for i in KPIS[name].inputs:
+                            if i in specs and i not in silver:
+                                silver[i] = start(from_source, i)
+                        built[name] = start(to_gold, name)
+                    silver |= {i: start(from_source, i) for i in specs if i not in silver}
+                    for x in [*silver.values(), *built.values()]:
+                        x.result()
+                except BaseException:
+                    pool.shutdown(wait=False, cancel_futures=True)
+                    raise
+            return [done[step] for step in steps]
         finally:
             self._running = False
             self._write_audit()

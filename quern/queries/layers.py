@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.adapters import Lake
 from quern.operators.rows import safe_union
 from quern.plans.gold import GOLD
-from quern.plans.jobs import Pipeline
+from quern.plans.jobs import LAYERS, Pipeline
 from quern.queries import gold  # noqa: F401  registers the SQL of the single tables
 from quern.queries.base import SQL, query
 from quern.schema import TableSpec
@@ -40,13 +40,13 @@ def sources(lake: Lake) -> dict[TableSpec, DataFrame]:
     return {spec: numbered(df) if spec.key == "row_id" else df for spec in SPECS for df in (getattr(lake, spec.name),)}
 
 
-def built(lake: Lake) -> Pipeline:
+def built(lake: Lake, keep: tuple[str, ...] = LAYERS) -> Pipeline:
     p = Pipeline(lake.spark, new_folder(lake.spark, "layers"), DAY)
-    p.run_layers(sources(lake), [name for name, _, _ in GOLD])
+    p.run_layers(sources(lake), [name for name, _, _ in GOLD], keep=keep)
     return p
 
 
 @query("build_gold_layer", " union all ".join(f"select '{name}' as table_name, count(*) as n from ({SQL[name]})" for name, _, _ in GOLD))
 def build_gold_layer(lake: Lake) -> DataFrame:
-    store = built(lake).stores["gold"]
+    store = built(lake, keep=("gold",)).stores["gold"]
     return safe_union([store.read(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n")).select("table_name", "n") for name, _, _ in GOLD])

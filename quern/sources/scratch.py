@@ -52,3 +52,17 @@ def job(spark: SparkSession) -> Iterator[None]:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         del _FOLDERS[first:]
+
+
+SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends, and not only once the driver collects its garbage."""
+    before = spark.conf.get(SHUFFLES, "false")
+    spark.conf.set(SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES, before)

@@ -20,6 +20,8 @@ from quern.operators.rows import latest
 from quern.schema import TableSpec
 
 BUCKET, MONTH = "_bucket", "_month"
+CODEC = "zstd"
+"""Half the bytes of snappy where rows carry a hash in hexadecimal digits."""
 
 
 class Written(int):
@@ -142,6 +144,12 @@ class SnapshotStore:
         """A new snapshot; its rows are counted while they are written."""
         return self._add(table, df, partitions, "", {})
 
+    def drop(self, table: str) -> None:
+        """Deletes a table with all its snapshots, the pointer first."""
+        for path in (f"{self.root}/{table}/CURRENT", f"{self.root}/{table}"):
+            found, fs = self._path(path)
+            fs.delete(found, True)
+
     def append(self, table: str, df: DataFrame, partitions: tuple[str, ...] = (), part: tuple[str, Column] | None = None) -> Written:
         """A new snapshot that adds one folder to those of the current one."""
         now = self.snapshot(table)
@@ -161,7 +169,8 @@ class SnapshotStore:
         if column:
             df = df.withColumn(column, part)
         by = [*([column] if column else []), *partitions]
-        (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(self.path(table, version))
+        out = df.write.mode("overwrite").option("compression", CODEC)
+        (out.partitionBy(*by) if by else out).parquet(self.path(table, version))
         self._put(f"{self.root}/{table}/SCHEMA/{version}", df.schema.json())
         parts = {k: [*v] for k, v in keep.items()}
         for name in self._names(table, version, column):

@@ -3,16 +3,19 @@
 import datetime
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern import adapters
 from quern.adapters import Lake
 from quern.operators import clean
+from quern.operators.rows import drop_meta
 from quern.plans import jobs, kpi, star
 from quern.plans.gold import GOLD
 from quern.queries import layers
 from quern.queries.dashboard import STATUSES, normal_status
 from quern.schema import Rule, TableSpec
+from quern.sources import scratch
 from quern.sources.files import input_bytes
 from tests.compare import SMALL
 
@@ -109,3 +112,50 @@ def test_diagnoses_are_dealt_to_parts_by_the_size_of_the_input(spark, monkeypatc
         plan = kpi.diagnosis_burden(lake.diagnoses)._jdf.queryExecution().executedPlan().toString()
         assert plan.count(f", {share}), REPARTITION_BY_NUM") == 3
         assert rows() == want and len(want) > 100
+
+
+def test_layers_that_nothing_reads_any_more_are_deleted(spark, monkeypatch):
+    """build_gold_layer holds the tables of bronze and silver that are still read, and what it returns is that of kept layers."""
+    lake, make, seen = Lake(spark, SMALL), layers.built, []
+    monkeypatch.setattr(layers, "built", lambda lake, **keep: seen.append(make(lake, **keep)) or seen[-1])
+    found = sorted(map(tuple, layers.build_gold_layer(lake).collect()))
+    some, kept = seen[0], make(lake)
+    root = some.stores["gold"].root.removesuffix("/gold").removeprefix("file:")
+    assert not [f for layer in ("bronze", "silver") for _, _, files in os.walk(f"{root}/{layer}") for f in files]
+    assert {f for _, _, files in os.walk(f"{root}/gold") for f in files if f.endswith(".parquet")} and not [f for _, _, files in os.walk(root) for f in files if f.endswith(".snappy.parquet")]
+    assert all(kept.stores[layer].version(spec.name) == 1 for layer in ("bronze", "silver") for spec in layers.SPECS)
+    assert found == sorted((name, kept.stores["gold"].read(name).count()) for name, _, _ in GOLD)
+    for name, _, _ in GOLD:
+        rows = lambda p: sorted(repr(r) for r in drop_meta(p.stores["gold"].read(name)).collect())  # noqa: E731, B023
+        assert rows(some) == rows(kept), name
+    of = lambda p: sorted(p.audit().drop("logged_at").collect(), key=repr)
+    assert of(some) == of(kept)
+    with pytest.raises(ValueError, match="in full"):
+        some.run_layers(layers.sources(lake), [], "CDC", keep=("gold",))
+
+
+def test_tables_of_a_later_layer_stay_until_their_last_reader(spark, monkeypatch):
+    lake, dropped = Lake(spark, SMALL), []
+    p = jobs.Pipeline(spark, scratch.new_folder(spark, "layers"), layers.DAY)
+    for layer in ("bronze", "silver"):
+        monkeypatch.setattr(p.stores[layer], "drop", lambda name, layer=layer: dropped.append((layer, name, sorted(x for x, _, _ in GOLD if p.stores["gold"].version(x)))))
+    took = {s: df for s, df in layers.sources(lake).items() if s.name in ("patients", "diagnoses", "patient_insurance", "payers")}
+    done = p.run_layers(took, ["dim_patients", "kpi_diagnosis_burden", "kpi_patient_risk"], keep=("gold",))
+    assert [d["table"] for d in done[:4]] == [s.name for s in took] and [d["layer"] for d in done] == ["bronze"] * 4 + ["silver"] * 4 + ["gold"] * 3
+    assert sorted(x[:2] for x in dropped) == sorted((layer, s.name) for layer in ("bronze", "silver") for s in took)
+    readers = {name: set(gold) for layer, name, gold in dropped if layer == "silver"}
+    assert readers["diagnoses"] >= {"kpi_diagnosis_burden", "kpi_patient_risk"} and readers["patients"] >= {"dim_patients", "kpi_patient_risk"} and readers["patient_insurance"] >= {"dim_patients"}
+
+
+def test_a_run_of_layers_ends_at_its_first_error_and_leaves_the_session_as_it_was(spark, monkeypatch):
+    lake, before = Lake(spark, SMALL), spark.conf.get(scratch.SHUFFLES, "false")
+    p, seen = jobs.Pipeline(spark, scratch.new_folder(spark, "layers"), layers.DAY), []
+
+    def fails(spec, source, mode):
+        seen.append(spark.conf.get(scratch.SHUFFLES))
+        raise KeyError(spec.name)
+
+    monkeypatch.setattr(p, "ingest_table", fails)
+    with pytest.raises(KeyError):
+        p.run_layers(layers.sources(lake), [name for name, _, _ in GOLD])
+    assert {*seen} == {"true"} and spark.conf.get(scratch.SHUFFLES, "false") == before and p.stores["gold"].version("dim_clinics") is None
