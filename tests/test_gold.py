@@ -1,6 +1,7 @@
 """The gold layer: statuses in any case, what is open, and tables built through the pipeline."""
 
 import datetime
+import itertools
 import os
 
 import pytest
@@ -159,3 +160,23 @@ def test_a_run_of_layers_ends_at_its_first_error_and_leaves_the_session_as_it_wa
     with pytest.raises(KeyError):
         p.run_layers(layers.sources(lake), [name for name, _, _ in GOLD])
     assert {*seen} == {"true"} and spark.conf.get(scratch.SHUFFLES, "false") == before and p.stores["gold"].version("dim_clinics") is None
+
+
+def test_fact_shuffles_sums_once(spark):
+    lake = Lake(spark, SMALL)
+    tables = (lake.claims, lake.claim_lines, lake.payments, lake.encounters)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        plan = star.fact_claims(*tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 5
+    ends = [*star.LINES.values(), "line_count", *star.VISIT, "payment_received", "last_payment_date", "days_to_adjudication", "is_paid", "is_denied", "collection_rate"]
+    for lines, payments, encounters in itertools.product((0, 1), repeat=3):
+        first = ["claim_id", "encounter_id"][:: 1 if payments else -1] if encounters else ["claim_id"]
+        made = star.fact_claims(tables[0], *(t if use else None for t, use in zip(tables[1:], (lines, payments, encounters), strict=True)))
+        assert made.columns == [*first, *(c for c in tables[0].columns if c not in first), *ends]
